@@ -2,7 +2,11 @@
 
 No token spans a blank or a line feed in a tokenizer that drops white space, so a text's ids are those of its
 runs, one after another. Texts are encoded run by run, each distinct run once; the memory holds two generations
-of at most ``limit`` runs. Tokenizers that keep white space get their texts whole.
+of at most about ``limit`` runs. Tokenizers that keep white space get their texts whole.
+
+Where the tokenizer takes letters and marks apart, lowers letters and marks word ends in its tokens, a run of
+letters with closing marks is its lowered letters and its marks; new letters are then encoded many at a time,
+their ids being parted after each word's end.
 """
 
 from __future__ import annotations
@@ -11,9 +15,12 @@ import json
 import os
 from array import array
 from collections.abc import Iterator
+from unicodedata import normalize
 
 import numpy as np
 
+#: Closing marks that are one piece together, and the pieces of a pattern that takes letters and marks apart.
+MARKS, LETTERS, REST = ".,!?;:|%$#&*", r"[\p{L}]+|", r"[^\s\p{L}\p{N}]+"
 _BY_PATH: dict[tuple[str, int], Encoder] = {}
 
 
@@ -25,6 +32,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.by_runs = drops_blanks(self.tokenizer)
         self.limit, self.new, self.old = limit, {}, {}
+        self.ends = word_ends(self.tokenizer) if self.by_runs else None
 
     def ids(self, texts: list[str]) -> Iterator[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
@@ -51,15 +59,64 @@ class Encoder:
 
     def learn(self, runs: list[str]) -> None:
         new, old = self.new, self.old
-        missing = []
+        words, others, parts = set(), set(), []
         for r in {r for r in runs if r not in new}:
             v = old.get(r)
-            if v is None:
-                missing.append(r)
-            else:
+            if v is not None:
                 new[r] = v
-        for r, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False) if missing else ()):
+                continue
+            word = r.rstrip(MARKS)
+            if self.ends is None or not word.isalpha():
+                others.add(r)
+                continue
+            plain = word.isascii() or max(word) < "\u0100"
+            if not plain and not normalize("NFC", word).lower().isalpha():  # a letter may leave a mark
+                others.add(r)
+                continue
+            low = word.lower() if plain else word
+            marks = r[len(word) :]
+            parts.append((r, low, marks))
+            for part, to in ((low, words), (marks, others)):
+                if part not in new:
+                    v = old.get(part)
+                    if v is None:
+                        to.add(part)
+                    else:
+                        new[part] = v
+        words = list(words)
+        for i in range(0, len(words), 500):
+            self.learn_words(words[i : i + 500])
+        others = list(others)
+        for r, e in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False) if others else ()):
             new[r] = array("I", e.ids).tobytes()
+        for r, low, marks in parts:
+            new[r] = new[low] + new[marks]
+
+    def learn_words(self, words: list[str]) -> None:
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4
+        if len(cuts) != len(words):
+            for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
+                self.new[w] = array("I", e.ids).tobytes()
+            return
+        data, at = ids.tobytes(), 0
+        for w, cut in zip(words, cuts.tolist()):
+            self.new[w] = data[at:cut]
+            at = cut
+
+
+def word_ends(tokenizer) -> np.ndarray | None:
+    """Which ids end a word, if the tokenizer is of the kind that the module's text describes."""
+    steps = json.loads(tokenizer.to_str())
+    lowers = any(s.get("type") == "Lowercase" for s in (steps.get("normalizer") or {}).get("normalizers", []))
+    suffix = steps["model"].get("end_of_word_suffix")
+    pattern = json.dumps(steps.get("pre_tokenizer"))
+    if not (lowers and suffix and json.dumps(LETTERS)[1:-1] in pattern and json.dumps(REST)[1:-1] in pattern):
+        return None
+    vocabulary = tokenizer.get_vocab()
+    ends = np.zeros(max(vocabulary.values()) + 1, bool)
+    ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+    return ends
 
 
 def drops_blanks(tokenizer) -> bool:

@@ -59,6 +59,7 @@ def test_encoding_by_runs_is_the_librarys():
     rng = random.Random(3)
     odd = "ab \n\t́é'sßẞΣ​\x1c\x85 <|endoftext|>漢1 !"
     some = ["".join(rng.choice(odd) for _ in range(rng.randint(0, 40))) for _ in range(400)] + [t or "" for t in texts()]
+    some += ["".join(rng.choice("aÀÿŸΣςİıΩ\u212a한\u1112\u1161ǅ.,!? '|%x") for _ in range(rng.randint(0, 30))) for _ in range(800)]
     got = [np.frombuffer(x, "<u4").tolist() for x in encoder(default_path()).ids(some)]
     assert got == [whole_ids(t) for t in some]
 
