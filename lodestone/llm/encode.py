@@ -15,7 +15,6 @@ import json
 import os
 from array import array
 from collections.abc import Iterator
-from unicodedata import normalize
 
 import numpy as np
 
@@ -24,14 +23,37 @@ MARKS, LETTERS, REST = ".,!?;:|%$#&*", r"[\p{L}]+|", r"[^\s\p{L}\p{N}]+"
 _BY_PATH: dict[tuple[str, int], Encoder] = {}
 
 
+class Memory(dict):
+    """What runs give. One that is asked for and unknown is taken from the generation before, or noted as pending."""
+
+    def __init__(self, old: Memory | None = None):
+        self.old = dict(old or {})
+        self.pending: list[str] = []
+
+    def __missing__(self, run):
+        self[run] = ids = self.old.get(run)
+        if ids is None:
+            self.pending.append(run)
+        return ids
+
+
+def is_latin(word: str) -> bool:
+    """Letters of Latin-1 stay single letters, whatever their case."""
+    try:
+        word.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class Encoder:
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks already use every core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.by_runs = drops_blanks(self.tokenizer)
-        self.limit, self.new, self.old = limit, {}, {}
+        self.limit, self.new = limit, Memory()
         self.ends = word_ends(self.tokenizer) if self.by_runs else None
 
     def ids(self, texts: list[str]) -> Iterator[bytes]:
@@ -40,57 +62,40 @@ class Encoder:
             for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
                 yield np.array(e.ids, "<u4").tobytes()
             return
-        at = 0
-        while at < len(texts):  # about 1 MB of text at a time
-            to, size = at, 0
-            while to < len(texts) and (to == at or size + len(texts[to]) < 1 << 20):
-                size += len(texts[to])
-                to += 1
-            runs = [t.replace("\n", " ").split(" ") for t in texts[at:to]]
+        for text in texts:  # a text's runs stay near while they are looked up, learnt and joined
+            runs = text.replace("\n", " ").split(" ")
             if len(self.new) > self.limit:
-                self.old, self.new = self.new, {}
-            for r in runs:
-                try:
-                    yield b"".join(map(self.new.__getitem__, r))
-                except KeyError:
-                    self.learn(r)
-                    yield b"".join(map(self.new.__getitem__, r))
-            at = to
+                self.new = Memory(self.new)
+            known = self.new.__getitem__
+            found = list(map(known, runs))
+            if self.new.pending:
+                self.learn(self.new.pending)
+                self.new.pending = []
+                found = map(known, runs)
+            yield b"".join(found)
 
     def learn(self, runs: list[str]) -> None:
-        new, old = self.new, self.old
-        words, others, parts = set(), set(), []
-        for r in {r for r in runs if r not in new}:
-            v = old.get(r)
-            if v is not None:
-                new[r] = v
-                continue
+        """Fill in new runs, which hold None so far."""
+        new, words, others, parts = self.new, set(), [], []
+        for r in runs:
             word = r.rstrip(MARKS)
-            if self.ends is None or not word.isalpha():
-                others.add(r)
-                continue
-            plain = word.isascii() or max(word) < "\u0100"
-            if not plain and not normalize("NFC", word).lower().isalpha():  # a letter may leave a mark
-                others.add(r)
+            if self.ends is None or not word.isalpha() or not (word.isascii() or is_latin(word)):
+                others.append(r)
                 continue
-            low = word.lower() if plain else word
-            marks = r[len(word) :]
+            low, marks = word.lower(), r[len(word) :]
             parts.append((r, low, marks))
-            for part, to in ((low, words), (marks, others)):
-                if part not in new:
-                    v = old.get(part)
-                    if v is None:
-                        to.add(part)
-                    else:
-                        new[part] = v
+            if new.get(low) is None:
+                words.add(low)
+            if marks and new.get(marks) is None:
+                new[marks] = None
+                others.append(marks)
         words = list(words)
         for i in range(0, len(words), 500):
             self.learn_words(words[i : i + 500])
-        others = list(others)
         for r, e in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False) if others else ()):
             new[r] = array("I", e.ids).tobytes()
         for r, low, marks in parts:
-            new[r] = new[low] + new[marks]
+            new[r] = new[low] + new[marks] if marks else new[low]
 
     def learn_words(self, words: list[str]) -> None:
         ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
@@ -129,7 +134,7 @@ def drops_blanks(tokenizer) -> bool:
     )
 
 
-def encoder(path: str, limit: int = 500_000) -> Encoder:
+def encoder(path: str, limit: int = 600_000) -> Encoder:
     """One for each worker process; later tasks of the process go on with what it remembers."""
     key = (path, limit)
     if key not in _BY_PATH:

@@ -15,6 +15,7 @@ from __future__ import annotations
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -124,16 +125,18 @@ def pack(docs: DataFrame, size: int = 2048, tokenizer: str | None = None, end_id
     histogram = {r.length: r.n for r in rows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most ``size`` rows
     table = slots(patterns(histogram, size))
 
-    def place(batches):
-        for batch in batches:
-            length, rank = (batch.column(i).to_numpy() for i in (2, 5))
-            sequence, offset = np.empty(len(rank), np.int64), np.empty(len(rank), np.int64)
-            for v in np.unique(length):
-                on = np.flatnonzero(length == v)
-                first, seq, at = table[int(v)]
-                k = np.searchsorted(first, rank[on], side="right") - 1
-                sequence[on], offset[on] = seq[k] + rank[on] - first[k], at[k]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], ["doc_id", "start", "length", "doc_tokens", "ids", "sequence_id", "offset"])
-
-    out = ranked(rows).select("doc_id", "start", "length", "doc_tokens", "ids", F.col("rank").cast("long").alias("rank"))
-    return out.mapInArrow(place, "doc_id long, start long, length long, doc_tokens long, ids binary, sequence_id long, offset long")
+    @F.pandas_udf("sequence_id long, offset long")  # of two columns: the ids stay in the JVM
+    def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
+        length, rank = length.to_numpy(), rank.to_numpy()
+        order = np.argsort(length, kind="stable")
+        heads = np.flatnonzero(np.diff(length[order], prepend=-1))
+        sequence, offset = np.empty(len(rank), np.int64), np.empty(len(rank), np.int64)
+        for i, j in zip(heads.tolist(), [*heads[1:].tolist(), len(order)]):
+            on = order[i:j]
+            first, seq, at = table[int(length[on[0]])]
+            k = np.searchsorted(first, rank[on], side="right") - 1
+            sequence[on], offset[on] = seq[k] + rank[on] - first[k], at[k]
+        return pd.DataFrame({"sequence_id": sequence, "offset": offset})
+
+    out = ranked(rows).withColumn("at", place("length", F.col("rank").cast("long")))
+    return out.select("doc_id", "start", "length", "doc_tokens", "ids", "at.sequence_id", "at.offset")
