@@ -65,7 +65,7 @@ def crc32c(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarra
     crc_of = np.empty(total, np.uint32)
     # each slice is padded on its left, where zeros don't count; all ones at the start flip its first four bytes
     pad = blocks * WIDE - sizes
-    room = np.zeros(total * WIDE, np.uint8)
+    room, to = np.zeros(total * WIDE, np.uint8), first * WIDE + pad
     for a, i, s in zip(to.tolist(), starts.tolist(), sizes.tolist()):
         room[a : a + s] = data[i : i + s]
     for k in range(4):
