@@ -15,7 +15,7 @@ memory-mapped by the tasks that filter segments.
 
 Null and empty texts have no bytes and nothing removed. Rows repeated with the same id and text are documents of
 their own, repeat each other, and get the same answer. Null ids are kept. An empty table gives an empty result.
-Other columns are not read. Texts of any length are whole: beyond 8 MB they are worked on in overlapping pieces.
+Other columns are not read. Texts of any length are whole: beyond 2 MB they are worked on in overlapping pieces.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, mixed, partitions, read_array, scratch, slices, text_bytes, write_file
 
 WIDTH, GRAM = 200, 48
-PIECE = 8 << 20  # of at most 2**24 bytes, as anchors are found by place in a piece
+PIECE = 2 << 20  # of at most 2**24 bytes, as anchors are found by place in a piece
 COLLECTION, IN_MEMORY = 12 << 20, 96 << 20
 P = np.uint64(0x9E3779B97F4A7C15)
 _POWERS: list[np.ndarray] = []
