@@ -48,7 +48,7 @@ def not_in_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of each document lies in sequences of 2048 tokens, with its ids."""
-    return packing.pack(docs)
+    return packing.pack(docs, memory=150_000)  # workers also hold what the earlier stages left
 
 
 #: 10, 5, 8, 1 and 6 of the operators.

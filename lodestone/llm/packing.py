@@ -7,7 +7,8 @@ each piece's rank among those of its length.
 
 Ranks come from a window over (length, salt), with the salts' counts summed before, so a length that a third of
 the documents have is still spread out. Null and empty texts give a piece of the end id alone. Rows repeated with
-the same id are packed each time. An empty table gives no pieces. Other columns are not read.
+the same id are packed each time. An empty table gives no pieces. Other columns are not read. ``memory`` is how many
+runs of non-blanks a worker remembers in each of two generations while it encodes; it changes no result.
 """
 
 from __future__ import annotations
@@ -27,14 +28,14 @@ from .encode import default_path, encoder
 SALTS = 512
 
 
-def pieces(docs: DataFrame, size: int = 2048, tokenizer: str | None = None, end_id: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, size: int = 2048, tokenizer: str | None = None, end_id: int = 1, doc_id: str = "doc_id", text: str = "text", memory: int = 600_000) -> DataFrame:
     """(doc_id, start, length, doc_tokens, ids, copy): every document's ids with the end id, cut at each ``size`` ids.
 
     copy tells rows of one id apart; ids are little-endian unsigned 32-bit integers."""
     tokenizer = tokenizer or default_path()
 
     def cut(batches):
-        enc, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        enc, end = encoder(tokenizer, memory), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows = []
             for key, ids in zip(batch.column(0).to_pylist(), enc.ids(batch.column(1).fill_null("").to_pylist())):
@@ -119,9 +120,9 @@ def ranked(rows: DataFrame) -> DataFrame:
     return salted.join(bases, ["length", "salt"]).withColumn("rank", F.col("base") + F.col("own")).drop("salt", "base", "own")
 
 
-def pack(docs: DataFrame, size: int = 2048, tokenizer: str | None = None, end_id: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def pack(docs: DataFrame, size: int = 2048, tokenizer: str | None = None, end_id: int = 1, doc_id: str = "doc_id", text: str = "text", memory: int = 600_000) -> DataFrame:
     """(doc_id, start, length, doc_tokens, ids, sequence_id, offset): where each piece lies."""
-    rows = materialise(pieces(docs, size, tokenizer, end_id, doc_id, text), "pieces")
+    rows = materialise(pieces(docs, size, tokenizer, end_id, doc_id, text, memory), "pieces")
     histogram = {r.length: r.n for r in rows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most ``size`` rows
     table = slots(patterns(histogram, size))
 
