@@ -1,2 +1,427 @@
+"""The engine's queries over the driver's tables, and the same in DuckDB's SQL.
+
+documents are files (path, content); embeddings are an index whose labels are chunk types; lineitem is a dependency
+graph from suppliers to fifty groups of parts; pages' addresses are paths.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import paths, text
+from ..operators import chunks, graph, rank, search, vectors
+
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+QUESTION = "how to find the function of this class and test the with error"
+TERMS = rank.analyse(QUESTION).keywords + rank.analyse(QUESTION).concepts
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def files(spark, d):
+    docs = table(spark, d, "documents")
+    return docs.select(F.concat("source", F.lit("/"), "lang", F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.col("text").alias("content"))
+
+
+def urls(spark, d):
+    return table(spark, d, "pages").select(F.regexp_replace("url", "^https?://", "").alias("path"), F.col("html").alias("content"))
+
+
+def edges(spark, d):
+    e = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % 50).alias("dst"), F.col("l_returnflag").alias("kind"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"))
+    return e.withColumn("weight", F.when(F.col("kind") == "A", 2.0).when(F.col("kind") == "R", 3.0).otherwise(1.0))
+
+
+def summed(spark, d):
+    return edges(spark, d).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+
+
+FILES = "files AS (SELECT source || '/' || lang || '/doc_' || doc_id || '.txt' AS path, text AS content FROM documents)"
+LINES = FILES + ", lines AS (SELECT path, CAST(unnest(range(1, len(l) + 1)) AS INTEGER) AS line, unnest(l) AS text FROM (SELECT path, string_split(content, chr(10)) AS l FROM files))"
+URLS = "files AS (SELECT regexp_replace(url, '^https?://', '') AS path, html AS content FROM pages)"
+EDGES = "edges AS (SELECT l_suppkey AS src, l_partkey % 50 AS dst, l_returnflag AS kind, l_orderkey * 10 + l_linenumber AS pos, CASE l_returnflag WHEN 'A' THEN 2.0::DOUBLE WHEN 'R' THEN 3.0::DOUBLE ELSE 1.0::DOUBLE END AS weight FROM lineitem)"
+SUMMED = EDGES + ", summed AS (SELECT src, dst, sum(weight) AS weight FROM edges GROUP BY ALL)"
+STRIP = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
+SUFFIX = "regexp_extract({0}, '[^/](\\.[^./]+)$', 1)"
+
+
+# scans and search
+
+
+@query(f"WITH {FILES} SELECT path FROM files")
+def list_files(spark, d):
+    return search.list_files(files(spark, d))
+
+
+@query(f"WITH {FILES} SELECT path FROM files WHERE path LIKE 'src1/en/%' AND strpos(substr(path, 9), '/') = 0")
+def list_files_flat(spark, d):
+    return search.list_files(files(spark, d), "src1/en", recursive=False)
+
+
+@query(f"WITH {FILES} SELECT path FROM files WHERE regexp_matches(path, '^src1.*/doc_.[0-5]\\.txt$')")
+def find_files_fnmatch(spark, d):
+    return search.find_files(files(spark, d), "src1*/doc_?[0-5].txt")
+
+
+@query(f"WITH {FILES} SELECT path FROM files WHERE regexp_matches(path, '^src1[^/]*/(?:[^/]+/)*doc_[^/]*7\\.txt$')")
+def find_files_glob(spark, d):
+    return search.find_files(files(spark, d), "src1*/**/doc_*7.txt", glob=True)
+
+
+@query(f"WITH {URLS} SELECT path FROM files WHERE lower({SUFFIX.format('path')}) IN ({', '.join(repr(s) for s in paths.ALLOWED)}) AND NOT list_has_any(string_split(path, '/'), {paths.FORBIDDEN!r})")
+def policy_filter(spark, d):
+    return urls(spark, d).where(paths.allowed(F.col("path"))).select("path")
+
+
+@query(f"WITH {URLS} SELECT path, {SUFFIX.format('path')} AS suffix, regexp_extract(path, '[^/]*$') AS name FROM files")
+def path_suffix(spark, d):
+    return urls(spark, d).select("path", paths.suffix(F.col("path")).alias("suffix"), paths.basename(F.col("path")).alias("name"))
+
+
+@query(f"WITH {URLS} SELECT path, CASE WHEN regexp_matches(lower(path), 'test|spec') THEN 'test' ELSE 'implementation' END AS category FROM files")
+def category_filter(spark, d):
+    return urls(spark, d).select("path", paths.category(F.col("path")).alias("category"))
+
+
+@query(f"WITH {FILES} SELECT path, CASE WHEN len(l) >= 4 THEN array_to_string(l[4:6], chr(10)) END AS content, CASE WHEN len(l) < 4 THEN 'start is beyond the end of the file' END AS error FROM (SELECT path, string_split(content, chr(10)) AS l FROM files)")
+def read_line_range(spark, d):
+    return search.read_lines(files(spark, d), 4, 6)
+
+
+@query(f"WITH {FILES} SELECT path, CAST(CASE WHEN len(l) > 20 THEN 5 ELSE len(l) END AS BIGINT) AS shown, len(l) > 20 AS truncated FROM (SELECT path, string_split(content, chr(10)) AS l FROM files)")
+def view_file_capped(spark, d):
+    return search.view_file(files(spark, d), 20, 5).select("path", F.size("lines").cast("long").alias("shown"), "truncated")
+
+
+@query(f"WITH {FILES} SELECT path, 'unknown' AS language FROM files")
+def detect_language(spark, d):
+    return files(spark, d).select("path", paths.language(F.col("path"), F.col("content")).alias("language"))
+
+
+@query("SELECT 'python' AS language")
+def primary_language(spark, d):
+    return search.primary_language(files(spark, d))
+
+
+@query(f"WITH {URLS} SELECT coalesce(bool_or(regexp_matches(n, '^test_.*\\.py$|_test\\.py$')), false) AS pytest, coalesce(bool_or(n = 'manage.py'), false) AS django, coalesce(bool_or(n = 'package.json'), false) AS node, coalesce(bool_or(n = 'pom.xml'), false) AS maven, coalesce(bool_or(n = 'build.gradle'), false) AS gradle FROM (SELECT regexp_extract(path, '[^/]*$') AS n FROM files)")
+def detect_test_frameworks(spark, d):
+    return search.test_frameworks(urls(spark, d))
+
+
+@query(f"WITH {LINES} SELECT path, line, text FROM lines")
+def explode_lines(spark, d):
+    return search.explode_lines(files(spark, d))
+
+
+@query(f"WITH {LINES} SELECT path, line, {STRIP.format('text')} AS content FROM lines WHERE regexp_matches(text, '(?i)license|idiot')")
+def grep(spark, d):
+    return search.grep(files(spark, d), "license|idiot")
+
+
+@query(f"WITH {LINES} SELECT path, line, {STRIP.format('text')} AS content FROM lines WHERE regexp_matches(text, '(?i)\\bof\\s+the\\b') AND path LIKE '%/doc_%1.txt'")
+def grep_file_pattern(spark, d):
+    return search.grep(files(spark, d), r"\bof\s+the\b", "doc_*1.txt")
+
+
+@query(f"WITH {LINES} SELECT path, line, {STRIP.format('text')} AS content FROM lines WHERE regexp_matches(text, '(?i)the') ORDER BY path, line LIMIT 100")
+def grep_limit(spark, d):
+    return search.grep(files(spark, d), "the", limit=100)
+
+
+@query(f"WITH {LINES} SELECT path, count(*) AS n FROM lines WHERE regexp_matches(text, '(?i)the') GROUP BY path")
+def grep_count_by_file(spark, d):
+    return search.grep(files(spark, d), "the").groupBy("path").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {LINES} SELECT path, keyword, line, CAST(len(regexp_extract_all(text, '(?i)\\b' || keyword || '\\b')) AS BIGINT) AS n FROM lines, (VALUES ('with'), ('from')) k(keyword) WHERE regexp_matches(text, '(?i)\\b' || keyword || '\\b') AND NOT regexp_matches(text, '[^\\x00-\\x7f]')")
+def keyword_occurrences(spark, d):
+    ascii_ = search.keyword_occurrences(files(spark, d), ["with", "from"]).where(~F.col("text").rlike(r"[^\x00-\x7f]"))
+    return ascii_.select("path", "keyword", "line", "n")
+
+
+# text
+
+
+@query(f"WITH {FILES} SELECT path, md5(replace(content, 'the', '<the>')) AS digest FROM files WHERE contains(content, 'the')")
+def string_replace_all(spark, d):
+    out = files(spark, d).select("path", text.replace_nth(F.col("content"), "the", "<the>", 0).alias("c")).where("c is not null")
+    return out.select("path", F.md5(F.col("c").cast("binary")).alias("digest"))
+
+
+@query(f"WITH {FILES} SELECT path, md5(array_to_string(p[1:2], 'the') || 'THE' || array_to_string(p[3:], 'the')) AS digest FROM (SELECT path, string_split(content, 'the') AS p FROM files) WHERE len(p) > 2")
+def string_replace_nth(spark, d):
+    out = files(spark, d).select("path", text.replace_nth(F.col("content"), "the", "THE", 2).alias("c")).where("c is not null")
+    return out.select("path", F.md5(F.col("c").cast("binary")).alias("digest"))
+
+
+@query(f"WITH {FILES} SELECT path, CAST((length(content) - length(replace(content, 'an', ''))) / 2 AS BIGINT) AS n FROM files")
+def string_count(spark, d):
+    return files(spark, d).select("path", text.occurrences(F.col("content"), "an").alias("n"))
+
+
+@query(f"WITH {FILES} SELECT path, CAST(len(string_split(content, chr(10))) AS BIGINT) AS n_lines, CAST(strlen(content) AS BIGINT) AS n_bytes FROM files")
+def content_stats(spark, d):
+    c = F.col("content")
+    return files(spark, d).select("path", F.size(text.lines(c)).cast("long").alias("n_lines"), F.octet_length(c).cast("long").alias("n_bytes"))
+
+
+@query("SELECT conv_id, turn, regexp_extract('<think>' || role || '</think>' || '```json' || chr(10) || text || chr(10) || '```', '(?s)```json\\n(.*?)\\n```', 1) AS block FROM conversations WHERE NOT contains(text, '```')")
+def extract_fenced_block(spark, d):
+    c = table(spark, d, "conversations").where(~F.contains("text", F.lit("```")))
+    made = F.concat(F.lit("<think>"), "role", F.lit("</think>```json\n"), "text", F.lit("\n```"))
+    return c.select("conv_id", "turn", text.fenced(text.without_thoughts(made), "json").alias("block"))
+
+
+@query("SELECT conv_id, turn, text || '!' AS text FROM conversations")
+def strip_think(spark, d):
+    c = table(spark, d, "conversations")
+    return c.select("conv_id", "turn", text.without_thoughts(F.concat("text", F.lit("<think>a\nb</think>!"))).alias("text"))
+
+
+@query("SELECT event_id, CAST(props ->> '$.k' AS BIGINT) AS k FROM events")
+def json_field(spark, d):
+    return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+
+
+@query("SELECT * FROM (VALUES ('pytest', 7, 5, 2, 0, 0, '1.20'), ('pytest', 4, 4, 0, 0, 0, '0.50'), ('jest', 9, 6, 3, 0, 0, NULL), ('maven', 10, 6, 3, 1, 0, NULL), ('django', 8, 8, 0, 0, 0, NULL), ('django', 0, 0, 2, 0, 1, NULL)) t(framework, total, passed, failed, skipped, errors, duration)")
+def parse_test_summary(spark, d):
+    logs = [("pytest", "== 2 failed, 5 passed in 1.20s =="), ("pytest", "=== 4 passed in 0.50s ==="), ("jest", "Tests: 3 failed, 6 passed, 9 total"), ("maven", "Tests run: 10, Failures: 2, Errors: 1, Skipped: 1"), ("django", "Ran 8 tests in 1s\n\nOK"), ("django", "FAILED (failures=2, errors=1)")]
+    return spark.createDataFrame(logs, "framework string, log string").select("framework", text.test_summary(F.col("framework"), F.col("log")).alias("s")).select("framework", "s.*")
+
+
+# ranked retrieval
+
+
+@query("SELECT '{0.intent}' AS intent, '{1}' AS concepts, '{2}' AS keywords".format(rank.analyse(QUESTION), " ".join(rank.analyse(QUESTION).concepts), " ".join(rank.analyse(QUESTION).keywords)))
+def query_analysis(spark, d):
+    q = rank.analyse(QUESTION)
+    return spark.createDataFrame([(q.intent, " ".join(q.concepts), " ".join(q.keywords))], "intent string, concepts string, keywords string")
+
+
+_STARTS = lambda patterns: "regexp_matches(s, '^(?:" + "|".join(patterns).replace("'", "''") + ")')"
+KIND = (
+    f"CASE WHEN {_STARTS(rank.FUNCTION)} THEN 'function_definition' WHEN {_STARTS(rank.CLASS)} THEN 'class_definition' WHEN {_STARTS(rank.IMPORT)} THEN 'import_statement' WHEN {_STARTS(rank.COMMENT)} THEN 'documentation'"
+    f" WHEN contains(s, '=') AND NOT regexp_matches(s, '^(?:if|while|for|elif|else)') AND {_STARTS(rank.ASSIGNMENT)} THEN 'variable_assignment' WHEN regexp_matches(lower(text), 'test|assert|expect') THEN 'test_code' ELSE 'general_code' END"
+)
+KINDS = f"{LINES}, kinds AS (SELECT path, line, {KIND} AS match_type FROM (SELECT path, line, text, {STRIP.format('text')} AS s FROM lines))"
+
+
+@query(f"WITH {KINDS} SELECT * FROM kinds")
+def line_classify(spark, d):
+    return search.explode_lines(files(spark, d), False).select("path", "line", rank.kind_of(F.col("text")).alias("match_type"))
+
+
+@query(f"WITH {KINDS} SELECT path, line, CASE match_type WHEN 'function_definition' THEN 3.5::DOUBLE WHEN 'class_definition' THEN 2.2::DOUBLE WHEN 'import_statement' THEN 1.8::DOUBLE WHEN 'documentation' THEN 1.8::DOUBLE WHEN 'variable_assignment' THEN 1.5::DOUBLE WHEN 'test_code' THEN 1.8::DOUBLE ELSE 1.0::DOUBLE END AS score, CASE WHEN match_type IN ('function_definition', 'general_code') THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS relevance FROM kinds")
+def context_score(spark, d):
+    line = F.col("text")
+    return search.explode_lines(files(spark, d), False).where(~F.lower(line).contains("mock")).select("path", "line", rank.context_score(line, "find_function").alias("score"), rank.context_relevance(line, "find_function").alias("relevance"))
+
+
+@query(f"WITH {FILES} SELECT path, CASE WHEN contains(lower(content), 'error') THEN 2.0::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN contains(lower(content), 'test') THEN 2.0::DOUBLE ELSE 0.0::DOUBLE END AS concepts, 0.0::DOUBLE AS own FROM files")
+def concept_and_file_bonus(spark, d):
+    return files(spark, d).select("path", rank.concept_bonus(F.col("content"), ["error", "test"]).alias("concepts"), rank.file_bonus(F.col("path"), "find_function").alias("own"))
+
+
+_M = " + ".join(f"(CASE WHEN contains(lower(text), '{t}') THEN 1 ELSE 0 END)" for t in TERMS)
+NEAR = f"{LINES}, m AS (SELECT path, line, {_M} AS m FROM lines), near AS (SELECT a.path, a.line, any_value(a.m) AS m, coalesce(sum(CASE WHEN a.m >= 1 THEN 0.3::DOUBLE * b.m / (abs(a.line - b.line) + 1) END), 0) AS s FROM m a LEFT JOIN m b ON a.path = b.path AND abs(a.line - b.line) BETWEEN 1 AND 5 GROUP BY a.path, a.line), bonus AS (SELECT path, least(sum(CASE WHEN m > 1 THEN m * 0.8::DOUBLE ELSE 0 END + s), 10) AS bonus FROM near GROUP BY path)"
+
+
+@query(f"WITH {NEAR} SELECT path, round(bonus, 4) AS bonus FROM bonus")
+def proximity_bonus(spark, d):
+    return rank.proximity(files(spark, d), TERMS).select("path", F.round("bonus", 4).alias("bonus"))
+
+
+@query()
+def keyword_rank_topk(spark, d):
+    return rank.rank_files(files(spark, d), QUESTION, 20)
+
+
+@query()
+def match_preview_top3(spark, d):
+    return rank.previews(files(spark, d), "license agreement")
+
+
+# chunks
+
+CHUNKS = f"{FILES}, blocks AS (SELECT path, i, len(l) AS n, array_to_string(l[i * 40 + 1 : i * 40 + 40], chr(10)) AS content FROM (SELECT path, l, unnest(range(0, CAST(ceil(len(l) / 40.0) AS BIGINT))) AS i FROM (SELECT path, string_split(content, chr(10)) AS l FROM files))), chunks AS (SELECT path || ':' || (i * 40 + 1) || ':' || substr(md5(content), 1, 8) AS id, path, CAST(i * 40 + 1 AS BIGINT) AS start_line, CAST(least(n, i * 40 + 40) AS BIGINT) AS end_line, 'chunk_' || i AS name, content FROM blocks WHERE length({STRIP.format('content')}) >= 50)"
+
+
+def chunk_rows(spark, d):
+    return chunks.line_chunks(files(spark, d)).withColumn("start_line", F.col("start_line").cast("long")).withColumn("end_line", F.col("end_line").cast("long"))
+
+
+@query(f"WITH {CHUNKS} SELECT id, path, start_line, end_line, name FROM chunks")
+def chunk_lines_40(spark, d):
+    return chunk_rows(spark, d).select("id", "path", "start_line", "end_line", "name")
+
+
+@query(f"WITH {CHUNKS} SELECT id, CAST(floor(length(content) / 4) AS BIGINT) AS tokens, md5('Text_Chunk ' || name || ' in ' || path || chr(10) || chr(10) || content) AS embedded, CASE WHEN length(content) > 2000 THEN substr(content, 1, 2000) || chr(10) || '... (truncated)' ELSE content END AS block, CASE WHEN length(content) > 200 THEN substr(content, 1, 200) || '...' ELSE content END AS preview FROM chunks")
+def chunk_embed_text(spark, d):
+    c = chunk_rows(spark, d)
+    embedded = chunks.embed_text(F.col("chunk_type"), F.col("name"), F.lit(None).cast("string"), F.col("language"), F.col("path"), F.col("content"))
+    return c.select("id", chunks.tokens(F.col("content")).alias("tokens"), F.md5(embedded.cast("binary")).alias("embedded"), chunks.truncate_block(F.col("content")).alias("block"), text.clip(F.col("content"), 200).alias("preview"))
+
+
+@query()
+def token_split(spark, d):
+    return chunks.token_split(chunk_rows(spark, d), 200)
+
+
+@query(f"WITH {CHUNKS} SELECT count(*) AS chunks, count(DISTINCT path) AS files, round(count(*)::DOUBLE / count(DISTINCT path), 4) AS per_file FROM chunks")
+def index_stats_files(spark, d):
+    return vectors.index_stats(chunk_rows(spark, d))
+
+
+# vectors
+
+UNIT = "unit AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS v FROM embeddings)"
+_Q = [1.0 if i % 3 == 0 else -0.5 for i in range(64)]
+_L = sum(x * x for x in _Q) ** 0.5
+SCORED = f"{UNIT}, scored AS (SELECT vec_id, label, round(list_sum(list_transform(list_zip(v, {[x / _L for x in _Q]!r}::DOUBLE[]), lambda p: p[1] * p[2])), 4) AS score FROM unit)"
+
+
+@query(f"WITH {UNIT} SELECT vec_id, round(v[1], 4) AS first, round(list_sum(v), 3) AS total FROM unit")
+def vector_normalize(spark, d):
+    v = table(spark, d, "embeddings").select("vec_id", vectors.normalise(F.col("embedding")).alias("v"))
+    return v.select("vec_id", F.round(F.col("v")[0], 4).alias("first"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x), 3).alias("total"))
+
+
+@query(f"WITH {SCORED} SELECT * FROM scored ORDER BY score DESC, vec_id LIMIT 10")
+def vector_topk(spark, d):
+    return vectors.top_k(table(spark, d, "embeddings"), _Q)
+
+
+@query(f"WITH {SCORED} SELECT * FROM (SELECT * FROM scored ORDER BY score DESC, vec_id LIMIT 20) WHERE label = 3 ORDER BY score DESC, vec_id LIMIT 10")
+def vector_topk_postfilter(spark, d):
+    return vectors.top_k(table(spark, d, "embeddings"), _Q, where=F.col("label") == 3, after=True)
+
+
+@query(f"WITH {SCORED} SELECT * FROM scored WHERE label = 3 ORDER BY score DESC, vec_id LIMIT 10")
+def vector_topk_prefilter(spark, d):
+    return vectors.top_k(table(spark, d, "embeddings"), _Q, where=F.col("label") == 3)
+
+
+@query("SELECT label, count(*) AS n FROM embeddings GROUP BY label")
+def index_stats_by_type(spark, d):
+    return table(spark, d, "embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+# graphs
+
+
+@query(f"WITH {EDGES} SELECT src, dst, max_by(weight, pos) AS weight FROM edges GROUP BY ALL")
+def edge_last_wins(spark, d):
+    return graph.last_wins(edges(spark, d).drop("kind"), "pos")
+
+
+@query(f"WITH {SUMMED} SELECT dst AS src, src AS dst, weight FROM summed")
+def reverse_edges(spark, d):
+    return graph.reverse(summed(spark, d))
+
+
+_PR = 5
+_STEPS = ", ".join(
+    f"r{k + 1} AS (SELECT n.node, (0.15::DOUBLE + 0.85 * (SELECT coalesce(sum(rank), 0) FROM r{k} WHERE node NOT IN (SELECT src FROM share))) / (SELECT count(*) FROM nodes) + 0.85 * coalesce(g.given, 0) AS rank FROM nodes n LEFT JOIN (SELECT dst, sum(rank * share) AS given FROM r{k} JOIN share ON node = src GROUP BY dst) g ON n.node = g.dst)"
+    for k in range(_PR)
+)
+
+
+@query(f"WITH {SUMMED}, nodes AS (SELECT src AS node FROM summed UNION SELECT dst FROM summed), share AS (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS share FROM summed), r0 AS (SELECT node, 1.0::DOUBLE / (SELECT count(*) FROM nodes) AS rank FROM nodes), {_STEPS} SELECT node, round(rank, 6) AS rank FROM r{_PR}")
+def pagerank_k(spark, d):
+    return graph.pagerank(summed(spark, d), rounds=_PR, tolerance=None).select("node", F.round("rank", 6).alias("rank"))
+
+
+@query("SELECT c_custkey AS node FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def degree_isolates(spark, d):
+    links = table(spark, d, "orders").select(F.col("o_custkey").alias("src"), F.col("o_custkey").alias("dst"))
+    return graph.isolates(table(spark, d, "customer").select(F.col("c_custkey").alias("node")), links)
+
+
+TREE = "tree AS (SELECT p_partkey // 3 AS src, p_partkey AS dst FROM part WHERE p_partkey < 120 AND p_partkey > 0)"
+
+
+def tree(spark, d):
+    return table(spark, d, "part").where("p_partkey < 120 and p_partkey > 0").select(F.floor(F.col("p_partkey") / 3).alias("src"), F.col("p_partkey").alias("dst"))
+
+
+@query(f"WITH RECURSIVE {TREE}, walk AS (SELECT CAST(0 AS BIGINT) AS node, CAST(0 AS BIGINT) AS level UNION SELECT dst, level + 1 FROM walk JOIN tree ON src = node WHERE level < 20) SELECT node, min(level) AS level FROM walk GROUP BY node")
+def bfs_levels(spark, d):
+    found = graph.bfs_levels(tree(spark, d), spark.createDataFrame([(0,)], "node long"))
+    return found.select("node", F.col("level").cast("long").alias("level"))
+
+
+@query(f"WITH RECURSIVE {TREE}, walk AS (SELECT CAST(0 AS BIGINT) AS node, CAST(0 AS BIGINT) AS level UNION SELECT dst, level + 1 FROM walk JOIN tree ON src = node WHERE level < 20) SELECT node, max(level) AS level FROM walk GROUP BY node")
+def topo_levels(spark, d):
+    found = graph.topological_levels(tree(spark, d))
+    return found.select("node", F.col("level").cast("long").alias("level"))
+
+
+@query(f"WITH {SUMMED}, rank AS (SELECT node, 1.0::DOUBLE / (1 + node) AS rank, 1.0::DOUBLE + node % 5 AS rel FROM (SELECT src AS node FROM summed UNION SELECT dst FROM summed)) SELECT src, dst, round((a.rank + b.rank) * (a.rel / b.rel) * weight, 6) AS weight FROM summed JOIN rank a ON src = a.node JOIN rank b ON dst = b.node")
+def edge_reweight(spark, d):
+    e = summed(spark, d)
+    nodes = graph.nodes_of(e)
+    out = graph.reweight(e, nodes.withColumn("rank", 1.0 / (1 + F.col("node"))), nodes.withColumn("relevance", 1.0 + F.col("node") % 5))
+    return out.select("src", "dst", F.round("weight", 6).alias("weight"))
+
+
+MEMBERS = "member AS (SELECT node, node % 7 AS community FROM (SELECT src AS node FROM summed UNION SELECT dst FROM summed))"
+
+
+def membership(e):
+    return graph.nodes_of(e).withColumn("community", F.col("node") % 7)
+
+
+@query(f"WITH {SUMMED}, {MEMBERS} SELECT a.community AS src, b.community AS dst, sum(weight) AS weight FROM summed JOIN member a ON src = a.node JOIN member b ON dst = b.node WHERE a.community <> b.community GROUP BY ALL")
+def contract_sum(spark, d):
+    e = summed(spark, d)
+    return graph.contract(e, membership(e))
+
+
+@query(f"WITH {SUMMED}, {MEMBERS} SELECT a.community AS src, b.community AS dst, max_by(weight, pos) AS weight FROM edges JOIN member a ON src = a.node JOIN member b ON dst = b.node WHERE a.community <> b.community GROUP BY ALL")
+def contract_last_wins(spark, d):
+    return graph.contract(edges(spark, d), membership(summed(spark, d)), "last", "pos")
+
+
+@query(f"WITH {SUMMED}, {MEMBERS} SELECT 'Community_' || (row_number() OVER (ORDER BY n DESC, least) - 1) AS community_id, n AS size, least AS least_node FROM (SELECT community, count(*) AS n, min(node) AS least FROM member GROUP BY community)")
+def community_table(spark, d):
+    return graph.community_table(membership(summed(spark, d))).select("community_id", "size", F.col("nodes")[0].alias("least_node"))
+
+
+PARTS = f"{URLS}, parts AS (SELECT DISTINCT path, list_distinct(string_split(trim(path, '/'), '/')) AS p FROM files)"
+MEAN = f"{PARTS}, member AS (SELECT length(path) % 4 AS community, p FROM parts WHERE length(path) % 2 = 0), sim AS (SELECT a.path, CAST(m.community AS BIGINT) AS community, avg(len(list_intersect(a.p, m.p))::DOUBLE / len(list_distinct(list_concat(a.p, m.p)))) AS s FROM parts a, member m WHERE length(a.path) % 2 = 1 GROUP BY ALL)"
+
+
+def similarity(spark, d):
+    p = urls(spark, d).select("path").distinct()
+    even = p.where(F.length("path") % 2 == 0).select("path", (F.length("path") % 4).cast("long").alias("community"))
+    return graph.mean_similarity(p.where(F.length("path") % 2 == 1), even)
+
+
+@query(f"WITH {MEAN} SELECT path, community, round(s, 6) AS similarity FROM sim WHERE s > 0")
+def mean_path_similarity(spark, d):
+    return similarity(spark, d).select("path", "community", F.round("similarity", 6).alias("similarity"))
+
+
+@query(f"WITH {MEAN} SELECT path, community FROM (SELECT path, community, row_number() OVER (PARTITION BY path ORDER BY round(s, 9) DESC, community) AS r FROM sim WHERE s >= 0.1) WHERE r = 1")
+def assign_isolated_oneshot(spark, d):
+    rounded = similarity(spark, d).withColumn("similarity", F.round("similarity", 9))
+    return graph.assign_isolated(rounded, 0.1).select("path", "community")
+
+
+@query()
+def community_detect(spark, d):
+    return graph.communities(summed(spark, d))
