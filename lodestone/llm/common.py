@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import re
 import tempfile
@@ -108,8 +111,23 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return column.view(kind).to_pylist() if column.type != kind else column.to_pylist()
 
 
+#: What drops the memory that an operator keeps between tasks of a worker process.
+KEPT: list = []
+
+
+def release() -> None:
+    """Give back what earlier tasks of this worker process left, before a task of another kind begins."""
+    for drop in KEPT:
+        drop()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that a text column has about so many bytes in each; a longer text stands alone."""
+    release()
     for batch in batches:
         n = batch.num_rows
         if not n:

@@ -18,9 +18,12 @@ from collections.abc import Iterator
 
 import numpy as np
 
+from .common import KEPT
+
 #: Closing marks that are one piece together, and the pieces of a pattern that takes letters and marks apart.
 MARKS, LETTERS, REST = ".,!?;:|%$#&*", r"[\p{L}]+|", r"[^\s\p{L}\p{N}]+"
 _BY_PATH: dict[tuple[str, int], Encoder] = {}
+KEPT.append(_BY_PATH.clear)
 
 
 class Memory(dict):

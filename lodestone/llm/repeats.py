@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, mixed, partitions, read_array, scratch, slices, text_bytes, write_file
+from .common import bounded_batches, mixed, partitions, read_array, release, scratch, slices, text_bytes, write_file
 
 WIDTH, GRAM = 200, 48
 PIECE = 2 << 20  # of at most 2**24 bytes, as anchors are found by place in a piece
@@ -273,6 +273,7 @@ def spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
                     )
 
     def build(batches):
+        release()
         strings: dict[tuple, int] = {}
         where: list[list[tuple[bytes, bytes, bytes]]] = []
         size, now = 0, None

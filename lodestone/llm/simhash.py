@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialise, partitions, slices, text_bytes
+from .common import bounded_batches, materialise, partitions, release, slices, text_bytes
 from .components import components
 
 SEGMENTS, SEGMENT_BITS, MOST_BITS = 2, 32, 3
@@ -132,6 +132,7 @@ def links(fps: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
     rows = rows.repartition(partitions(spark), "seg", "key", "chunk").sortWithinPartitions("seg", "key", "chunk", F.desc("is_table"))
 
     def match(batches):
+        release()
         forest, group, table, wait = Forest(), None, [], []
 
         def compare():
