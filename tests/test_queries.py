@@ -8,7 +8,7 @@ import pytest
 
 from lodestone.plans.catalog import ORACLE_SQL, QUERIES
 
-DATA = "/root/testdata/sf0.001"
+DATA = os.environ.get("QUERY_DATA", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables are not here")
 
 
