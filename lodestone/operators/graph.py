@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,10 +17,21 @@ TYPE_WEIGHTS = {
 DAMPING, ROUNDS, TOLERANCE = 0.85, 100, 1e-6
 
 
+_OWN: list[str] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """End an iteration's lineage; survives lost executors where a checkpoint folder is set."""
-    context = df.sparkSession.sparkContext
-    return df.checkpoint() if context.getCheckpointDir() else df.persist()
+    """End an iteration's lineage with a written table in the checkpoint folder; a temporary one only where none is set.
+
+    Unlike a checkpoint it also ends the planner's size estimates, whose products would grow with each round."""
+    base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not _OWN:
+            _OWN.append(tempfile.mkdtemp(prefix="lodestone-"))
+        base = f"file://{_OWN[0]}"
+    path = f"{base.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def type_weight(kind: Column) -> Column:

@@ -54,7 +54,7 @@ FILES = "files AS (SELECT source || '/' || lang || '/doc_' || doc_id || '.txt' A
 LINES = FILES + ", lines AS (SELECT path, CAST(unnest(range(1, len(l) + 1)) AS INTEGER) AS line, unnest(l) AS text FROM (SELECT path, string_split(content, chr(10)) AS l FROM files))"
 URLS = "files AS (SELECT regexp_replace(url, '^https?://', '') AS path, html AS content FROM pages)"
 EDGES = "edges AS (SELECT l_suppkey AS src, l_partkey % 50 AS dst, l_returnflag AS kind, l_orderkey * 10 + l_linenumber AS pos, CASE l_returnflag WHEN 'A' THEN 2.0::DOUBLE WHEN 'R' THEN 3.0::DOUBLE ELSE 1.0::DOUBLE END AS weight FROM lineitem)"
-SUMMED = EDGES + ", summed AS (SELECT src, dst, sum(weight) AS weight FROM edges GROUP BY ALL)"
+SUMMED = EDGES + ", summed AS MATERIALIZED (SELECT src, dst, sum(weight) AS weight FROM edges GROUP BY ALL)"
 STRIP = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
 SUFFIX = "regexp_extract({0}, '[^/](\\.[^./]+)$', 1)"
 
@@ -335,12 +335,12 @@ def reverse_edges(spark, d):
 
 _PR = 5
 _STEPS = ", ".join(
-    f"r{k + 1} AS (SELECT n.node, (0.15::DOUBLE + 0.85 * (SELECT coalesce(sum(rank), 0) FROM r{k} WHERE node NOT IN (SELECT src FROM share))) / (SELECT count(*) FROM nodes) + 0.85 * coalesce(g.given, 0) AS rank FROM nodes n LEFT JOIN (SELECT dst, sum(rank * share) AS given FROM r{k} JOIN share ON node = src GROUP BY dst) g ON n.node = g.dst)"
+    f"r{k + 1} AS MATERIALIZED (SELECT n.node, (0.15::DOUBLE + 0.85 * (SELECT coalesce(sum(rank), 0) FROM r{k} WHERE node NOT IN (SELECT src FROM share))) / (SELECT count(*) FROM nodes) + 0.85 * coalesce(g.given, 0) AS rank FROM nodes n LEFT JOIN (SELECT dst, sum(rank * share) AS given FROM r{k} JOIN share ON node = src GROUP BY dst) g ON n.node = g.dst)"
     for k in range(_PR)
 )
 
 
-@query(f"WITH {SUMMED}, nodes AS (SELECT src AS node FROM summed UNION SELECT dst FROM summed), share AS (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS share FROM summed), r0 AS (SELECT node, 1.0::DOUBLE / (SELECT count(*) FROM nodes) AS rank FROM nodes), {_STEPS} SELECT node, round(rank, 6) AS rank FROM r{_PR}")
+@query(f"WITH {SUMMED}, nodes AS MATERIALIZED (SELECT src AS node FROM summed UNION SELECT dst FROM summed), share AS MATERIALIZED (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS share FROM summed), r0 AS MATERIALIZED (SELECT node, 1.0::DOUBLE / (SELECT count(*) FROM nodes) AS rank FROM nodes), {_STEPS} SELECT node, round(rank, 6) AS rank FROM r{_PR}")
 def pagerank_k(spark, d):
     return graph.pagerank(summed(spark, d), rounds=_PR, tolerance=None).select("node", F.round("rank", 6).alias("rank"))
 
