@@ -257,7 +257,7 @@ def match_preview_top3(spark, d):
 
 # chunks
 
-CHUNKS = f"{FILES}, blocks AS (SELECT path, i, len(l) AS n, array_to_string(l[i * 40 + 1 : i * 40 + 40], chr(10)) AS content FROM (SELECT path, l, unnest(range(0, CAST(ceil(len(l) / 40.0) AS BIGINT))) AS i FROM (SELECT path, string_split(content, chr(10)) AS l FROM files))), chunks AS (SELECT path || ':' || (i * 40 + 1) || ':' || substr(md5(content), 1, 8) AS id, path, CAST(i * 40 + 1 AS BIGINT) AS start_line, CAST(least(n, i * 40 + 40) AS BIGINT) AS end_line, 'chunk_' || i AS name, content FROM blocks WHERE length({STRIP.format('content')}) >= 50)"
+CHUNKS = f"{FILES}, blocks AS (SELECT path, i, len(l) AS n, array_to_string(l[i * 40 + 1 : i * 40 + 40], chr(10)) AS content FROM (SELECT path, l, unnest(range(0, CAST(ceil(len(l) / 40.0) AS BIGINT))) AS i FROM (SELECT path, string_split(content, chr(10)) AS l FROM files))), chunks AS (SELECT path || ':' || (i * 40 + 1) || ':' || substr(md5(content), 1, 8) AS id, path, CAST(i * 40 + 1 AS BIGINT) AS start_line, CAST(least(n, i * 40 + 40) AS BIGINT) AS end_line, 'chunk_' || (i + 1) AS name, content FROM blocks WHERE length({STRIP.format('content')}) >= 50)"
 
 
 def chunk_rows(spark, d):
@@ -269,7 +269,7 @@ def chunk_lines_40(spark, d):
     return chunk_rows(spark, d).select("id", "path", "start_line", "end_line", "name")
 
 
-@query(f"WITH {CHUNKS} SELECT id, CAST(floor(length(content) / 4) AS BIGINT) AS tokens, md5('Text_Chunk ' || name || ' in ' || path || chr(10) || chr(10) || content) AS embedded, CASE WHEN length(content) > 2000 THEN substr(content, 1, 2000) || chr(10) || '... (truncated)' ELSE content END AS block, CASE WHEN length(content) > 200 THEN substr(content, 1, 200) || '...' ELSE content END AS preview FROM chunks")
+@query(f"WITH {CHUNKS} SELECT id, CAST(floor(length(content) / 4) AS BIGINT) AS tokens, md5('Text_Chunk ' || name || ' in ' || path || chr(10) || chr(10) || content) AS embedded, CASE WHEN length(content) > 2000 THEN substr(content, 1, 2000) || chr(10) || '# ... (truncated)' ELSE content END AS block, CASE WHEN length(content) > 200 THEN substr(content, 1, 200) || '...' ELSE content END AS preview FROM chunks")
 def chunk_embed_text(spark, d):
     c = chunk_rows(spark, d)
     embedded = chunks.embed_text(F.col("chunk_type"), F.col("name"), F.lit(None).cast("string"), F.col("language"), F.col("path"), F.col("content"))
