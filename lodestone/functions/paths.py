@@ -49,7 +49,12 @@ def allowed(path: Column, hidden: bool = True, version_control: bool = True) ->
         ok = ok & ~F.arrays_overlap(parts, F.array(*map(F.lit, (".git", ".svn", ".hg"))))
     if not hidden:
         ok = ok & ~F.exists(parts, lambda p: p.startswith("."))
-    return ok & (F.lower(suffix(path)).isin(ALLOWED) | F.lower(basename(path)).isin(TEXT_NAMES))
+    return ok & (F.lower(suffix(path)).isin(ALLOWED) | text_name(path))
+
+
+def text_name(path: Column) -> Column:
+    """Whether a file is known as text by its name alone."""
+    return F.lower(basename(path)).isin(TEXT_NAMES)
 
 
 def language(path: Column, content: Column | None = None) -> Column:

@@ -48,6 +48,17 @@ def fenced(text: Column, kind: str) -> Column:
     return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, 1))
 
 
+def llm_output(text: Column) -> Column:
+    """STRUCT<module_groups, plantuml_diagram STRING>: the stripped JSON block, null if it can't be parsed, and the diagram."""
+    block = strip(fenced(text, "json"))
+    return F.struct(F.when(F.try_parse_json(block).isNotNull(), block).alias("module_groups"), strip(fenced(text, "plantuml")).alias("plantuml_diagram"))
+
+
+def unfenced_json(text: Column, schema: str) -> Column:
+    """The text without its fences, parsed; null where it can't be."""
+    return F.from_json(F.replace(F.replace(text, F.lit("```json"), F.lit("")), F.lit("```"), F.lit("")), schema)
+
+
 def without_thoughts(text: Column) -> Column:
     return F.regexp_replace(text, "(?s)<think>.*?</think>", "")
 

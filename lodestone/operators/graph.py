@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -90,6 +91,10 @@ def isolates(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(nodes_of(edges), "node", "left_anti")
 
 
+def without_isolates(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    return nodes.join(nodes_of(edges), "node", "left_semi")
+
+
 def bfs_levels(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """(node, level): steps from the nearest source; unreached nodes are left out."""
     seen = cut(sources.select("node", F.lit(0).alias("level")).distinct())
@@ -143,6 +148,16 @@ def merge_types(a: Column, b: Column) -> Column:
     return F.map_zip_with(a, b, lambda k, x, y: F.coalesce(x, F.lit(0.0)) + F.coalesce(y, F.lit(0.0)))
 
 
+def contract_types(edges: DataFrame, membership: DataFrame) -> DataFrame:
+    """(src, dst, weight, types): edges between communities with their weights and, key by key, their types summed."""
+    a, b = (membership.select(F.col("node").alias(k), F.col("community").alias(f"c{k}")) for k in ("src", "dst"))
+    e = edges.join(a, "src").join(b, "dst").where("csrc <> cdst").select(F.col("csrc").alias("src"), F.col("cdst").alias("dst"), "weight", "types")
+    weights = e.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+    each = e.select("src", "dst", F.explode("types").alias("k", "v")).groupBy("src", "dst", "k").agg(F.sum("v").alias("v"))
+    types = each.groupBy("src", "dst").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("types"))
+    return weights.join(types, ["src", "dst"], "left")
+
+
 def path_parts(path: Column) -> Column:
     return F.split(F.btrim(path, F.lit("/")), "/")
 
@@ -171,6 +186,34 @@ def assign_isolated(similarity: DataFrame, threshold: float = 0.5) -> DataFrame:
     return similarity.where(F.col("similarity") >= threshold).withColumn("r", F.row_number().over(best)).where("r = 1").drop("r")
 
 
+def assign_isolated_in_turn(isolated: DataFrame, members: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """(path, community) of isolated paths taken in the order of their column ``turn``: each joins the community that
+    is nearest on average, and then counts as its member; ties go to the earlier one. Below the threshold it founds a
+    community, numbered on from the last. Each step needs the one before, so this runs in one task, for isolates that
+    fit there; assign_isolated decides all at once and has no such bound."""
+
+    def work(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["turn", "path"], na_position="first")
+        sets: dict[int, list[frozenset]] = {}
+        for community, path in zip(rows.community, rows.path):
+            if not pd.isna(community):
+                sets.setdefault(int(community), []).append(frozenset(path.strip("/").split("/")))
+        new, out = max(sets, default=-1) + 1, []
+        for path in rows.path[rows.community.isna()]:
+            parts = frozenset(path.strip("/").split("/"))
+            mean = {c: sum(len(parts & m) / len(parts | m) for m in ms) / len(ms) for c, ms in sets.items()}
+            best = min(mean, key=lambda c: (-mean[c], c), default=None)
+            if best is None or not mean[best] or mean[best] < threshold:
+                best, new = new, new + 1
+            sets.setdefault(best, []).append(parts)
+            out.append((path, best))
+        return pd.DataFrame(out, columns=["path", "community"])
+
+    first = members.select("path", F.col("community").cast("long").alias("community"), F.lit(None).cast("long").alias("turn"))
+    both = first.unionByName(isolated.select("path", F.lit(None).cast("long").alias("community"), F.col("turn").cast("long").alias("turn")))
+    return both.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(work, "path string, community long")
+
+
 def community_table(membership: DataFrame) -> DataFrame:
     """Communities by falling size, then least member: (community_id, size, nodes)."""
     sets = membership.groupBy("community").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("least"), F.array_sort(F.collect_list("node")).alias("nodes"))
@@ -201,3 +244,38 @@ def communities(edges: DataFrame, most: int = 20, rounds: int = 20) -> DataFrame
             break
         member = cut(member.join(agreed, "community", "left").select("node", F.coalesce("into", "community").alias("community")))
     return member
+
+
+def recluster(edges: DataFrame, most: int = 20, below: int = 200, rounds: int = 20) -> DataFrame:
+    """(node, community): communities of communities, until fewer than ``below`` are left or a round merges none.
+
+    ``most`` bounds the members of one round's community, which from the second round on are communities."""
+    member, level = communities(edges, most, rounds), edges
+    count = member.select("community").distinct().count()
+    while count >= below:
+        level = cut(contract(edges, member))
+        merged = communities(level, most, rounds).select(F.col("node").alias("community"), F.col("community").alias("into"))
+        member = cut(member.join(merged, "community", "left").select("node", F.coalesce("into", "community").alias("community")))
+        left = member.select("community").distinct().count()
+        if left == count:
+            break
+        count = left
+    return member
+
+
+def roll_up(modules: DataFrame, membership: DataFrame, names: DataFrame) -> DataFrame:
+    """(module_name, reasoning, nodes): the names in each module's communities; ids of no community are skipped.
+
+    ``modules`` has module_name, reasoning and the array communities; names come in the order of their ids."""
+    listed = modules.select("module_name", "reasoning", F.posexplode("communities").alias("at", "community"))
+    found = listed.join(membership, "community").join(names.select(F.col("id").alias("node"), "name"), "node")
+    lists = found.groupBy("module_name").agg(F.array_sort(F.collect_list(F.struct("at", "node", "name"))).alias("n"))
+    return modules.select("module_name", "reasoning").join(lists, "module_name", "left").select("module_name", "reasoning", F.coalesce(F.transform("n", lambda x: x["name"]), F.array().cast("array<string>")).alias("nodes"))
+
+
+def payload(communities: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row of JSON texts (communities, edges) for a prompt over a contracted graph, whose size recluster bounds."""
+    as_json = lambda df, order: df.agg(F.to_json(F.array_sort(F.collect_list(F.struct(*order, *[c for c in df.columns if c not in order]))))).toDF("j")
+    links = edges.select(F.col("src").alias("source"), F.col("dst").alias("target"), *[c for c in edges.columns if c not in ("src", "dst")])
+    left, right = as_json(communities, ["id"]).withColumnRenamed("j", "communities"), as_json(links, ["source", "target"]).withColumnRenamed("j", "edges")
+    return left.withColumn("one", F.lit(1)).join(right.withColumn("one", F.lit(1)), "one").drop("one")

@@ -39,6 +39,20 @@ def index_stats(chunks: DataFrame) -> DataFrame:
     return counts.select("chunks", "files", F.round(F.try_divide("chunks", "files"), 4).alias("per_file"))
 
 
+def lookup(index: DataFrame, ids: list, key: str = "id", position: str | None = None) -> DataFrame:
+    """Rows of an index by id; of several with one id the last by ``position``, if that is given."""
+    found = index.where(F.col(key).isin(ids))
+    if position is None:
+        return found
+    rest = [c for c in index.columns if c != key]
+    return found.groupBy(key).agg(F.max_by(F.struct(*rest), position).alias("r")).select(key, "r.*")
+
+
+def append(index: DataFrame, new: DataFrame) -> DataFrame:
+    """The index with new rows; ids that were there stay twice, and lookup says which counts."""
+    return index.unionByName(new)
+
+
 def hashed_embedding(texts: list[str], dimensions: int = DIMENSIONS) -> np.ndarray:
     """The offline default: each word adds a signed hash coordinate."""
     out = np.zeros((len(texts), dimensions), np.float32)

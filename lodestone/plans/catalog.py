@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths, text
-from ..operators import chunks, graph, rank, search, vectors
+from ..operators import chunks, graph, rank, search, symbols, vectors
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -87,6 +87,18 @@ def policy_filter(spark, d):
     return urls(spark, d).where(paths.allowed(F.col("path"))).select("path")
 
 
+@query(f"WITH {URLS} SELECT path, lower(regexp_extract(path, '[^/]*$')) IN ({', '.join(map(repr, paths.TEXT_NAMES))}) AS is_text FROM (SELECT path FROM files UNION ALL SELECT path || '/README' FROM files)")
+def text_file_names(spark, d):
+    u = urls(spark, d).select("path")
+    both = u.unionByName(u.select(F.concat("path", F.lit("/README")).alias("path")))
+    return both.select("path", paths.text_name(F.col("path")).alias("is_text"))
+
+
+@query(f"WITH {LINES} SELECT path, line FROM lines WHERE length({STRIP.format('text')}) >= 50")
+def min_length_filter(spark, d):
+    return search.explode_lines(files(spark, d), False).where(F.length(text.strip(F.col("text"))) >= chunks.LEAST_CHARS).select("path", "line")
+
+
 @query(f"WITH {URLS} SELECT path, {SUFFIX.format('path')} AS suffix, regexp_extract(path, '[^/]*$') AS name FROM files")
 def path_suffix(spark, d):
     return urls(spark, d).select("path", paths.suffix(F.col("path")).alias("suffix"), paths.basename(F.col("path")).alias("name"))
@@ -186,6 +198,14 @@ def extract_fenced_block(spark, d):
     return c.select("conv_id", "turn", text.fenced(text.without_thoughts(made), "json").alias("block"))
 
 
+@query("SELECT conv_id, turn, CASE WHEN turn % 3 <> 0 THEN '{\"turn\": ' || turn || '}' END AS module_groups, '@startuml' || chr(10) || role AS plantuml_diagram, CASE WHEN turn % 3 <> 0 THEN turn END AS parsed FROM conversations")
+def parse_llm_output(spark, d):
+    block = F.concat(F.lit('```json\n{"turn": '), F.when(F.col("turn") % 3 != 0, F.col("turn").cast("string")).otherwise("?"), F.lit("}\n```"))
+    made = F.concat(F.lit("so:\n"), block, F.lit("\n```plantuml\n@startuml\n"), "role", F.lit("\n```"))
+    c = table(spark, d, "conversations").select("conv_id", "turn", text.llm_output(made).alias("o"), text.unfenced_json(block, "turn long").alias("p"))
+    return c.select("conv_id", "turn", "o.*", F.col("p.turn").alias("parsed"))
+
+
 @query("SELECT conv_id, turn, text || '!' AS text FROM conversations")
 def strip_think(spark, d):
     c = table(spark, d, "conversations")
@@ -320,8 +340,32 @@ def index_stats_by_type(spark, d):
     return table(spark, d, "embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("SELECT vec_id, label FROM embeddings WHERE vec_id IN (3, 7, 11)")
+def chunk_lookup(spark, d):
+    return vectors.lookup(table(spark, d, "embeddings").select("vec_id", "label"), [3, 7, 11], "vec_id")
+
+
+@query("SELECT label, count(*) AS n FROM (SELECT label FROM embeddings UNION ALL SELECT label + 100 FROM embeddings WHERE vec_id % 2 = 0) GROUP BY label")
+def index_append(spark, d):
+    index = table(spark, d, "embeddings").select("vec_id", "label")
+    new = index.where("vec_id % 2 = 0").withColumn("label", F.col("label") + 100)
+    return vectors.append(index, new).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
 # graphs
 
+KINDS_OF_EDGE = {"A": "Call", "R": "Import", "N": "Use(possible)"}
+_WEIGHT = "CASE kind " + " ".join(f"WHEN '{k}' THEN {graph.TYPE_WEIGHTS[v.split('(')[0]]}::DOUBLE" for k, v in KINDS_OF_EDGE.items()) + " ELSE 0.0::DOUBLE END"
+
+
+@query(f"WITH {EDGES} SELECT src, dst, round(sum({_WEIGHT}), 6) AS weight FROM edges GROUP BY ALL")
+def edge_weights(spark, d):
+    kind = F.lit(None).cast("string")
+    for k, v in KINDS_OF_EDGE.items():
+        kind = F.when(F.col("kind") == k, v).otherwise(kind)
+    counts = edges(spark, d).groupBy("src", "dst", "kind").agg(F.count(F.lit(1)).alias("n"))
+    return counts.groupBy("src", "dst").agg(F.round(F.sum(graph.type_weight(kind) * F.col("n")), 6).alias("weight"))
+
 
 @query(f"WITH {EDGES} SELECT src, dst, max_by(weight, pos) AS weight FROM edges GROUP BY ALL")
 def edge_last_wins(spark, d):
@@ -351,6 +395,12 @@ def degree_isolates(spark, d):
     return graph.isolates(table(spark, d, "customer").select(F.col("c_custkey").alias("node")), links)
 
 
+@query("SELECT c_custkey AS node FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
+def remove_isolates(spark, d):
+    links = table(spark, d, "orders").select(F.col("o_custkey").alias("src"), F.col("o_custkey").alias("dst"))
+    return graph.without_isolates(table(spark, d, "customer").select(F.col("c_custkey").alias("node")), links)
+
+
 TREE = "tree AS (SELECT p_partkey // 3 AS src, p_partkey AS dst FROM part WHERE p_partkey < 120 AND p_partkey > 0)"
 
 
@@ -370,6 +420,12 @@ def topo_levels(spark, d):
     return found.select("node", F.col("level").cast("long").alias("level"))
 
 
+@query(f"WITH RECURSIVE {TREE}, links AS (SELECT DISTINCT l_suppkey % 20 AS src, l_partkey % 20 AS dst FROM lineitem), reach AS (SELECT src, dst FROM links UNION SELECT r.src, l.dst FROM reach r JOIN links l ON r.dst = l.src) SELECT 'tree' AS graph, true AS is_dag UNION ALL SELECT 'links', NOT EXISTS (SELECT 1 FROM reach WHERE src = dst)")
+def is_dag(spark, d):
+    links = table(spark, d, "lineitem").select((F.col("l_suppkey") % 20).alias("src"), (F.col("l_partkey") % 20).alias("dst")).distinct()
+    return spark.createDataFrame([("tree", graph.is_dag(tree(spark, d))), ("links", graph.is_dag(links))], "graph string, is_dag boolean")
+
+
 @query(f"WITH {SUMMED}, rank AS (SELECT node, 1.0::DOUBLE / (1 + node) AS rank, 1.0::DOUBLE + node % 5 AS rel FROM (SELECT src AS node FROM summed UNION SELECT dst FROM summed)) SELECT src, dst, round((a.rank + b.rank) * (a.rel / b.rel) * weight, 6) AS weight FROM summed JOIN rank a ON src = a.node JOIN rank b ON dst = b.node")
 def edge_reweight(spark, d):
     e = summed(spark, d)
@@ -396,11 +452,46 @@ def contract_last_wins(spark, d):
     return graph.contract(edges(spark, d), membership(summed(spark, d)), "last", "pos")
 
 
+@query(f"WITH {SUMMED}, {MEMBERS} SELECT a.community AS src, b.community AS dst, sum(weight) AS weight, sum(CASE WHEN kind = 'A' THEN 1 ELSE 0 END)::DOUBLE AS a, sum(CASE WHEN kind = 'N' THEN 1 ELSE 0 END)::DOUBLE AS n, sum(CASE WHEN kind = 'R' THEN 1 ELSE 0 END)::DOUBLE AS r FROM edges JOIN member a ON src = a.node JOIN member b ON dst = b.node WHERE a.community <> b.community GROUP BY ALL")
+def merge_type_maps(spark, d):
+    e = edges(spark, d)
+    typed = e.select("src", "dst", "weight", F.create_map("kind", F.lit(1.0)).alias("types"))
+    out = graph.contract_types(typed, membership(summed(spark, d)))
+    return out.select("src", "dst", "weight", *(F.coalesce(F.try_element_at("types", F.lit(k)), F.lit(0.0)).alias(k.lower()) for k in "ANR"))
+
+
+_MODULES = [("Core", "inner", [5, 0, 99]), ("Edge", "outer", [3]), ("None", "unknown only", [77])]
+
+
+@query(f"WITH {SUMMED}, {MEMBERS}, listed(module_name, reasoning, community, place) AS (VALUES " + ", ".join(f"('{m}', '{r}', {c}, {i})" for m, r, cs in _MODULES for i, c in enumerate(cs)) + ") SELECT module_name, any_value(reasoning) AS reasoning, coalesce(string_agg('file_' || node, ',' ORDER BY place, node) FILTER (node IS NOT NULL), '') AS nodes FROM listed LEFT JOIN member USING (community) GROUP BY module_name")
+def architecture_rollup(spark, d):
+    member = membership(summed(spark, d))
+    names = member.select(F.col("node").alias("id"), F.concat(F.lit("file_"), F.col("node").cast("string")).alias("name"))
+    modules = spark.createDataFrame(_MODULES, "module_name string, reasoning string, communities array<long>")
+    return graph.roll_up(modules, member, names).withColumn("nodes", F.array_join("nodes", ","))
+
+
+@query(f"WITH {SUMMED}, {MEMBERS}, links AS (SELECT a.community AS source, b.community AS target, sum(weight) AS weight FROM summed JOIN member a ON src = a.node JOIN member b ON dst = b.node WHERE a.community <> b.community GROUP BY ALL) SELECT (SELECT CAST(to_json(list({{'id': community, 'size': n}} ORDER BY community)) AS VARCHAR) FROM (SELECT community, count(*) AS n FROM member GROUP BY community)) AS communities, (SELECT CAST(to_json(list({{'source': source, 'target': target, 'weight': CAST(weight AS BIGINT)}} ORDER BY source, target)) AS VARCHAR) FROM links) AS edges")
+def graph_payload(spark, d):
+    e, member = summed(spark, d), membership(summed(spark, d))
+    sizes = member.groupBy(F.col("community").alias("id")).agg(F.count(F.lit(1)).alias("size"))
+    return graph.payload(sizes, graph.contract(e, member).withColumn("weight", F.col("weight").cast("long")))
+
+
 @query(f"WITH {SUMMED}, {MEMBERS} SELECT 'Community_' || (row_number() OVER (ORDER BY n DESC, least) - 1) AS community_id, n AS size, least AS least_node FROM (SELECT community, count(*) AS n, min(node) AS least FROM member GROUP BY community)")
 def community_table(spark, d):
     return graph.community_table(membership(summed(spark, d))).select("community_id", "size", F.col("nodes")[0].alias("least_node"))
 
 
+_NEAR = "m.ththth.example.net/en/25"
+
+
+@query(f"WITH {URLS}, s AS (SELECT path, list_distinct(string_split(trim(path, '/'), '/')) AS p, string_split('{_NEAR}', '/') AS q FROM files) SELECT path, round(len(list_intersect(p, q))::DOUBLE / len(list_distinct(list_concat(p, q))), 6) AS similarity FROM s")
+def jaccard_path(spark, d):
+    near = F.array(*map(F.lit, _NEAR.split("/")))
+    return urls(spark, d).select("path", F.round(graph.jaccard(graph.path_parts(F.col("path")), near), 6).alias("similarity"))
+
+
 PARTS = f"{URLS}, parts AS (SELECT DISTINCT path, list_distinct(string_split(trim(path, '/'), '/')) AS p FROM files)"
 MEAN = f"{PARTS}, member AS (SELECT length(path) % 4 AS community, p FROM parts WHERE length(path) % 2 = 0), sim AS (SELECT a.path, CAST(m.community AS BIGINT) AS community, avg(len(list_intersect(a.p, m.p))::DOUBLE / len(list_distinct(list_concat(a.p, m.p)))) AS s FROM parts a, member m WHERE length(a.path) % 2 = 1 GROUP BY ALL)"
 
@@ -425,3 +516,75 @@ def assign_isolated_oneshot(spark, d):
 @query()
 def community_detect(spark, d):
     return graph.communities(summed(spark, d))
+
+
+@query()
+def recluster(spark, d):
+    return graph.recluster(summed(spark, d), below=8)
+
+
+@query()
+def assign_isolated_sequential(spark, d):
+    p = urls(spark, d).select("path").distinct()
+    even = p.where(F.length("path") % 2 == 0).select("path", (F.length("path") % 4).alias("community"))
+    odd = p.where(F.length("path") % 2 == 1).select("path", F.lit(0).alias("turn"))
+    return graph.assign_isolated_in_turn(odd, even, 0.2)
+
+
+# code: a class and a function for each part, as Python and as JavaScript
+
+
+def code(spark, d, language: str = "python"):
+    p = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("k"), F.col("p_size").alias("s"))
+    if language == "python":
+        content = F.concat(F.lit("import os\n\n\nclass Part"), "k", F.lit("(Base, Other):  # a part of the catalogue and its price\n    def price(self, amount):\n"), F.repeat(F.lit("        amount += 1\n"), F.col("s")), F.lit("        return amount\n\n\ndef make_"), "k", F.lit("(size):\n    return size\n"))
+        return p.select(F.concat(F.lit("src/part_"), "k", F.lit(".py")).alias("path"), content.alias("content"))
+    content = F.concat(F.lit("class Part"), "k", F.lit(" {\n  price(amount) {\n"), F.repeat(F.lit("    amount += 1;\n"), F.col("s")), F.lit("    return amount;\n  }\n}\nfunction make_"), "k", F.lit("(size) {\n  return size;\n}\n"))
+    return p.select(F.concat(F.lit("web/part_"), "k", F.lit(".js")).alias("path"), content.alias("content"))
+
+
+CODE = "part_ AS (SELECT CAST(p_partkey AS VARCHAR) AS k, CAST(p_size AS INTEGER) AS s, 'src/part_' || p_partkey || '.py' AS path FROM part)"
+_METHOD = "'    def price(self, amount):' || chr(10) || repeat('        amount += 1' || chr(10), s) || '        return amount'"
+_CLASS = "'class Part' || k || '(Base, Other):  # a part of the catalogue and its price'"
+_PYTHON = f"'import os' || chr(10) || chr(10) || chr(10) || {_CLASS} || chr(10) || {_METHOD} || chr(10) || chr(10) || chr(10) || 'def make_' || k || '(size):' || chr(10) || '    return size' || chr(10)"
+COLUMNS_OF_SYMBOLS = ("path", "name", "type", "start_line", "end_line", "parent_name")
+
+
+@query(f"WITH {CODE} SELECT path, 'Part' || k AS name, 'class' AS type, 4 AS start_line, s + 6 AS end_line, NULL::VARCHAR AS parent_name, 'Base,Other' AS bases, '' AS parameters FROM part_ UNION ALL SELECT path, 'price', 'method', 5, s + 6, 'Part' || k, '', 'self,amount' FROM part_ UNION ALL SELECT path, 'make_' || k, 'function', s + 9, s + 10, NULL, '', 'size' FROM part_")
+def symbols_python(spark, d):
+    found = symbols.symbols(code(spark, d))
+    return found.select(*COLUMNS_OF_SYMBOLS, F.array_join("base_classes", ",").alias("bases"), F.array_join("parameters", ",").alias("parameters"))
+
+
+@query("WITH part_ AS (SELECT CAST(p_partkey AS VARCHAR) AS k, CAST(p_size AS INTEGER) AS s, 'web/part_' || p_partkey || '.js' AS path FROM part) SELECT path, 'Part' || k AS name, 'class' AS type, 1 AS start_line, s + 5 AS end_line, NULL::VARCHAR AS parent_name FROM part_ UNION ALL SELECT path, 'price', 'method', 2, s + 4, 'Part' || k FROM part_ UNION ALL SELECT path, 'make_' || k, 'function', s + 6, s + 8, NULL FROM part_")
+def symbols_regex(spark, d):
+    return symbols.symbols(code(spark, d, "javascript")).select(*COLUMNS_OF_SYMBOLS)
+
+
+@query(f"WITH {CODE} SELECT path, 'Part7' AS name, 4 AS start_line, s + 6 AS end_line FROM part_ WHERE k = '7'")
+def find_class(spark, d):
+    return symbols.find_class(code(spark, d), "catalogue.Part7").select("path", "name", "start_line", "end_line")
+
+
+@query(f"WITH {CODE} SELECT path, 'price' AS name, 5 AS start_line, 'Part' || k AS parent_name FROM part_")
+def find_function(spark, d):
+    return symbols.find_function(code(spark, d), "price").select("path", "name", "start_line", "parent_name")
+
+
+@query(f"WITH {CODE} SELECT path, 'price' AS name, 5 AS start_line, s + 6 AS end_line FROM part_ WHERE k = '7'")
+def find_class_method(spark, d):
+    return symbols.find_function(code(spark, d), "Part7.price").select("path", "name", "start_line", "end_line")
+
+
+@query(f"WITH {CODE} SELECT path, 'Part7.price' AS name, 5 AS start_line, s + 6 AS end_line, {_METHOD} AS content FROM part_ WHERE k = '7' UNION ALL SELECT path, 'make_8', s + 9, s + 10, 'def make_8(size):' || chr(10) || '    return size' FROM part_ WHERE k = '8'")
+def view_span(spark, d):
+    return symbols.view_spans(code(spark, d), ["Part7.price", "make_8"])
+
+
+@query(
+    f"WITH {CODE}, found AS (SELECT path, 4 AS start_line, 4 AS end_line, 'class_header' AS chunk_type, 'Part' || k AS name, {_CLASS} AS content FROM part_ UNION ALL SELECT path, 5, s + 6, 'method', 'price', {_METHOD} FROM part_"
+    f" UNION ALL SELECT path, CAST(i * 40 + 1 AS INTEGER), CAST(least(len(l), i * 40 + 40) AS INTEGER), 'context', 'context_' || (i + 1), array_to_string(l[i * 40 + 1 : i * 40 + 40], chr(10)) FROM (SELECT path, l, unnest(range(0, CAST(ceil(len(l) / 40.0) AS BIGINT))) AS i FROM (SELECT path, string_split({_PYTHON}, chr(10)) AS l FROM part_)))"
+    f" SELECT path || ':' || start_line || ':' || substr(md5(content), 1, 8) AS id, path, start_line, end_line, chunk_type, name FROM found WHERE length({STRIP.format('content')}) >= 50"
+)
+def code_chunks(spark, d):
+    return chunks.code_chunks(code(spark, d)).select("id", "path", "start_line", "end_line", "chunk_type", "name")
