@@ -2,13 +2,15 @@
 
 A page becomes blocks of text in page order. Blocks inside its article (else its main element) are its text,
 except containers that markup names as menus, headers, footers, sidebars, notices, adverts, forms or comments.
-All other visible text of a host's pages is one long token stream; its suffix array finds substrings of ``least``
-tokens or more that stand on two or more distinct pages. In pages that mark neither an article nor a main element,
-tokens covered by such substrings are boilerplate and the runs between them are kept as the text. What a page
-declares to be its article is never cut, so that an article published at two addresses stays whole.
+The visible text of a host's pages, in and outside articles, is one long token stream; its suffix array finds
+substrings of ``least`` tokens or more that stand on two or more distinct pages. Tokens covered by such substrings
+are boilerplate, and the runs between them are kept as the text. A substring lies wholly inside a page's article or
+wholly outside it. Articles of which ``WHOLE`` or more is covered are kept whole: they are published at two
+addresses, be it with a few words changed.
 
-A host whose stream is longer than ``SHARD`` tokens is dealt over shards by hash of a suffix's first ``least``
-tokens, which is all that the comparison reads, so no task gets a whole host.
+A host whose stream is longer than ``SHARD`` tokens is dealt over shards by a suffix's first ``least`` tokens, which
+is all that the comparison reads, so no task gets a whole host: a suffix goes where the least-hashed three tokens
+among these say, and neighbours that share them go as one segment of the stream.
 
 Null and empty pages give an empty text. Rows alike in all three columns are one page to the suffix array, and are
 answered each time. Null ids and addresses are kept; pages without an address share the empty host. An empty table
@@ -27,9 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh32_intdigest
 
-from .common import bounded_batches, materialise, slices
+from .common import bounded_batches, materialise, mixed, slices
 
-LEAST, SHARD = 8, 1_000_000
+LEAST, SHARD, WHOLE = 8, 1_000_000, 0.8
+#: Hosts, and pages with repeats, that are broadcast; more are joined by shuffle.
+MOST = 200_000
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(script|style|noscript|template|svg|math|iframe|object|canvas|audio|video|textarea|select)\b[^>]*>.*?(?:</\1\s*>|\Z)"
@@ -129,8 +133,8 @@ def blocks(page: str, by_class: bool = True) -> list[tuple[int, str]]:
     return out
 
 
-def page_blocks(page: str | None) -> tuple[str | None, list[tuple[int, str]]]:
-    """The text if the page marks an article or a main element, else None; and all blocks."""
+def parts(page: str | None) -> tuple[list[str] | None, list[tuple[int, str]]]:
+    """The article's (else the main element's) blocks, None if the page marks neither; and all other blocks."""
     found = blocks(page or "")
     best = max((r for r, _ in found), default=DROP)
     if best < MAIN and re.search(r"<(?:article|main)\b", page or "", re.IGNORECASE):
@@ -138,7 +142,15 @@ def page_blocks(page: str | None) -> tuple[str | None, list[tuple[int, str]]]:
         if max((r for r, _ in again), default=DROP) >= MAIN:
             found, best = again, max(r for r, _ in again)
     if best >= MAIN:
-        return "\n".join(t for r, t in found if r == best), found
+        return [t for r, t in found if r == best], [(r, t) for r, t in found if r != best]
+    return None, found
+
+
+def page_blocks(page: str | None) -> tuple[str | None, list[tuple[int, str]]]:
+    """The text if the page marks an article or a main element, else None; and all other blocks."""
+    own, found = parts(page)
+    if own is not None:
+        return "\n".join(own), found
     return (None if found else ""), found
 
 
@@ -176,45 +188,61 @@ def repeated_places(order: np.ndarray, rank: np.ndarray, page: np.ndarray, ok: n
 
 
 def streams(pages: DataFrame) -> DataFrame:
-    """(host, key, tokens, n, blocks): each page's tokens outside its article; blocks only where there is no article."""
+    """(host, key, tokens, n, outside, blocks): each page's tokens, those outside its article first, and how many these
+    are; blocks only where there is no article."""
 
     def work(batches):
         for batch in slices(batches, 1):
             rows = []
             for h in batch.column(1).fill_null("").to_pylist():
-                text, found = page_blocks(h)
-                rest = [(r, t) for r, t in found if r < MAIN]
-                t = token_hashes([t for _, t in rest])
-                rows.append((t.tobytes(), len(t), json.dumps(rest) if text is None else None))
-            cols = [pa.array(c, k) for c, k in zip(zip(*rows), (pa.binary(), pa.int64(), pa.string()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *cols], ["host", "key", "tokens", "n", "blocks"])
-
-    return pages.select("host", "html", "key").mapInArrow(work, "host string, key long, tokens binary, n long, blocks string")
+                own, rest = parts(h)
+                t, inside = token_hashes([t for _, t in rest]), token_hashes(own or [])
+                rows.append((t.tobytes() + inside.tobytes(), len(t) + len(inside), len(t), json.dumps(rest) if own is None and rest else None))
+            cols = [pa.array(c, k) for c, k in zip(zip(*rows), (pa.binary(), pa.int64(), pa.int64(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *cols], ["host", "key", "tokens", "n", "outside", "blocks"])
+
+    return pages.select("host", "html", "key").mapInArrow(work, "host string, key long, tokens binary, n long, outside long, blocks string")
+
+
+def segments(t: np.ndarray, least: int, shards: int):
+    """(shard, starts, numbers of suffixes, tokens) for each shard that gets suffixes of a stream."""
+    gram = min(3, least)
+    h = np.zeros(len(t) - gram + 1, np.uint64)
+    for k in range(gram):
+        h = mixed(h ^ t[k : k + len(h)].astype(np.uint64))
+    least_at = np.arange(len(t) - least + 1) + np.lib.stride_tricks.sliding_window_view(h, least - gram + 1).argmin(axis=1)
+    at = np.flatnonzero(np.concatenate([[True], least_at[1:] != least_at[:-1]]))
+    n = np.diff(np.concatenate([at, [len(least_at)]]))
+    own = (h[least_at[at]] % np.uint64(shards)).astype(np.int64)
+    by = np.argsort(own, kind="stable")
+    at, n, own = at[by], n[by], own[by]
+    size = n + least - 1
+    ends = np.cumsum(size)
+    tokens = t[np.repeat(at - (ends - size), size) + np.arange(ends[-1])]
+    who, i = np.unique(own, return_index=True)
+    for k, a, b in zip(who.tolist(), i.tolist(), [*i[1:].tolist(), len(own)]):
+        yield k, at[a:b].astype("<u4"), n[a:b].astype("<u4"), tokens[ends[a] - size[a] : ends[b - 1]]
+
+
+def small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.limit(MOST + 1).count() <= MOST else df
 
 
 def covered(rows: DataFrame, least: int = LEAST, shard: int = SHARD) -> DataFrame:
     """(key, places): starts of substrings of ``least`` tokens that stand on other pages of the host too."""
     sizes = rows.groupBy("host").agg(F.sum("n").alias("total"))
     shards = F.greatest(F.lit(1), F.ceil(F.col("total") / shard)).cast("int")
-    rows = rows.where(F.col("n") >= least).join(sizes, "host").select("host", "key", "tokens", shards.alias("shards"))
+    rows = rows.where(F.col("n") >= least).join(small(sizes), "host").select("host", "key", "tokens", shards.alias("shards"))
 
     def deal(batches):
-        """One row for a page of a small host; for a large one a row for each shard with the suffixes' first tokens."""
+        """One row for a page of a small host; for a large one a row for each shard with segments of its stream."""
         for batch in batches:
             for host, key, t, s in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 if s == 1:
-                    out = [(host, 0, key, None, t)]
+                    out = [(host, 0, key, None, None, t)]
                 else:
-                    t = np.frombuffer(t, np.uint32)
-                    w = np.lib.stride_tricks.sliding_window_view(t, least)
-                    h = np.zeros(len(w), np.uint64)
-                    with np.errstate(over="ignore"):
-                        for k in range(least):
-                            h = (h ^ w[:, k].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-                            h ^= h >> np.uint64(29)
-                    own = (h % np.uint64(s)).astype(np.int64)
-                    out = [(host, int(k), key, on.astype("<i8").tobytes(), np.ascontiguousarray(w[on]).tobytes()) for k in np.unique(own) for on in (np.flatnonzero(own == k),)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["host", "shard", "key", "at", "tokens"])
+                    out = [(host, k, key, at.tobytes(), n.tobytes(), own.tobytes()) for k, at, n, own in segments(np.frombuffer(t, np.uint32), least, s)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["host", "shard", "key", "at", "suffixes", "tokens"])
 
     def array(table: pa.Table) -> pa.Table:
         keys = np.array(table.column("key").to_pylist(), np.int64)
@@ -229,9 +257,12 @@ def covered(rows: DataFrame, least: int = LEAST, shard: int = SHARD) -> DataFram
             order, rank = suffix_ranks(stream, least)
             ok = place + least < np.repeat(sizes, sizes)
         else:  # suffixes cut to what is compared
-            windows = np.concatenate([p.reshape(-1, least) for p in parts])
-            place = np.concatenate([np.frombuffer(a, "<i8") for a in ats])
-            page = np.repeat(keys, [len(a) // 8 for a in ats])
+            n = [np.frombuffer(x, "<u4").astype(np.int64) for x in table.column("suffixes").to_pylist()]
+            page, n = np.repeat(keys, [int(x.sum()) for x in n]), np.concatenate(n)
+            inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            place = np.repeat(np.concatenate([np.frombuffer(a, "<u4") for a in ats]).astype(np.int64), n) + inner
+            first = np.cumsum(n + least - 1) - (n + least - 1)
+            windows = np.lib.stride_tricks.sliding_window_view(np.concatenate(parts), least)[np.repeat(first, n) + inner]
             order = np.lexsort(windows.T[::-1])
             w = windows[order]
             rank = np.empty(len(order), np.int64)
@@ -244,7 +275,7 @@ def covered(rows: DataFrame, least: int = LEAST, shard: int = SHARD) -> DataFram
         who, first = np.unique(own, return_index=True)
         return pa.table({"key": pa.array(who, pa.int64()), "places": pa.array([x.tolist() for x in np.split(hit, first[1:])] if len(who) else [], pa.list_(pa.int64()))})
 
-    dealt = rows.mapInArrow(deal, "host string, shard int, key long, at binary, tokens binary")
+    dealt = rows.mapInArrow(deal, "host string, shard int, key long, at binary, suffixes binary, tokens binary")
     return dealt.groupBy("host", "shard").applyInArrow(array, "key long, places array<long>")
 
 
@@ -265,6 +296,14 @@ def unique_runs(found: list, places, least: int) -> str:
     return "\n".join(out)
 
 
+def own_text(text: str, places: list[int], least: int) -> str:
+    """An article without tokens that repeated substrings cover; whole if they cover nearly all of it."""
+    found = [(ARTICLE, t) for t in text.split("\n")]
+    left = unique_runs(found, places, least)
+    n = len(text.split())
+    return text if n - len(left.split()) >= WHOLE * n else left
+
+
 def extract(pages: DataFrame, least: int = LEAST, shard: int = SHARD, page_id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """(page_id, url, text), a row for each page."""
     bounded_batches(pages.sparkSession, 1000)
@@ -272,24 +311,33 @@ def extract(pages: DataFrame, least: int = LEAST, shard: int = SHARD, page_id: s
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(page).alias("html"), host.alias("host"), F.xxhash64(page_id, url, page).alias("key"))
     stream = materialise(streams(rows), "streams")
     places = covered(stream, least, shard)
-    unmarked = stream.where("blocks is not null").select("key", "blocks").dropDuplicates(["key"])
-    found = unmarked.join(places.groupBy("key").agg(F.flatten(F.collect_list("places")).alias("places")), "key", "left")
+    hits = places.groupBy("key").agg(F.flatten(F.collect_list("places")).alias("places"))
+    known = stream.select("key", "outside", "blocks").dropDuplicates(["key"]).join(hits, "key", "left").where("blocks is not null or places is not null")
 
     def keep(batches):
+        """The text of a page without an article; for one with an article, which repeated substrings begin in it."""
         for batch in batches:
-            texts = [unique_runs(json.loads(b), p, least) for b, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["key", "found"])
+            rows = list(zip(*(batch.column(i).to_pylist() for i in range(1, 4))))
+            texts = [None if b is None else unique_runs(json.loads(b), p, least) for _, b, p in rows]
+            inside = [None if b is not None else [x - o for x in p if x >= o] or None for o, b, p in rows]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(inside, pa.list_(pa.int64()))], ["key", "found", "inside"])
 
-    found = materialise(found.select("key", "blocks", "places").mapInArrow(keep, "key long, found string"), "unmarked")
+    found = known.select("key", "outside", "blocks", "places").mapInArrow(keep, "key long, found string, inside array<long>")
+    found = materialise(found.where("found is not null or inside is not null"), "found")
 
     def work(batches):
         for batch in slices(batches, 2):
             texts = [page_blocks(h)[0] for h in batch.column(2).fill_null("").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(texts, pa.string())], ["page_id", "url", "key", "text"])
 
+    def cut(batches):
+        for batch in slices(batches, 2):
+            texts = [f if f is not None else own_text(t, p, least) if t and p else t or "" for t, f, p in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+
     schema = rows.select("page_id", "url", "key", F.lit(None).cast("string").alias("text")).schema
     texts = rows.select("page_id", "url", "html", "key").mapInArrow(work, schema)
-    if not found.take(1):  # every page marks its article: nothing to join
+    if not found.take(1):  # nothing repeats, and every page marks its article
         return texts.select("page_id", "url", F.coalesce("text", F.lit("")).alias("text"))
-    whole = texts.join(found, "key", "left")
-    return whole.select("page_id", "url", F.coalesce("text", "found", F.lit("")).alias("text"))
+    whole = texts.join(small(found), "key", "left").select("page_id", "url", "text", "found", "inside")
+    return whole.mapInArrow(cut, whole.select("page_id", "url", "text").schema)

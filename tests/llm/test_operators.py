@@ -406,3 +406,16 @@ def test_html_boilerplate_of_a_host(spark, shard):
             want[i, {7: shared + "\nalone", 9: html_text.page_blocks(PAGE)[0]}.get(i, "")] += 1
     assert got == want
     assert html_text.extract(d.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("shard", [1_000_000, 40])
+def test_html_boilerplate_inside_articles(spark, shard):
+    notice = "all rights to this piece stay with the paper"
+    rng = random.Random(3)
+    own = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(30)) for _ in range(6)]
+    page = lambda *ps: "<nav>a b c d e f g</nav><article>" + "".join(f"<p>{p}</p>" for p in ps) + "</article><footer>b c d e f g h</footer>"
+    twice, changed = page("same", own[4]), page("same", own[4].rsplit(" ", 1)[0] + " other")
+    pages = [page("same", own[0], notice), page("same", own[1], notice, "end"), page("same", own[2]), f"<div class=ad>{notice}</div>" + page(own[3]), twice, changed]
+    rows = [(i, f"http://{'elsewhere' if i == 6 else 'h'}/{i}", h) for i, h in enumerate([*pages, page(own[5], notice)])]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), shard=shard).collect()}
+    assert got == {0: f"same\n{own[0]}", 1: f"same\n{own[1]}\nend", 2: f"same\n{own[2]}", 3: own[3], 4: html_text.page_blocks(twice)[0], 5: html_text.page_blocks(changed)[0], 6: f"{own[5]}\n{notice}"}
