@@ -1,4 +1,4 @@
-"""An interpolated modified Kneser-Ney bigram model, counted in Spark, kept as sorted hash arrays, memory-mapped to score.
+"""An interpolated modified Kneser-Ney model of order 2 or 3, counted in Spark, kept as sorted hash arrays, memory-mapped to score.
 
 Training takes three passes of map-side combined counts: words, bigrams, and the number of contexts of each word.
 The vocabulary is a sorted array of 64-bit word hashes in bucket files; a word's rank in it is its number. A
@@ -7,6 +7,10 @@ to buckets by rank, but those frequent enough to fill a bucket, and the start of
 whole key. Workers map the files and search them with each batch's distinct keys; no table goes to the driver but
 the frequent contexts (at most two for each bucket) and a few sums.
 
+Order 3 takes two more passes. A trigram's key is the place of its first two words in the bigram files above its last
+word's rank; what follows two words that fill a bucket is dealt by hash of the whole key. A bigram then counts the
+words before it, but at a text's start, where nothing is before, how often it occurs. Up to 2**32 - 1 distinct bigrams.
+
 Tokens: words [^\\x20\\x09-\\x0D]+ with A-Z lowered, then one end a text. Null and empty texts are an end alone.
 Repeated rows count each time. With no training text every token has the unknown's share, 1. Null ids are never
 held out. Other columns are not read. Up to 2**32 - 3 distinct words.
@@ -124,6 +128,10 @@ class Model:
         self.hot_stats = np.zeros(0, CONTEXT)
         self.discounts = self.low_discounts = np.array([0.5, 1.0, 1.5])
         self.low_total, self.low_gamma = 0, 0.0
+        self.order, self.contexts, self.pair_offsets = 2, "contexts", np.zeros(buckets + 1, np.int64)
+        self.hot_pairs = np.zeros(0, np.int64)  # places of frequent bigrams, rising
+        self.hot_pair_stats = np.zeros(0, CONTEXT)
+        self.top_discounts = self.discounts
 
     def file(self, name: str, b: int, dtype: str) -> np.ndarray | None:
         return mapped(f"{self.folder}/{name}-{b}", dtype)
@@ -167,20 +175,98 @@ class Model:
                 out[on] = rows[ranks[on] - self.low(b)]
         return out
 
-    def pairs(self, keys: np.ndarray) -> np.ndarray:
-        """Counts of distinct bigram keys."""
-        bucket, out = self.pair_bucket(keys), np.zeros(len(keys), np.int64)
+    def found(self, name: str, keys: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+        """Places of keys in their buckets' sorted files; -1 if never seen."""
+        out = np.full(len(keys), -1, np.int64)
         order = np.argsort(bucket, kind="stable")
         cuts = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
         for b, (i, j) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
-            if j > i and (known := self.file("pairs", b, "<u8")) is not None:
+            if j > i and (known := self.file(name, b, "<u8")) is not None:
                 k = np.minimum(np.searchsorted(known, keys[order[i:j]]), len(known) - 1)
                 ok = known[k] == keys[order[i:j]]
-                out[order[i:j][ok]] = self.file("pair_counts", b, "<u4")[k[ok]]
+                out[order[i:j][ok]] = k[ok]
+        return out
+
+    def pairs(self, keys: np.ndarray) -> np.ndarray:
+        """Places of distinct bigram keys in all files, one after another; -1 if never seen."""
+        bucket = self.pair_bucket(keys)
+        out = self.found("pairs", keys, bucket)
+        return np.where(out < 0, -1, out + self.pair_offsets[bucket])
+
+    def of_pairs(self, name: str, places: np.ndarray, dtype: str) -> np.ndarray:
+        """What a file beside the bigrams' has for known ones; small counts if it has no type."""
+        out = np.zeros(len(places), dtype or np.int64)
+        bucket = np.searchsorted(self.pair_offsets, places, side="right") - 1
+        for b in np.unique(bucket).tolist():
+            on = np.flatnonzero(bucket == b)
+            at = places[on] - self.pair_offsets[b]
+            out[on] = self.file(name, b, dtype)[at] if dtype else self.small(name, b, at)
+        return out
+
+    def small(self, name: str, b: int, at: np.ndarray) -> np.ndarray:
+        """Counts that are kept in a byte, the few large ones apart."""
+        out = self.file(name, b, "u1")[at].astype(np.int64)
+        if (large := np.flatnonzero(out == 255)).size:
+            out[large] = self.file(f"{name}_large", b, "<u8")[np.searchsorted(self.file(f"{name}_large_at", b, "<u8"), at[large])]
+        return out
+
+    def write_small(self, name: str, b: int, counts: np.ndarray) -> None:
+        large = np.flatnonzero(counts >= 255)
+        write_file(f"{self.folder}/{name}-{b}", [np.minimum(counts, 255).astype("u1").tobytes()])
+        write_file(f"{self.folder}/{name}_large_at-{b}", [large.astype("<u8").tobytes()])
+        write_file(f"{self.folder}/{name}_large-{b}", [counts[large].astype("<u8").tobytes()])
+
+    def pair_counts(self, places: np.ndarray) -> np.ndarray:
+        """Bigrams' counts, at order 3 of the words before them; 0 at -1."""
+        out, on = np.zeros(len(places), np.int64), np.flatnonzero(places >= 0)
+        out[on] = self.of_pairs("pair_counts", places[on], "<u4") if self.order == 2 else self.of_pairs("pair_befores", places[on], "")
+        return out
+
+    def triple_bucket(self, keys: np.ndarray) -> np.ndarray:
+        context = (keys >> HALF).astype(np.int64)
+        out = np.searchsorted(self.pair_offsets, context, side="right") - 1
+        if len(self.hot_pairs):
+            hot = self.hot_pairs[np.minimum(np.searchsorted(self.hot_pairs, context), len(self.hot_pairs) - 1)] == context
+            out[hot] = by_range(mixed(keys[hot]), self.buckets)
+        return out
+
+    def triples(self, keys: np.ndarray) -> np.ndarray:
+        """Counts of distinct trigram keys."""
+        bucket, out = self.triple_bucket(keys), np.zeros(len(keys), np.int64)
+        at = self.found("triples", keys, bucket)
+        for b in np.unique(bucket[at >= 0]).tolist():
+            on = np.flatnonzero((bucket == b) & (at >= 0))
+            out[on] = self.small("triple_counts", b, at[on])
         return out
 
+    def pair_stats(self, places: np.ndarray) -> np.ndarray:
+        """What follows distinct known bigrams. After one that occurs once a single word does, so it is in no file."""
+        out = np.zeros(len(places), CONTEXT)
+        out["total"] = self.of_pairs("pair_counts", places, "<u4")
+        out["n"][:, 0] = 1
+        hot = np.isin(places, self.hot_pairs)
+        out[hot] = self.hot_pair_stats[np.searchsorted(self.hot_pairs, places[hot])]
+        bucket = np.searchsorted(self.pair_offsets, places, side="right") - 1
+        many = (out["total"] > 1) & ~hot
+        for b in np.unique(bucket[many]).tolist():
+            on = np.flatnonzero(many & (bucket == b))
+            k = np.searchsorted(self.file("followed", b, "<u4"), places[on] - self.pair_offsets[b])
+            out["n"][on] = self.file("followers", b, "<u4").reshape(-1, 3)[k]
+        return out
+
+
+def stats_of(context: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct contexts, rising as given, and their sums."""
+    head = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(context) else np.zeros(0, np.int64)
+    stats = np.zeros(len(head), CONTEXT)
+    if len(head):
+        stats["total"] = np.add.reduceat(counts, head)
+        for i in range(3):
+            stats["n"][:, i] = np.add.reduceat((np.minimum(counts, 3) == i + 1).astype(np.int64), head)
+    return context[head], stats
 
-def train(docs: DataFrame, text: str = "text") -> Model:
+
+def train(docs: DataFrame, text: str = "text", order: int = 2) -> Model:
     """Count all of ``docs`` and write the model to the shared folder."""
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -249,13 +335,7 @@ def train(docs: DataFrame, text: str = "text") -> Model:
             write_file(f"{folder}/pairs-{b}", [keys.astype("<u8").tobytes()])
             write_file(f"{folder}/pair_counts-{b}", [np.minimum(counts, 0xFFFFFFFF).astype("<u4").tobytes()])
             of_counts = [int((counts == i).sum()) for i in (1, 2, 3, 4)]
-            context = (keys >> HALF).astype(np.int64)
-            head = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
-            stats = np.zeros(len(head), CONTEXT)
-            stats["total"] = np.add.reduceat(counts, head)
-            for i in range(3):
-                stats["n"][:, i] = np.add.reduceat((np.minimum(counts, 3) == i + 1).astype(np.int64), head)
-            who = context[head]
+            who, stats = stats_of((keys >> HALF).astype(np.int64), counts)
             hot = (who == START) | np.isin(who, model.hot)
             dense = np.zeros(model.low(b + 1) - model.low(b), CONTEXT)
             dense[who[~hot] - model.low(b)] = stats[~hot]
@@ -264,7 +344,8 @@ def train(docs: DataFrame, text: str = "text") -> Model:
             cont = blocks(model.rank_bucket(word), nb, word, times)
             nothing = [None] * cont.num_rows
             yield pa.RecordBatch.from_arrays([*cont.columns, pa.array(nothing, pa.list_(pa.int64())), pa.array(nothing, pa.int64()), pa.array(nothing, pa.list_(pa.int64()))], names)
-            some = [(None, None, None, of_counts, None, None)] + [(None, None, None, None, int(c), [int(s["total"]), *map(int, s["n"])]) for c, s in zip(who[hot], stats[hot])]
+            often = np.flatnonzero(counts * 2 * nb > model.tokens)  # at most 2 for each bucket
+            some = [(None, None, None, of_counts, None, None), (None, None, None, None, None, [b, len(keys), *often.tolist()])] + [(None, None, None, None, int(c), [int(s["total"]), *map(int, s["n"])]) for c, s in zip(who[hot], stats[hot])]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some), (pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.int64(), pa.list_(pa.int64())))], names)
 
         names = ["bucket", "keys", "counts", "of_counts", "context", "stats"]
@@ -280,6 +361,10 @@ def train(docs: DataFrame, text: str = "text") -> Model:
     for i, r in enumerate(hot):
         model.hot_stats[i] = (r.s0, (r.s1, r.s2, r.s3))
 
+    sizes = {r.stats[0]: r.stats[1:] for r in out.where("stats is not null and context is null").select("stats").collect()}
+    model.pair_offsets = np.concatenate([[0], np.cumsum([sizes[b][0] if b in sizes else 0 for b in range(nb)])]).astype(np.int64)
+    often = np.array(sorted(int(model.pair_offsets[b]) + i for b, x in sizes.items() for i in x[1:]), np.int64)
+
     # contexts of each word
     def write_continuations(batches):
         def done(b, keys, counts):
@@ -296,9 +381,121 @@ def train(docs: DataFrame, text: str = "text") -> Model:
     n = [sum(r[i] for r in low) for i in range(1, 7)]
     model.low_discounts, model.low_total = discounts(np.array(n[1:5])), n[0]
     model.low_gamma = float(model.low_discounts @ np.array([n[1], n[2], n[5]]))
+    if order == 3:
+        train_triples(docs, model, often)
+    elif order != 2:
+        raise ValueError("order is 2 or 3")
     return model
 
 
+LEVELS = "level int, of_counts array<long>, context long, stats array<long>"
+
+
+def level_rows(level: int, counts: np.ndarray, who: np.ndarray, stats: np.ndarray, blocks: pa.RecordBatch | None = None) -> pa.RecordBatch:
+    """A bucket's counts of counts and its share of frequent contexts' sums, and blocks to be dealt further."""
+    rows = [(level, [int((counts == i).sum()) for i in (1, 2, 3, 4)], None, None)]
+    rows += [(level, None, int(c), [int(x["total"]), *map(int, x["n"])]) for c, x in zip(who, stats)]
+    some = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.list_(pa.int64()), pa.int64(), pa.list_(pa.int64())))]
+    if blocks is None:
+        return pa.RecordBatch.from_arrays(some, ["level", "of_counts", "context", "stats"])
+    more = [pa.concat_arrays([pa.nulls(len(rows), c.type), c]) for c in blocks.columns]
+    some = [pa.concat_arrays([c, pa.nulls(blocks.num_rows, c.type)]) for c in some]
+    return pa.RecordBatch.from_arrays([*more, *some], ["bucket", "keys", "counts", "level", "of_counts", "context", "stats"])
+
+
+def train_triples(docs: DataFrame, model: Model, often: np.ndarray) -> None:
+    """Count trigrams, and of each bigram the words before it."""
+    nb, folder = model.buckets, model.folder
+    if model.pair_offsets[-1] >= 1 << 32:
+        raise ValueError("too many distinct bigrams for 32-bit places")
+    model.hot_pairs = often
+
+    def triples_of(batches):
+        held, n = [], 0
+        for batch in slices(batches, 0):
+            words = Words()
+            ids, sizes = batch_tokens(text_bytes(batch.column(0)), words)
+            w = model.ranks(hashes(words))[0].astype(np.uint64)[ids]
+            starts = np.cumsum(sizes) - sizes
+            before = np.concatenate([[np.uint64(START)], w[:-1]])
+            before[starts] = START
+            keys, where = np.unique((before << HALF) | w, return_inverse=True)
+            inner = np.ones(len(w), bool)
+            inner[starts] = False
+            inner = np.flatnonzero(inner)
+            held.append((model.pairs(keys).astype(np.uint64)[where[inner - 1]] << HALF) | w[inner])
+            n += len(inner)
+            if n > 3_000_000:
+                yield triple_blocks(held)
+                held, n = [], 0
+        if n:
+            yield triple_blocks(held)
+
+    def triple_blocks(held):
+        keys, counts = np.unique(np.concatenate(held), return_counts=True)
+        return blocks(model.triple_bucket(keys), nb, keys, counts)
+
+    def write_triples(batches):
+        def done(b, keys, counts):
+            write_file(f"{folder}/triples-{b}", [keys.astype("<u8").tobytes()])
+            model.write_small("triple_counts", b, counts)
+            context = (keys >> HALF).astype(np.int64)
+            who, stats = stats_of(context, counts)
+            hot = np.isin(who, model.hot_pairs)
+            many = ~hot & (stats["total"] > 1)
+            write_file(f"{folder}/followed-{b}", [(who[many] - model.pair_offsets[b]).astype("<u4").tobytes()])
+            write_file(f"{folder}/followers-{b}", [np.ascontiguousarray(stats["n"][many]).tobytes()])
+            middle = model.of_pairs("pairs", context, "<u8") & np.uint64(0xFFFFFFFF)
+            ends, times = np.unique((middle << HALF) | (keys & np.uint64(0xFFFFFFFF)), return_counts=True)
+            yield level_rows(3, counts, who[hot], stats[hot], blocks(model.pair_bucket(ends), nb, ends, times))
+
+        yield from grouped(batches, done)
+
+    def write_befores(batches):
+        def done(b, keys, counts):
+            pairs = model.file("pairs", b, "<u8")
+            if pairs is None:
+                return
+            context = (pairs >> HALF).astype(np.int64)
+            n = np.where(context == START, model.file("pair_counts", b, "<u4"), 0).astype(np.int64)
+            n[np.searchsorted(pairs, keys)] = counts
+            model.write_small("pair_befores", b, n)
+            who, stats = stats_of(context, n)
+            hot = (who == START) | np.isin(who, model.hot)
+            dense = np.zeros(model.low(b + 1) - model.low(b), CONTEXT)
+            dense[who[~hot] - model.low(b)] = stats[~hot]
+            write_file(f"{folder}/before_contexts-{b}", [dense.tobytes()])
+            yield level_rows(2, n, who[hot], stats[hot])
+
+        def rest():
+            for batch in batches:
+                passed = pa.compute.is_null(batch.column(0))
+                if (own := batch.filter(passed)).num_rows:
+                    sums.append(pa.RecordBatch.from_arrays(own.columns[3:], ["level", "of_counts", "context", "stats"]))
+                yield batch.filter(pa.compute.invert(passed))
+
+        sums = []
+        yield from grouped(rest(), done)
+        yield from sums
+
+    rows = docs.mapInArrow(triples_of, BLOCK).repartition(nb, "bucket").sortWithinPartitions("bucket")
+    found = rows.mapInArrow(write_triples, f"{BLOCK}, {LEVELS}")
+    every = docs.sparkSession.range(nb).selectExpr("cast(id as int) bucket", "X'' keys", "X'' counts", "cast(null as int) level", "cast(null as array<long>) of_counts", "cast(null as long) context", "cast(null as array<long>) stats")  # a bucket may hold starts alone
+    rows = found.union(every).repartition(nb, "bucket").sortWithinPartitions("bucket")
+    out = materialise(rows.mapInArrow(write_befores, LEVELS), "levels")
+    n = {r.level: [r[i] for i in range(1, 5)] for r in out.where("of_counts is not null").groupBy("level").agg(*(F.sum(F.col("of_counts")[i]) for i in range(4))).collect()}
+    hot = out.where("context is not null").groupBy("level", "context").agg(*(F.sum(F.col("stats")[i]).alias(f"s{i}") for i in range(4))).orderBy("level", "context").collect()
+    ids, stats = {}, {}
+    for level in (2, 3):
+        own = [r for r in hot if r.level == level]
+        ids[level] = np.array([r.context for r in own], np.int64)
+        stats[level] = np.array([(r.s0, (r.s1, r.s2, r.s3)) for r in own], CONTEXT)
+    model.order, model.contexts = 3, "before_contexts"
+    model.discounts, model.top_discounts = (discounts(np.array(n.get(level, [0] * 4))) for level in (2, 3))
+    model.hot, model.hot_stats, model.hot_pair_stats = ids[2], stats[2], np.zeros(len(often), CONTEXT)
+    model.hot_pair_stats[np.searchsorted(often, ids[3])] = stats[3]
+
+
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score, *keep): log10 probabilities of whole texts, by
     add-half unigrams and by the model. Perplexity is 10 ** (-score / n_tokens)."""
@@ -309,7 +506,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
 
     def work(batches):
         V, N, D = model.words, model.tokens, np.concatenate([[0.0], model.discounts])
-        low_d = np.concatenate([[0.0], model.low_discounts])
+        low_d, top = np.concatenate([[0.0], model.low_discounts]), np.concatenate([[0.0], model.top_discounts])
         for batch in slices(batches, 1):
             words = Words()
             ids, sizes = batch_tokens(text_bytes(batch.column(1)), words)
@@ -334,18 +531,29 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
                 hot = model.hot[k] == contexts
                 stats[hot] = model.hot_stats[k[hot]]
                 plain = ~hot & (contexts != START)
-                stats[plain] = model.by_rank("contexts", contexts[plain], "context")
+                stats[plain] = model.by_rank(model.contexts, contexts[plain], "context")
                 gamma = stats["n"].astype(float) @ model.discounts
                 tot = stats["total"].astype(float)
                 key, where = np.unique((before[seen].astype(np.uint64) << HALF) | w[seen].astype(np.uint64), return_inverse=True)
                 ok = (key & np.uint64(0xFFFFFFFF)) != UNKNOWN
-                c = np.zeros(len(key), np.int64)
-                c[ok] = model.pairs(key[ok])
-                c = c[where]
+                place = np.full(len(key), -1, np.int64)
+                place[ok] = model.pairs(key[ok])
+                c = model.pair_counts(place)[where]
                 t, g = tot[of], gamma[of]
                 has = t > 0
                 t = np.where(has, t, 1)
                 p[seen] = np.where(has, (np.maximum(c - D[np.minimum(c, 3)], 0) + g * p[seen]) / t, p[seen])
+                if model.order == 3:
+                    two = np.full(len(w) + 1, -1, np.int64)  # the place of the two words before each
+                    two[1:][seen] = place[where]
+                    two[starts] = -1
+                    seen = np.flatnonzero(two[:-1] >= 0)
+                    contexts, of = np.unique(two[seen], return_inverse=True)
+                    stats = model.pair_stats(contexts)
+                    key, where = np.unique((two[seen].astype(np.uint64) << HALF) | w[seen].astype(np.uint64), return_inverse=True)
+                    c = model.triples(key)[where]
+                    g = (stats["n"].astype(float) @ model.top_discounts)[of]
+                    p[seen] = (np.maximum(c - top[np.minimum(c, 3)], 0) + g * p[seen]) / stats["total"].astype(float)[of]
             arrays = [pa.array(sizes), pa.array(np.add.reduceat((count[ids] > 0).astype(np.int64), starts)), pa.array(np.full(len(sizes), N, np.int64)), pa.array(np.add.reduceat(base[ids], starts)), pa.array(np.add.reduceat(np.log10(p), starts))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays, *batch.columns[2:]], schema.names)
 

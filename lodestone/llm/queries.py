@@ -54,7 +54,7 @@ def op8_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = F.coalesce(is_held_out("doc_id", 5), F.lit(False))
     docs = table(spark, sf_dir, "documents").withColumn("held_out", held)
-    model = kneser_ney.train(docs.where("not held_out"))
+    model = kneser_ney.train(docs.where("not held_out"), order=3)
     found = kneser_ney.score(docs, model, keep=("held_out",))
     return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 

@@ -282,6 +282,45 @@ def test_kneser_ney(spark, docs, rows):
     assert {r.score for r in kneser_ney.score(docs, nothing).collect()} == {0.0}
 
 
+def test_kneser_ney_of_trigrams(spark, docs, rows):
+    model = kneser_ney.train(docs.where("doc_id % 3 <> 1"), order=3)
+    got = Counter((r.doc_id, r.n_tokens, round(r.score, 6)) for r in kneser_ney.score(docs, model).collect())
+    tokens = lambda t: [*(t or "").encode().lower().split(), b" "]
+    train = [[None, *tokens(t)] for i, t in rows if i is not None and i % 3 != 1]
+    pairs = Counter(g for t in train for g in zip(t, t[1:]))
+    c3 = Counter(g for t in train for g in zip(t, t[1:], t[2:]))
+    befores = Counter((v, x) for _, v, x in c3)
+    c2 = Counter({g: befores[g] if g[0] is not None else n for g, n in pairs.items()})
+    c1, words = Counter(x for _, x in pairs), {x for t in train for x in t[1:]}
+    times = lambda c: np.array([list(c.values()).count(i) for i in (1, 2, 3, 4)])
+    d = lambda c, of: of[min(c, 3) - 1] if c else 0.0
+    levels = []
+    for c in (c1, c2, c3):
+        of, total, rest = kneser_ney.discounts(times(c)), Counter(), Counter()
+        for g, n in c.items():
+            context = g[:-1] if isinstance(g, tuple) else ()
+            total[context] += n
+            rest[context] += d(n, of)
+        levels.append((c, of, total, rest))
+
+    def p(u, v, x):
+        out = 1 / (len(words) + 1)
+        for g, (c, of, total, rest) in zip((x, (v, x), (u, v, x)), levels):
+            context = g[:-1] if isinstance(g, tuple) else ()
+            if total[context] and not (context and len(context) == 2 and v is None):
+                out = (c[g] - d(c[g], of) + rest[context] * out) / total[context]
+        return out
+
+    assert sum(p(b"the", b"of", x) for x in words) + p(b"the", b"of", b"never seen") == pytest.approx(1)
+    want = Counter()
+    for i, t in rows:
+        t = [None, None, *tokens(t)]
+        want[i, len(t) - 2, round(sum(math.log10(p(*g)) for g in zip(t, t[1:], t[2:])), 6)] += 1
+    assert got == want
+    nothing = kneser_ney.train(empty(spark), order=3)
+    assert {r.score for r in kneser_ney.score(docs, nothing).collect()} == {0.0}
+
+
 def test_language(spark):
     rng = random.Random(8)
     stems = {"xx": "kra ven tol mi".split(), "yy": "ço éla ruí on".split(), "zz": "шо ра ки ну".split()}
