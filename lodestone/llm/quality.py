@@ -5,6 +5,10 @@ sample of the rows, and the cascade then runs the rules by rejections per second
 rejects is not shown to the later ones. All rules must hold for a document to be kept, so the verdict doesn't
 depend on the order, only the work does.
 
+Toxic words beyond the English list are learned: words and beginnings of words that mark the toxic among labelled
+documents, in any language. At most about ``LABELLED`` labelled rows are read, chosen by hash of the id; equal texts
+count once. A rule rejects a document with ``HITS`` such words or more.
+
 Null and empty texts have no words, and fail the base rule. Repeated rows are answered each time; null ids are
 kept; an empty table gives an empty result; other columns are not read.
 """
@@ -14,6 +18,7 @@ from __future__ import annotations
 import re
 import time
 import zlib
+from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -27,6 +32,10 @@ from .common import Words, bounded_batches, numbered, slices
 #: The symbols that are counted, and English insults.
 SYMBOLS = b"#*$%&|<>"
 INSULTS = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
+#: Labelled rows that are learned from; texts that a word must mark, and the share of its texts that must be toxic; hits.
+LABELLED, SUPPORT, PRECISION, HITS = 10_000, 6, 0.9, 3
+BEGINNINGS = range(4, 9)
+LETTERS = re.compile(r"[^\W\d_]+")
 INSULT = re.compile(r"\b(?:" + "|".join(INSULTS) + r")\b", re.IGNORECASE)
 
 
@@ -102,6 +111,59 @@ RULES: dict[str, Callable[[Doc], bool]] = {
 }
 
 
+def marks(word: str):
+    """What may mark a word: its beginnings, and itself after an equals sign."""
+    yield "=" + word
+    for k in BEGINNINGS:
+        if len(word) >= k:
+            yield word[:k]
+
+
+def toxic_marks(docs: DataFrame, labels: DataFrame, rows: int = LABELLED, support: int = SUPPORT, precision: float = PRECISION, doc_id: str = "doc_id", text: str = "text") -> frozenset[str]:
+    """Marks of words that stand in ``support`` toxic texts or more and, of the texts they stand in, mostly in toxic ones."""
+
+    def work(batches):
+        for batch in slices(batches, 0):
+            toxic, clean = Counter(), Counter()
+            for t, bad in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                (toxic if bad else clean).update({m for w in set(LETTERS.findall(t.lower())) for m in marks(w)})
+            every = list(toxic.keys() | clean.keys())
+            yield pa.RecordBatch.from_arrays([pa.array(every, pa.string()), pa.array([toxic[m] for m in every], pa.int64()), pa.array([clean[m] for m in every], pa.int64())], ["mark", "toxic", "clean"])
+
+    bounded_batches(docs.sparkSession)
+    known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    n = known.count()
+    if n > rows:
+        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < int(np.ceil(1_000_003 * rows / n)))
+    labelled = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("text is not null").join(F.broadcast(known), "doc_id")
+    labelled = labelled.groupBy(F.sha2("text", 256)).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))
+    found = labelled.select("text", (F.col("toxic") > 0).alias("toxic")).mapInArrow(work, "mark string, toxic long, clean long").groupBy("mark").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    return frozenset(r.mark for r in found.where((F.col("toxic") >= support) & (F.col("toxic") >= precision * (F.col("toxic") + F.col("clean")))).select("mark").collect())
+
+
+class Marked(dict):
+    """How many marked words a token holds; few tokens are looked at twice."""
+
+    def __init__(self, known: frozenset[str]):
+        super().__init__()
+        self.known = known
+
+    def __missing__(self, token: bytes) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        self[token] = n = sum(not self.known.isdisjoint(marks(w)) for w in LETTERS.findall(token.decode().lower()))
+        return n
+
+    def __reduce__(self):  # workers begin with nothing looked at
+        return Marked, (self.known,)
+
+
+def with_marks(known: frozenset[str], hits: int = HITS, rules: dict[str, Callable[[Doc], bool]] = RULES) -> dict[str, Callable[[Doc], bool]]:
+    """The rules and one more: does a document hold ``hits`` marked words or more?"""
+    seen = Marked(known)
+    return rules | {"learned_toxic": lambda d: sum(map(seen.__getitem__, d.words)) >= hits} if known else rules
+
+
 def measure(docs: DataFrame, rules: dict[str, Callable[[Doc], bool]] = RULES, sample_rows: int = 2000, text: str = "text") -> list[str]:
     """The rules' names by rejections per second, falling, as measured on about ``sample_rows`` rows."""
 

@@ -41,7 +41,8 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = quality.cascade(docs, quality.measure(docs))
+    rules = quality.with_marks(quality.toxic_marks(docs, table(spark, sf_dir, "labels")))
+    found = quality.cascade(docs, quality.measure(docs, rules), rules)
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 

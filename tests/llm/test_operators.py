@@ -375,6 +375,22 @@ def test_quality_rules():
     assert "repeated_lines" in verdict("\n".join([clean, *["again"] * 4]))
 
 
+def test_learned_toxic_words(spark):
+    rng = random.Random(5)
+    clean = lambda n: [f"{rng.choice('bdfglmn')}{rng.choice('aeiou')}{rng.randrange(10**6):06d}".translate(str.maketrans("0123456789", "abcdefghij")) for _ in range(n)]
+    toxic = lambda: clean(70) + ["Schurkä" + rng.choice(("en", "in", "lich")) for _ in range(3)]
+    rows = [(i, " ".join(toxic() if i % 4 == 0 else clean(73)), int(i % 4 == 0)) for i in range(80)]
+    rows += [(None, rows[0][1], 0), (200, None, 1), (201, rows[1][1] + " schurkäen", 0), *[(300 + i, " ".join(["twin", *clean(1)] * 40) if not i else None, 1) for i in range(2)]]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, bad) for i, _, bad in rows if i is not None and i < 60], "doc_id long, toxic int")  # the rest is held out
+    known = quality.toxic_marks(docs, labels)
+    assert "schurk" in known and not any(m.startswith("twin") for m in known)
+    rules = quality.with_marks(known)
+    got = {r.doc_id: r.rejected_by for r in quality.cascade(docs, quality.measure(docs, rules), rules).collect() if r.doc_id is not None}
+    assert all((got[i] == "learned_toxic") == bool(bad) for i, _, bad in rows[:80]) and got[201] is None
+    assert quality.with_marks(quality.toxic_marks(docs, labels.limit(0))) == quality.RULES
+
+
 def test_decontamination(spark):
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
