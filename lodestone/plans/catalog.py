@@ -165,6 +165,12 @@ def keyword_occurrences(spark, d):
     return ascii_.select("path", "keyword", "line", "n")
 
 
+@query()
+def keyword_occurrences_all_lines(spark, d):
+    """keyword_occurrences and its SQL see lines of ASCII alone; this one sees every line."""
+    return search.keyword_occurrences(files(spark, d), ["with", "from"]).select("path", "keyword", "line", "n")
+
+
 # text
 
 
