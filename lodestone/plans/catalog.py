@@ -432,6 +432,31 @@ def is_dag(spark, d):
     return spark.createDataFrame([("tree", graph.is_dag(tree(spark, d))), ("links", graph.is_dag(links))], "graph string, is_dag boolean")
 
 
+# bfs_levels, topo_levels, is_dag and their SQL see the first 120 parts and suppliers and parts modulo 20; these see whole tables.
+
+
+def whole_tree(spark, d):
+    return table(spark, d, "part").where("p_partkey > 0").select(F.floor(F.col("p_partkey") / 3).alias("src"), F.col("p_partkey").alias("dst"))
+
+
+@query()
+def bfs_levels_whole(spark, d):
+    found = graph.bfs_levels(whole_tree(spark, d), spark.createDataFrame([(0,)], "node long"))
+    return found.select("node", F.col("level").cast("long").alias("level"))
+
+
+@query()
+def topo_levels_whole(spark, d):
+    found = graph.topological_levels(whole_tree(spark, d))
+    return found.select("node", F.col("level").cast("long").alias("level"))
+
+
+@query()
+def is_dag_whole(spark, d):
+    links = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).distinct()
+    return spark.createDataFrame([("tree", graph.is_dag(whole_tree(spark, d))), ("links", graph.is_dag(links))], "graph string, is_dag boolean")
+
+
 @query(f"WITH {SUMMED}, rank AS (SELECT node, 1.0::DOUBLE / (1 + node) AS rank, 1.0::DOUBLE + node % 5 AS rel FROM (SELECT src AS node FROM summed UNION SELECT dst FROM summed)) SELECT src, dst, round((a.rank + b.rank) * (a.rel / b.rel) * weight, 6) AS weight FROM summed JOIN rank a ON src = a.node JOIN rank b ON dst = b.node")
 def edge_reweight(spark, d):
     e = summed(spark, d)

@@ -2,6 +2,8 @@
 
 import re
 
+import pytest
+
 from lodestone.plans.catalog import QUERIES
 
 
@@ -17,3 +19,28 @@ def test_keywords_on_lines_beyond_ascii(spark, tmp_path):
                 if n := len(re.findall(rf"\b{k}\b", x, re.IGNORECASE)):
                     want.add((f"{source}/{lang}/doc_{i}.txt", k, line, n))
     assert got == want and ("s/en/doc_1.txt", "with", 2, 2) in got
+
+
+def slow_levels(edges):
+    """Kahn's algorithm: the longest way to each node that is not on or behind a cycle."""
+    left, level, now = set(edges), {}, 0
+    nodes = {x for e in edges for x in e}
+    while free := {x for x in nodes - level.keys() if x not in {b for _, b in left}}:
+        level |= dict.fromkeys(free, now)
+        left = {e for e in left if e[0] not in free}
+        now += 1
+    return level, nodes
+
+
+@pytest.mark.parametrize("last, back", [(400, False), (130, True)])
+def test_graphs_of_whole_tables(spark, tmp_path, last, back):
+    spark.createDataFrame([(k,) for k in range(last)], "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
+    links = [(k % 40, 1000 + k) for k in range(300)] + [(1000, 1041)] + [(1041, 0)] * back  # folded modulo 20 both have cycles
+    spark.createDataFrame(links, "l_suppkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    run = lambda name: QUERIES[name](spark, str(tmp_path)).collect()
+    want, nodes = slow_levels([(k // 3, k) for k in range(1, last)])
+    assert set(want) == nodes == set(range(last))
+    for name in ("bfs_levels_whole", "topo_levels_whole"):
+        assert {r.node: r.level for r in run(name)} == want
+    found, nodes = slow_levels(links)
+    assert {r.graph: r.is_dag for r in run("is_dag_whole")} == {"tree": True, "links": set(found) == nodes} == {"tree": True, "links": not back}
