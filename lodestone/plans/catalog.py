@@ -199,7 +199,7 @@ def content_stats(spark, d):
 
 @query("SELECT conv_id, turn, regexp_extract('<think>' || role || '</think>' || '```json' || chr(10) || text || chr(10) || '```', '(?s)```json\\n(.*?)\\n```', 1) AS block FROM conversations WHERE NOT contains(text, '```')")
 def extract_fenced_block(spark, d):
-    c = table(spark, d, "conversations").where(~F.contains("text", F.lit("```")))
+    c = table(spark, d, "conversations")
     made = F.concat(F.lit("<think>"), "role", F.lit("</think>```json\n"), "text", F.lit("\n```"))
     return c.select("conv_id", "turn", text.fenced(text.without_thoughts(made), "json").alias("block"))
 
@@ -254,7 +254,7 @@ def line_classify(spark, d):
 @query(f"WITH {KINDS} SELECT path, line, CASE match_type WHEN 'function_definition' THEN 3.5::DOUBLE WHEN 'class_definition' THEN 2.2::DOUBLE WHEN 'import_statement' THEN 1.8::DOUBLE WHEN 'documentation' THEN 1.8::DOUBLE WHEN 'variable_assignment' THEN 1.5::DOUBLE WHEN 'test_code' THEN 1.8::DOUBLE ELSE 1.0::DOUBLE END AS score, CASE WHEN match_type IN ('function_definition', 'general_code') THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS relevance FROM kinds")
 def context_score(spark, d):
     line = F.col("text")
-    return search.explode_lines(files(spark, d), False).where(~F.lower(line).contains("mock")).select("path", "line", rank.context_score(line, "find_function").alias("score"), rank.context_relevance(line, "find_function").alias("relevance"))
+    return search.explode_lines(files(spark, d), False).select("path", "line", rank.context_score(line, "find_function").alias("score"), rank.context_relevance(line, "find_function").alias("relevance"))
 
 
 @query(f"WITH {FILES} SELECT path, CASE WHEN contains(lower(content), 'error') THEN 2.0::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN contains(lower(content), 'test') THEN 2.0::DOUBLE ELSE 0.0::DOUBLE END AS concepts, 0.0::DOUBLE AS own FROM files")

@@ -44,3 +44,17 @@ def test_graphs_of_whole_tables(spark, tmp_path, last, back):
         assert {r.node: r.level for r in run(name)} == want
     found, nodes = slow_levels(links)
     assert {r.graph: r.is_dag for r in run("is_dag_whole")} == {"tree": True, "links": set(found) == nodes} == {"tree": True, "links": not back}
+
+
+def test_lines_with_mock_are_scored(spark, tmp_path):
+    spark.createDataFrame([(1, "plain\na Mock here\na test here", "en", "s")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.line: (r.score, r.relevance) for r in QUERIES["context_score"](spark, str(tmp_path)).collect()}
+    assert got.keys() == {1, 2, 3} and got[1] == (1.0, 1.0) and got[3] == (1.8, 0.5)
+    assert got[2][0] == 1.8
+
+
+def test_conversations_with_fences(spark, tmp_path):
+    said = ["plain", "look:\n```\ncode\n```\nend", "```json\n{}\n```", "a ``` b"]
+    spark.createDataFrame([(1, i, "user", t) for i, t in enumerate(said)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.turn: r.block for r in QUERIES["extract_fenced_block"](spark, str(tmp_path)).collect()}
+    assert got == {i: re.search(r"```json\n(.*?)\n```", f"```json\n{t}\n```", re.DOTALL)[1] for i, t in enumerate(said)}
