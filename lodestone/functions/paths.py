@@ -69,6 +69,11 @@ def language(path: Column, content: Column | None = None) -> Column:
     return F.coalesce(out, F.lit("unknown"))
 
 
+def config_language(path: Column) -> Column:
+    """The language of the two suffixes that a workspace's settings know; null for others."""
+    return F.when(F.lower(suffix(path)) == ".py", "python").when(F.lower(suffix(path)) == ".java", "java")
+
+
 def category(path: Column) -> Column:
     return F.when(F.lower(path).rlike("test|spec"), "test").otherwise("implementation")
 

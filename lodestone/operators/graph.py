@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import itertools
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.shared import scratch
+
 # What an edge of each type weighs.
 TYPE_WEIGHTS = {
     "Implement": 7.575, "Throw": 9.053, "Call": 0.177, "Create": 1.665, "ImplLink": 9.33, "Extend": 2.159,
@@ -18,19 +19,11 @@ TYPE_WEIGHTS = {
 DAMPING, ROUNDS, TOLERANCE = 0.85, 100, 1e-6
 
 
-_OWN: list[str] = []
-
-
 def cut(df: DataFrame) -> DataFrame:
-    """End an iteration's lineage with a written table in the checkpoint folder; a temporary one only where none is set.
+    """End an iteration's lineage with a written table in the shared folder.
 
     Unlike a checkpoint it also ends the planner's size estimates, whose products would grow with each round."""
-    base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not _OWN:
-            _OWN.append(tempfile.mkdtemp(prefix="lodestone-"))
-        base = f"file://{_OWN[0]}"
-    path = f"{base.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, "cut")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -67,24 +60,26 @@ def nodes_of(edges: DataFrame) -> DataFrame:
 
 
 def pagerank(edges: DataFrame, nodes: DataFrame | None = None, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float | None = TOLERANCE) -> DataFrame:
-    """(node, rank) by weighted power iteration; without a tolerance exactly ``rounds`` rounds are made."""
+    """(node, rank) by weighted power iteration; without a tolerance exactly ``rounds`` rounds are made, with one it is an
+    error if they don't settle. A round is one written table: the lost mass and the distance moved are sums over it."""
     nodes = cut(nodes if nodes is not None else nodes_of(edges))
     n = nodes.count()
+    if not n:
+        return nodes.select("node", F.lit(0.0).alias("rank"))
     out = edges.groupBy("src").agg(F.sum("weight").alias("total"))
     share = cut(edges.join(out, "src").where("total > 0").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")))
-    dangling = cut(nodes.join(share.select(F.col("src").alias("node")).distinct(), "node", "left_anti"))
-    rank = nodes.withColumn("rank", F.lit(1.0 / max(1, n)))
+    gives = share.select(F.col("src").alias("node"), F.lit(True).alias("gives")).distinct()
+    rank = cut(nodes.join(gives, "node", "left").select("node", F.lit(1.0 / n).alias("rank"), F.col("gives").isNull().alias("dangling"), F.lit(float("inf")).alias("moved")))
     for _ in range(rounds):
-        lost = rank.join(dangling, "node", "left_semi").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
+        lost, moved = rank.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0)), F.sum("moved")).first()
+        if tolerance is not None and moved < n * tolerance:
+            return rank.select("node", "rank")
         given = rank.join(share, rank.node == share.src).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("given"))
-        new = nodes.join(given, nodes.node == given.dst, "left").select("node", (F.coalesce("given", F.lit(0.0)) * damping + (1 - damping + damping * lost) / n).alias("rank"))
-        new = cut(new)
-        if tolerance is not None:
-            moved = new.alias("a").join(rank.alias("b"), "node").agg(F.sum(F.abs(F.col("a.rank") - F.col("b.rank")))).first()[0] or 0.0
-            if moved < n * tolerance:
-                return new
-        rank = new
-    return rank
+        new = F.coalesce("given", F.lit(0.0)) * damping + (1 - damping + damping * lost) / n
+        rank = cut(rank.join(given, rank.node == given.dst, "left").select("node", new.alias("rank"), "dangling", F.abs(new - F.col("rank")).alias("moved")))
+    if tolerance is not None and rank.agg(F.sum("moved")).first()[0] >= n * tolerance:
+        raise RuntimeError(f"ranks have not settled in {rounds} rounds")
+    return rank.select("node", "rank")
 
 
 def isolates(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -216,20 +211,22 @@ def assign_isolated_in_turn(isolated: DataFrame, members: DataFrame, threshold:
 
 def community_table(membership: DataFrame) -> DataFrame:
     """Communities by falling size, then least member: (community_id, size, nodes)."""
-    sets = membership.groupBy("community").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("least"), F.array_sort(F.collect_list("node")).alias("nodes"))
-    place = F.row_number().over(W.orderBy(F.desc("size"), "least")) - 1
-    return sets.select(F.concat(F.lit("Community_"), place).alias("community_id"), "size", "nodes")
+    sizes = membership.groupBy("community").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("least"))
+    place = F.row_number().over(W.orderBy(F.desc("size"), "least")) - 1  # of ids and sizes alone
+    named = sizes.select("community", F.concat(F.lit("Community_"), place).alias("community_id"), "size")
+    nodes = membership.groupBy("community").agg(F.array_sort(F.collect_list("node")).alias("nodes"))
+    return named.join(nodes, "community").select("community_id", "size", "nodes")
 
 
-def communities(edges: DataFrame, most: int = 20, rounds: int = 20) -> DataFrame:
+def communities(edges: DataFrame, most: int = 20, rounds: int | None = None) -> DataFrame:
     """(node, community) by seeded size-bounded merging: each round every community asks to join the neighbour
     with the greatest tie by modularity gain; pairs that choose each other merge if together they have at most
-    ``most`` nodes. An exact partition, the same for the same edges."""
+    ``most`` nodes. An exact partition, the same for the same edges. Goes on until no two agree, or for ``rounds`` rounds."""
     both = edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "weight").groupBy("a", "b").agg(F.sum("weight").alias("w"))
     both = cut(both)
     total = both.agg(F.sum("w")).first()[0] or 0.0
     member = cut(nodes_of(edges).select("node", F.col("node").alias("community")))
-    for _ in range(rounds if total else 0):
+    for _ in (range(rounds) if rounds is not None else itertools.count()) if total else ():
         size = member.groupBy("community").agg(F.count(F.lit(1)).alias("n"))
         tied = both.join(member.select(F.col("node").alias("a"), F.col("community").alias("ca")), "a").join(member.select(F.col("node").alias("b"), F.col("community").alias("cb")), "b")
         degree = tied.select(F.col("ca").alias("c"), "w").union(tied.select(F.col("cb").alias("c"), "w")).groupBy("c").agg(F.sum("w").alias("d"))
@@ -246,7 +243,7 @@ def communities(edges: DataFrame, most: int = 20, rounds: int = 20) -> DataFrame
     return member
 
 
-def recluster(edges: DataFrame, most: int = 20, below: int = 200, rounds: int = 20) -> DataFrame:
+def recluster(edges: DataFrame, most: int = 20, below: int = 200, rounds: int | None = None) -> DataFrame:
     """(node, community): communities of communities, until fewer than ``below`` are left or a round merges none.
 
     ``most`` bounds the members of one round's community, which from the second round on are communities."""

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import paths
+from . import search, spans
 
 SCHEMA = (
     "path string, name string, type string, start_line int, end_line int, parent_name string, parameters array<string>, decorators array<string>, "
@@ -76,8 +77,9 @@ def pattern_symbols(source: str):
                 break
 
 
-def symbols(files: DataFrame) -> DataFrame:
-    """A row for each definition; a file that can't be parsed gives one row with the error."""
+def symbols(files: DataFrame, fallback: bool = False, source: bool = False) -> DataFrame:
+    """A row for each definition; a file that can't be parsed gives one row with the error. With ``fallback``, Python that
+    can't be parsed gives what its lines show, each with the error; with ``source``, a column of the definition's lines."""
 
     def work(batches):
         for b in batches:
@@ -85,25 +87,31 @@ def symbols(files: DataFrame) -> DataFrame:
             for path, content, language in zip(b.path, b.content, b.language):
                 try:
                     found = list((python_symbols if language == "python" else pattern_symbols)(content or ""))
-                    rows += [(path, *s, language, None) for s in found]
+                    error = None
                 except (SyntaxError, ValueError, RecursionError) as e:
-                    rows.append((path, None, None, None, None, None, [], [], [], None, None, None, language, str(e)))
-            out = pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
+                    found, error = list(spans.python_by_lines(content)) if fallback and language == "python" else [], str(e)
+                    if not found:
+                        rows.append((path, None, None, None, None, None, [], [], [], None, None, None, language, error, None))
+                lines = (content or "").split("\n") if source and found else []
+                rows += [(path, *s, language, error, "\n".join(lines[s[2] - 1 : s[3]]) if source else None) for s in found]
+            out = pd.DataFrame(rows, columns=[c.split()[0] for c in (SCHEMA + ", source string").split(", ")])
             yield out.astype({"start_line": "Int32", "end_line": "Int32", "is_async": "boolean", "is_static": "boolean", "is_class_method": "boolean"})
 
     with_language = files.select("path", "content", paths.language(F.col("path"), F.col("content")).alias("language")).where("language <> 'unknown'")
-    return with_language.mapInPandas(work, SCHEMA)
+    out = with_language.mapInPandas(work, SCHEMA + ", source string")
+    return out if source else out.drop("source")
 
 
-def find_class(files: DataFrame, name: str) -> DataFrame:
-    """By the last part of a dotted name."""
-    return symbols(files).where((F.col("type") == "class") & (F.col("name") == name.split(".")[-1]))
+def find_class(files: DataFrame, name: str, glob: str | None = None) -> DataFrame:
+    """By the last part of a dotted name, in the files that the policy shows."""
+    found = symbols(search.visible(files, glob, glob=True), fallback=True)
+    return found.where((F.col("type") == "class") & (F.col("name") == name.split(".")[-1]))
 
 
-def find_function(files: DataFrame, name: str) -> DataFrame:
-    """Functions and methods; of several on one line the first counts."""
+def find_function(files: DataFrame, name: str, glob: str | None = None) -> DataFrame:
+    """Functions and methods in the files that the policy shows; of several on one line the first counts."""
     parts = name.split(".")
-    found = symbols(files).where(F.col("type").isin("function", "method") & (F.col("name") == parts[-1]))
+    found = symbols(search.visible(files, glob, glob=True), fallback=True).where(F.col("type").isin("function", "method") & (F.col("name") == parts[-1]))
     if len(parts) == 2:
         found = found.where(F.col("parent_name") == parts[0])
     first = W.partitionBy("path", "start_line").orderBy(F.when(F.col("type") == "function", 0).otherwise(1))
@@ -112,7 +120,18 @@ def find_function(files: DataFrame, name: str) -> DataFrame:
 
 def view_spans(files: DataFrame, names: list[str]) -> DataFrame:
     """(path, name, start_line, end_line, content) of definitions by name or Class.method."""
-    found = symbols(files).where("error is null").withColumn("full", F.concat_ws(".", "parent_name", "name"))
+    found = symbols(search.visible(files), fallback=True, source=True).where("name is not null").withColumn("full", F.concat_ws(".", "parent_name", "name"))
     found = found.where(F.col("name").isin(names) | F.col("full").isin(names))
-    lines = F.slice(F.split("content", "\n", -1), F.col("start_line"), F.col("end_line") - F.col("start_line") + 1)
-    return found.join(files.select("path", "content"), "path").select("path", F.col("full").alias("name"), "start_line", "end_line", F.array_join(lines, "\n").alias("content"))
+    return found.select("path", F.col("full").alias("name"), "start_line", "end_line", F.col("source").alias("content"))
+
+
+def block_ends(asked: DataFrame) -> DataFrame:
+    """(path, start_line, type, end_line) for rows of (path, content, start_line, type): where a block of that type that
+    begins at that line ends, judged by indentation."""
+
+    def work(batches):
+        for b in batches:
+            ends = [spans.ENDS.get(kind, spans.block_end)(spans.Lines(content or ""), start) for content, start, kind in zip(b.content, b.start_line, b.type)]
+            yield pd.DataFrame({"path": b.path, "start_line": b.start_line, "type": b.type, "end_line": pd.Series(ends, dtype="int32")})
+
+    return asked.select("path", "content", F.col("start_line").cast("int").alias("start_line"), "type").mapInPandas(work, "path string, start_line int, type string, end_line int")

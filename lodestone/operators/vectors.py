@@ -19,21 +19,31 @@ def dot(a: Column, b: Column) -> Column:
 
 def normalise(v: Column) -> Column:
     """To length 1; a zero vector stays zero."""
-    norm = F.sqrt(dot(v, v))
-    return F.transform(v, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(F.lit(0.0)))
+    # the norm is bound by a lambda of its own: it is made once, not for each element
+    return F.transform(F.array(F.sqrt(dot(v, v))), lambda n: F.transform(v, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(F.lit(0.0))))[0]
 
 
-def top_k(vectors: DataFrame, query: list[float], k: int = 10, where: Column | None = None, after: bool = False) -> DataFrame:
-    """The k nearest by cosine. ``where`` filters before the search, or, with ``after``, among the best 2k only."""
+def cosine(v: Column, query: list[float]) -> Column:
+    """To 4 places; 0 with a zero vector."""
     q = np.asarray(query, float)
     q = F.array(*(F.lit(float(x)) for x in q / (np.linalg.norm(q) or 1)))
+    return F.round(F.coalesce(F.try_divide(dot(v, q), F.sqrt(dot(v, v))), F.lit(0.0)), 4)
+
+
+def top_k(vectors: DataFrame, query: list[float], k: int = 10, where: Column | None = None, after: bool = False) -> DataFrame:
+    """The k nearest by cosine. ``where`` filters before the search, or, with ``after``, among the best 2k only."""
     rows = vectors if where is None or after else vectors.where(where)
-    scored = rows.withColumn("score", F.round(dot(normalise(F.col("embedding")), q), 4)).drop("embedding")
+    scored = rows.withColumn("score", cosine(F.col("embedding"), query)).drop("embedding")
     if where is not None and after:
         return scored.orderBy(F.desc("score"), "vec_id").limit(2 * k).where(where).orderBy(F.desc("score"), "vec_id").limit(k)
     return scored.orderBy(F.desc("score"), "vec_id").limit(k)
 
 
+def index_counts(chunks: DataFrame, by: str) -> DataFrame:
+    """(by, n): an index's chunks by type, language or another column."""
+    return chunks.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
+
+
 def index_stats(chunks: DataFrame) -> DataFrame:
     counts = chunks.agg(F.count(F.lit(1)).alias("chunks"), F.countDistinct("path").alias("files"))
     return counts.select("chunks", "files", F.round(F.try_divide("chunks", "files"), 4).alias("per_file"))

@@ -22,6 +22,17 @@ def save_index(chunks: DataFrame, path: str, append: bool = False) -> None:
     chunks.write.mode("append" if append else "overwrite").parquet(path)
 
 
+def staged(rows: DataFrame, path: str) -> DataFrame:
+    """Rows written beside an index while it is built, so that its steps read them once made."""
+    rows.write.mode("overwrite").parquet(f"{path.rstrip('/')}.building")
+    return rows.sparkSession.read.schema(rows.schema).parquet(f"{path.rstrip('/')}.building")
+
+
+def unstage(spark: SparkSession, path: str) -> None:
+    fs, p = _place(spark, f"{path.rstrip('/')}.building")
+    fs.delete(p, True)
+
+
 def load_index(spark: SparkSession, path: str, schema: str = INDEX) -> DataFrame:
     """An index that isn't there is an empty one."""
     return spark.read.parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)

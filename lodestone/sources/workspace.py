@@ -18,6 +18,9 @@ class Reader(DataSourceReader):
     def __init__(self, options: dict, with_content: bool):
         self.root = os.path.realpath(options["path"])
         self.most, self.with_content = int(options.get("maxFileSize", 10 << 20)), with_content
+        self.errors = options.get("errors", "latin-1")
+        if self.errors not in ("latin-1", "ignore", "strict"):
+            raise ValueError("errors is latin-1, ignore or strict")
 
     def partitions(self):
         names = []
@@ -35,24 +38,34 @@ class Reader(DataSourceReader):
             size = os.path.getsize(full)
             if not self.with_content:
                 yield name, size
-            elif size <= self.most:
-                with open(full, "rb") as f:
-                    data = f.read()
-                try:
-                    yield name, data.decode(), size, "utf-8"
-                except UnicodeDecodeError:
-                    yield name, data.decode("latin-1"), size, "latin-1"
+                continue
+            if size > self.most:
+                yield name, None, size, None, f"larger than {self.most} bytes"
+                continue
+            with open(full, "rb") as f:
+                data = f.read()
+            try:
+                yield name, data.decode(), size, "utf-8", None
+            except UnicodeDecodeError as e:
+                if self.errors == "strict":
+                    yield name, None, size, None, str(e)
+                elif self.errors == "ignore":
+                    yield name, data.decode(errors="ignore"), size, "utf-8", None
+                else:
+                    yield name, data.decode("latin-1"), size, "latin-1", None
 
 
 class Workspace(DataSource):
-    """spark.read.format("workspace").load(folder): (path, content, size, encoding) of files up to maxFileSize."""
+    """spark.read.format("workspace").load(folder): (path, content, size, encoding, error). Files of more than maxFileSize
+    bytes have an error and no content. What isn't UTF-8 is read as Latin-1, with errors=ignore without the wrong bytes,
+    and with errors=strict not at all, which is an error of that file."""
 
     @classmethod
     def name(cls):
         return "workspace"
 
     def schema(self):
-        return "path string, content string, size long, encoding string"
+        return "path string, content string, size long, encoding string, error string"
 
     def reader(self, schema):
         return Reader(self.options, True)
