@@ -7,7 +7,6 @@ import ctypes
 import gc
 import os
 import re
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -17,22 +16,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN: dict[str, str] = {}
+from ..sources.shared import scratch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder's path under spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        app = spark.sparkContext.applicationId
-        base = _OWN.setdefault(app, _OWN.get(app) or "file://" + tempfile.mkdtemp(prefix="lodestone-"))
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read again: cuts the lineage and survives lost executors."""
     path = scratch(df.sparkSession, name)
@@ -125,9 +115,11 @@ def release() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that a text column has about so many bytes in each; a longer text stands alone."""
-    release()
+def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = 4 << 20, fresh: bool = True) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that a text column has about so many bytes in each; a longer text stands alone. Not ``fresh``: what
+    tasks before remember is of use."""
+    if fresh:
+        release()
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -161,6 +153,16 @@ def numbered(words: Words, tokens: list) -> np.ndarray:
     return np.fromiter(map(words.__getitem__, tokens), dtype=np.int64, count=len(tokens))
 
 
+def planes(x: np.ndarray) -> bytes:
+    """Bytes of one significance together: sorted or small numbers then compress well."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+
+
+def unplanes(b: bytes, dtype) -> np.ndarray:
+    k = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(k, -1).T).reshape(-1).view(dtype)
+
+
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -173,6 +175,18 @@ def mixed(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+P = np.uint64(0x9E3779B97F4A7C15)
+_POWERS: list[np.ndarray] = []
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if not _POWERS or len(_POWERS[0]) < n:
+        with np.errstate(over="ignore"):
+            inverse = np.uint64(pow(int(P), -1, 1 << 64))
+            _POWERS[:] = [np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, x)])) for x in (P, inverse)]
+    return _POWERS[0], _POWERS[1]
+
+
 def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Smaller Arrow batches, so that long texts don't fill a worker."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
