@@ -5,15 +5,20 @@ Documents are encoded and cut into pieces of at most ``size`` tokens. The histog
 with the most room, and keeps only packing patterns with counts. Patterns are then joined back to the pieces by
 each piece's rank among those of its length.
 
-Ranks come from a window over (length, salt), with the salts' counts summed before, so a length that a third of
-the documents have is still spread out. Null and empty texts give a piece of the end id alone. Rows repeated with
-the same id are packed each time. An empty table gives no pieces. Other columns are not read. ``memory`` is how many
-runs of non-blanks a worker remembers in each of two generations while it encodes; it changes no result.
+Each task numbers its own pieces of a length while it cuts them; the ranks of a length begin, task after task, at the
+sum of the counts before. So ranks need no sort and no window over pieces, and a length that a third of the pieces
+have is dealt like any other. Only numbers meet the patterns: the ids stay in the table of pieces where the task
+wrote them, and are read with the places by those who select them.
+
+Null and empty texts give a piece of the end id alone. Rows repeated with the same id are packed each time. An empty
+table gives no pieces. Other columns are not read. ``memory`` is how many runs of non-blanks a worker remembers
+while it encodes; it changes no result.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -22,31 +27,47 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialise
-from .encode import default_path, encoder
+from .common import bounded_batches, materialise, slices, task_id
+from .encode import default_path, encoder, with_end
 
-SALTS = 512
+#: Counts of pieces by task and length that are broadcast; more are joined by shuffle.
+MOST_COUNTS = 1_000_000
+PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary, ids_crc32 long, task int, own long"
 
 
 def pieces(docs: DataFrame, size: int = 2048, tokenizer: str | None = None, end_id: int = 1, doc_id: str = "doc_id", text: str = "text", memory: int = 600_000) -> DataFrame:
-    """(doc_id, start, length, doc_tokens, ids, copy): every document's ids with the end id, cut at each ``size`` ids.
-
-    copy tells rows of one id apart; ids are little-endian unsigned 32-bit integers."""
+    """(doc_id, start, length, doc_tokens, ids, ids_crc32, task, own): every document's ids with the end id, cut at each
+    ``size`` ids. ids are little-endian unsigned 32-bit integers; own is the piece's place, from 0, among those of its
+    length that its task made. The numbers of a task hold together only once the table is written."""
     tokenizer = tokenizer or default_path()
 
     def cut(batches):
-        enc, end = encoder(tokenizer, memory), np.array([end_id], "<u4").tobytes()
-        for batch in batches:
-            rows = []
-            for key, ids in zip(batch.column(0).to_pylist(), enc.ids(batch.column(1).fill_null("").to_pylist())):
-                ids += end
-                n = len(ids) // 4
-                rows += [(key, at, min(size, n - at), n, ids[4 * at : 4 * (at + size)]) for at in range(0, n, size)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ((),) * 5, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["doc_id", "start", "length", "doc_tokens", "ids"])
+        enc, task, made = encoder(tokenizer, memory), task_id(), np.zeros(size + 1, np.int64)
+        for batch in slices(batches, 1, fresh=False):
+            flat, counts = with_end(*enc.encode(batch.column(1)), end_id)
+            n = -(-counts // size)  # pieces of each document
+            doc = np.repeat(np.arange(len(counts)), n)
+            start = (np.arange(len(doc)) - (np.cumsum(n) - n)[doc]) * size
+            length = np.minimum(size, counts[doc] - start)
+            ends = np.cumsum(length)
+            raw = memoryview(flat).cast("B")
+            crc = [crc32(raw[i:j]) for i, j in zip((4 * (ends - length)).tolist(), (4 * ends).tolist())]
+            order = np.argsort(length, kind="stable")
+            head = np.flatnonzero(np.diff(length[order], prepend=0))
+            many = np.diff(np.concatenate([head, [len(order)]]))
+            own = np.empty(len(order), np.int64)
+            own[order] = np.arange(len(order)) - np.repeat(head, many) + made[length[order]]
+            made[length[order[head]]] += many
+            ids = pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(np.concatenate([[0], 4 * ends]).astype(np.int32)), pa.py_buffer(flat)])
+            columns = [batch.column(0).take(pa.array(doc)), start, length, counts[doc], ids, np.array(crc, np.int64), np.full(len(doc), task, np.int32), own]
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], NAMES)
 
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(cut, "doc_id long, start long, length long, doc_tokens long, ids binary")
+    return rows.mapInArrow(cut, PIECES)
+
+
+NAMES = [c.split()[0] for c in PIECES.split(", ")]
 
 
 def patterns(histogram: dict[int, int], size: int = 2048) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -109,21 +130,19 @@ def slots(found: list[tuple[int, list[tuple[int, int]]]]) -> dict[int, tuple[np.
     return {k: tuple(np.array(c, np.int64) for c in zip(*v)) for k, v in out.items()}
 
 
-def ranked(rows: DataFrame) -> DataFrame:
-    """Adds rank: each piece's place, from 0, among those of its length."""
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(SALTS)).cast("int"))
-    counts = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
-    before = W.partitionBy("length").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)
-    bases = counts.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    own = W.partitionBy("length", "salt").orderBy("doc_id", "start", "ids")
-    salted = salted.withColumn("own", F.row_number().over(own) - 1)
-    return salted.join(bases, ["length", "salt"]).withColumn("rank", F.col("base") + F.col("own")).drop("salt", "base", "own")
+def ranked(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """Adds rank: each piece's place, from 0, among those of its length. counts: (task, length, n)."""
+    before = W.partitionBy("length").orderBy("task").rowsBetween(W.unboundedPreceding, -1)  # a row for each task
+    bases = counts.select("task", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    small = counts.limit(MOST_COUNTS + 1).count() <= MOST_COUNTS
+    return rows.join(F.broadcast(bases) if small else bases, ["task", "length"]).withColumn("rank", F.col("base") + F.col("own")).drop("task", "own", "base")
 
 
 def pack(docs: DataFrame, size: int = 2048, tokenizer: str | None = None, end_id: int = 1, doc_id: str = "doc_id", text: str = "text", memory: int = 600_000) -> DataFrame:
-    """(doc_id, start, length, doc_tokens, ids, sequence_id, offset): where each piece lies."""
+    """(doc_id, start, length, doc_tokens, ids, ids_crc32, sequence_id, offset): where each piece lies."""
     rows = materialise(pieces(docs, size, tokenizer, end_id, doc_id, text, memory), "pieces")
-    histogram = {r.length: r.n for r in rows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most ``size`` rows
+    counts = materialise(rows.groupBy("task", "length").agg(F.count(F.lit(1)).alias("n")), "counts")
+    histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``size`` rows
     table = slots(patterns(histogram, size))
 
     @F.pandas_udf("sequence_id long, offset long")  # of two columns: the ids stay in the JVM
@@ -139,5 +158,5 @@ def pack(docs: DataFrame, size: int = 2048, tokenizer: str | None = None, end_id
             sequence[on], offset[on] = seq[k] + rank[on] - first[k], at[k]
         return pd.DataFrame({"sequence_id": sequence, "offset": offset})
 
-    out = ranked(rows).withColumn("at", place("length", F.col("rank").cast("long")))
-    return out.select("doc_id", "start", "length", "doc_tokens", "ids", "at.sequence_id", "at.offset")
+    out = ranked(rows, counts).withColumn("at", place("length", F.col("rank").cast("long")))
+    return out.select("doc_id", "start", "length", "doc_tokens", "ids", "ids_crc32", "at.sequence_id", "at.offset")
