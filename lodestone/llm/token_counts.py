@@ -16,11 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, materialise, slices
 from .encode import default_path, encoder
 
 #: Lengths in a block of the two-level suffix sums.
-BLOCK = 1024
+BLOCK = 256
 
 
 def lengths(docs: DataFrame, tokenizer: str, text: str = "text", end_tokens: int = 0) -> DataFrame:
@@ -28,9 +28,8 @@ def lengths(docs: DataFrame, tokenizer: str, text: str = "text", end_tokens: int
 
     def count(batches):
         enc, seen = encoder(tokenizer), Counter()
-        for batch in batches:
-            texts = batch.column(0).fill_null("").to_pylist()
-            seen.update(len(ids) // 4 + end_tokens for ids in enc.ids(texts))
+        for batch in slices(batches, 0, fresh=False):
+            seen.update((enc.encode(batch.column(0), with_ids=False)[1] + end_tokens).tolist())
         yield pa.RecordBatch.from_pydict({"n_tokens": pa.array(list(seen), pa.int64()), "n_docs": pa.array(list(seen.values()), pa.int64())})
 
     bounded_batches(docs.sparkSession)
@@ -47,11 +46,13 @@ def suffix_sums(hist: DataFrame) -> DataFrame:
 
     docs_over, tokens_over: documents longer than L and their tokens; docs_to, tokens_to: the others;
     truncated_total: tokens left if each document is cut at L; share_to: docs_to by all documents.
-    The sums run in blocks of lengths, so that no task gets the whole histogram.
+    The sums run in blocks of lengths, so that no task gets the whole histogram. The histogram, which several steps
+    read, is written first: texts are encoded once.
     """
+    hist = materialise(hist.select("n_tokens", "n_docs"), "histogram")
     own = hist.select("n_tokens", "n_docs", (F.col("n_tokens") * F.col("n_docs")).alias("n"), F.floor(F.col("n_tokens") / BLOCK).alias("block"))
     blocks = own.groupBy("block").agg(F.sum("n_docs").alias("block_docs"), F.sum("n").alias("block_n"))
-    after = W.orderBy(F.desc("block")).rowsBetween(W.unboundedPreceding, -1)  # a row for each 1024 lengths
+    after = W.orderBy(F.desc("block")).rowsBetween(W.unboundedPreceding, -1)  # a row for each BLOCK of lengths
     every = W.orderBy(F.desc("block")).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     zero = F.lit(0).cast("long")
     blocks = blocks.select(
