@@ -5,7 +5,8 @@ u32, all little-endian. Ids are serialised as u16 where the vocabulary has at mo
 Beside each data file stands an index with (offset, doc_id, ids) for every record, so a reader can shuffle
 records without touching the data, and a manifest row tells how many ids all earlier files hold.
 
-Files are in ascending doc_id order (range-partitioned), null ids first; equal ids are ordered by text. Null and
+Files are in ascending doc_id order (range-partitioned), null ids first; equal ids are ordered by a hash of the text,
+and dealt by it, so that one id with very many texts fills no file. Null and
 empty texts give a record of the end id alone. Repeated rows give repeated records. An empty table writes no
 record. Columns other than the id and the text are not read.
 """
@@ -17,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, open_input, partitions, read_array, scratch, task_id, write_file
-from .encode import default_path, encoder
+from .common import bounded_batches, open_input, partitions, read_array, scratch, slices, task_id, write_file
+from .encode import default_path, encoder, with_end
 
 INDEX = np.dtype([("offset", "<u8"), ("doc_id", "<i8"), ("null_id", "u1"), ("ids", "<u8")])
 #: CRC-32C (Castagnoli), reflected, and the usual mask constant of such files.
@@ -134,17 +135,15 @@ def write_records(docs: DataFrame, folder: str | None = None, tokenizer: str | N
 
         def pieces():
             nonlocal offset, n_ids, n
-            for batch in batches:
-                keys, texts = batch.column(0), batch.column(1).fill_null("").to_pylist()
-                end = np.array([end_id], "<u4").tobytes()
-                ids = [x + end for x in enc.ids(texts)]
-                flat = np.frombuffer(b"".join(ids), "<u4")
+            for batch in slices(batches, 1, fresh=False):
+                keys = batch.column(0)
+                flat, n_each = with_end(*enc.encode(batch.column(1)), end_id)
                 if width == 2 and len(flat) and flat.max() > 65535:
                     raise ValueError("ids over 65535 need width=4")
-                flat, n_each = flat.astype(f"<u{width}").tobytes(), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+                flat = flat.astype(f"<u{width}").tobytes()
                 ends = np.cumsum(n_each) * width
                 data, at = frame([flat[a:b] for a, b in zip((ends - n_each * width).tolist(), ends.tolist())])
-                rows = np.zeros(len(ids), INDEX)
+                rows = np.zeros(len(keys), INDEX)
                 rows["offset"], rows["ids"] = at + offset, n_each
                 rows["doc_id"], rows["null_id"] = keys.fill_null(0).to_numpy(), keys.is_null().to_numpy(zero_copy_only=False)
                 index.append(rows)
@@ -156,7 +155,8 @@ def write_records(docs: DataFrame, folder: str | None = None, tokenizer: str | N
         yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "path": [path], "n_records": pa.array([n], pa.int64()), "n_ids": pa.array([n_ids], pa.int64())})
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = rows.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
+    mark = F.xxhash64("text")  # rows of one id are dealt over files too
+    rows = rows.repartitionByRange(partitions(spark), F.asc_nulls_first("doc_id"), mark).sortWithinPartitions(F.asc_nulls_first("doc_id"), mark, "text")
     written = sorted(rows.mapInArrow(write, "part int, path string, n_records long, n_ids long").collect())  # a row for each file
     manifest, first = [], 0
     for r in written:
