@@ -42,8 +42,21 @@ register("find_class", symbols.find_class, "classes by name", "name")
 register("find_function", symbols.find_function, "functions and methods by name", "name")
 register("view_spans", symbols.view_spans, "the lines of definitions", "names")
 register("rank_files", rank.rank_files, "files by relevance to a question", "text")
+register("view_range", search.view_range, "a range of lines, cut to the file", "start")
+register("too_large", search.too_large, "files that searches leave out for their size")
+register("workspace_info", search.workspace_info, "what a corpus holds")
+register("test_frameworks", search.test_frameworks, "test frameworks that a corpus shows")
+register("keyword_occurrences", search.keyword_occurrences, "whole words by line", "keywords")
+register("symbols", symbols.symbols, "definitions")
+register("previews", rank.previews, "lines around the best matches", "text")
+register("preview_text", rank.preview_text, "a text of the best matches", "text")
+register("retrieve", rank.retrieve, "files by vectors or keywords", "text")
+register("line_chunks", chunks.line_chunks, "chunks of lines")
 register("code_chunks", chunks.code_chunks, "chunks of code and text")
 register("embed", vectors.embed, "vectors of chunks")
 register("top_k", vectors.top_k, "nearest vectors", "query")
+register("index_counts", vectors.index_counts, "chunks by type or language", "by")
+register("lookup", vectors.lookup, "rows of an index by id", "ids")
 register("pagerank", graph.pagerank, "ranks of nodes")
+register("communities", graph.communities, "communities of bounded size")
 register("recluster", graph.recluster, "communities of nodes")

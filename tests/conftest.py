@@ -23,4 +23,7 @@ def spark(tmp_path_factory):
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    from lodestone.sources import shared
+
+    shared.clean(session)
     session.stop()
