@@ -1,16 +1,24 @@
 """Main text of web pages, with boilerplate found by a suffix array over each host.
 
-A page becomes blocks of text in page order. Blocks inside its article (else its main element) are its text,
-except containers that markup names as menus, headers, footers, sidebars, notices, adverts, forms or comments.
-The visible text of a host's pages, in and outside articles, is one long token stream; its suffix array finds
-substrings of ``least`` tokens or more that stand on two or more distinct pages. Tokens covered by such substrings
-are boilerplate, and the runs between them are kept as the text. A substring lies wholly inside a page's article or
-wholly outside it. Articles of which ``WHOLE`` or more is covered are kept whole: they are published at two
-addresses, be it with a few words changed.
-
-A host whose stream is longer than ``SHARD`` tokens is dealt over shards by a suffix's first ``least`` tokens, which
-is all that the comparison reads, so no task gets a whole host: a suffix goes where the least-hashed three tokens
-among these say, and neighbours that share them go as one segment of the stream.
+A page becomes regions: the text that stands directly in one container (an article, a section, a div, ...), block by
+block. A region's text is one token stream, shorter ones filled up to ``least`` tokens. All regions of a host's pages,
+in and outside articles, go into suffix arrays, which find the substrings of ``least`` tokens that stand on two or
+more distinct pages. From these two decisions follow, alike for all pages of the host:
+
+* A container, known by its path of element names and classes, is boilerplate if of the distinct substrings that
+  begin in it ``SHARE`` or more stand on several pages. Copies of a page count once, so they don't make it boilerplate.
+* A substring is boilerplate if it stands on ``LEAST_PAGES`` pages or more and on ``SHARE`` of all pages of the host.
+
+A page's text is that of its article and main elements with all containers in them, else that of the whole body.
+Containers that markup names as menus, headers, footers, sidebars, notices, adverts, forms or comments never belong to
+it. Containers and substrings that the arrays call boilerplate are removed, and the runs between them kept, but not
+an article or main element itself; and nothing is removed if that would leave fewer than a fifth of a page's article
+(of a page without one: fewer than ``least`` tokens), as it is then a copy. Text that merely repeats stays.
+
+No task gets a whole host. Every window of ``least`` tokens has an anchor, its least-hashed ``GRAM`` tokens, so equal
+windows have equal anchors. Anchors that occur once are left out before, which can't lose a repeat; those of the
+others are dealt by anchor, equal ones combined where pages are read, and those of an anchor that occurs more than
+``HOT`` times by their own tokens. What a task gets it concatenates and sorts as one suffix array.
 
 Null and empty pages give an empty text. Rows alike in all three columns are one page to the suffix array, and are
 answered each time. Null ids and addresses are kept; pages without an address share the empty host. An empty table
@@ -20,142 +28,276 @@ gives an empty result. Other columns are not read.
 from __future__ import annotations
 
 import html
-import json
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh32_intdigest
-
-from .common import bounded_batches, materialise, mixed, slices
-
-LEAST, SHARD, WHOLE = 8, 1_000_000, 0.8
-#: Hosts, and pages with repeats, that are broadcast; more are joined by shuffle.
-MOST = 200_000
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|svg|math|iframe|object|canvas|audio|video|textarea|select)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*)>"
-    r"|<[!?][^>]*>",
-    re.IGNORECASE | re.DOTALL,
-)
-ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.IGNORECASE)
-#: Element names and the words in class, id and role that name what isn't article text.
+from xxhash import xxh32_intdigest, xxh64_intdigest
+
+from .common import bounded_batches, materialise, mixed, partitions, scratch, slices
+from .hash_files import HashFiles, repeated, write_hashes
+
+LEAST, GRAM, SHARE, LEAST_PAGES, WHOLE = 8, 5, 0.5, 10, 0.8
+HOT = 100_000
+COLLECTION = 1_000_000  # tokens of a suffix array; one more group of an anchor may come on top
+
+#: Element names, and the words in class, id and role that name what isn't article text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+HIDDEN = frozenset("script style noscript template svg math iframe object canvas audio video textarea select".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
+REGIONS = frozenset("article aside body center details dialog div fieldset figure footer form head header main menu nav section table".split())
 DROPPED = frozenset("aside button dialog footer form head menu nav title".split())
 NOISE = frozenset(
     "ad ads advert advertisement advertisements adverts alert banner breadcrumb breadcrumbs comment comments complementary contentinfo cookie cookies"
-    " disclaimer dialog disqus footer form header login masthead menu modal nav navbar navigation newsletter notice notices notification pagination"
-    " popup promo promotion related replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
+    " disclaimer dialog disqus form login masthead menu modal nav navbar navigation newsletter notice notices notification pagination"
+    " popup promo promotion related replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget"
+    " ad-banner ad-slot ad-container comment-list comments-area cookie-banner cookie-notice main-nav related-posts share-buttons site-nav social-share".split()
 )
-PART = re.compile(r"[\s_-]+")
+OUTER = frozenset("footer header site-footer site-header page-footer".split())  # inside an article these are its own
 ARTICLE, MAIN, OTHER, DROP = 3, 2, 1, 0
 
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+NAME = re.compile(r"</?[a-zA-Z]")
+ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.IGNORECASE)
+DIGITS = re.compile(r"\d+")
+ENDS = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in HIDDEN}
+#: An element that ends the last open one of the same kind, if no other block than a div or paragraph is between.
+KIND = {"li": 0, "dt": 1, "dd": 1, "td": 2, "th": 2, "tr": 3, "p": 4}
+PASSED = frozenset("div address".split())
+
 
-def is_noise(attributes: str) -> bool:
+def named(attributes: str) -> tuple[frozenset[str], str]:
+    """The words in class, id and role; and the classes as they stand in a container's path."""
+    words, classes = set(), ""
     for m in ATTRIBUTE.finditer(attributes):
-        if not NOISE.isdisjoint(PART.split((m[2] or m[3] or m[4] or "").lower())):
-            return True
-    return False
-
-
-def blocks(page: str, by_class: bool = True) -> list[tuple[int, str]]:
-    """(role, text) of each block with text; white space in a block is one blank."""
-    out: list[tuple[int, str]] = []
-    stack: list[tuple[str, int]] = []  # open containers and what they make of text in them
-    text: list[str] = []
-    role, at = OTHER, 0
-    mark = outer = None  # from where the block's text is in a dropped inline element, and the role outside it
-
-    def end():
-        nonlocal mark
-        if text:
-            words = " ".join(html.unescape("".join(text[:mark])).split())
-            text.clear()
+        own = (m[2] or m[3] or m[4] or "").lower().split()
+        words.update(own)
+        if m[1].lower() == "class":
+            classes = "".join("." + DIGITS.sub("0", w) for w in sorted(set(own)))
+    return frozenset(words), classes
+
+
+class Page:
+    """A page's regions, and its blocks in page order. One scan; each character is looked at a bounded number of times."""
+
+    def __init__(self, page: str, by_class: bool = True):
+        self.paths: list[int] = []  # of each region: a hash of its container's path
+        self.roles: list[int] = []
+        self.own: list[bool] = []  # is its container an article or main element itself?
+        self.blocks: list[tuple[int, str]] = []  # (region, text), white space in a block being one blank
+        self.by_class = by_class
+        # open elements: name, role, region, and for each kind where its last open element is
+        self.stack: list[tuple[str, int, int, tuple[int, ...]]] = []
+        self.open: dict[str, int] = {}
+        self.text: list[str] = []
+        self.where = self.region("", OTHER, False)  # of the block's text
+        self.scan(page)
+        self.end()
+
+    def region(self, path: str, role: int, own: bool) -> int:
+        self.paths.append(xxh64_intdigest(path)), self.roles.append(role), self.own.append(own)
+        return len(self.paths) - 1
+
+    def at(self) -> tuple[int, int, tuple[int, ...]]:
+        return self.stack[-1][1:] if self.stack else (OTHER, 0, (-1,) * 5)
+
+    def add(self, text: str) -> None:
+        role, region, _ = self.at()
+        if role != DROP:
+            self.text.append(text)
+            self.where = region
+
+    def end(self) -> None:
+        if self.text:
+            words = " ".join(html.unescape("".join(self.text)).split())
+            self.text.clear()
             if words:
-                out.append((role if mark is None else outer, words))
-        mark = None
-
-    for m in TOKEN.finditer(page):
-        if m.start() > at:
-            text.append(page[at : m.start()])
-        at = m.end()
-        if m[3] is None:
-            continue
-        name = m[3].lower()
-        if name == "br":
-            text.append(" ")
-            continue
+                self.blocks.append((self.where, words))
+
+    def cut(self, i: int) -> None:
+        """Close the open elements from the i-th on."""
+        for name, *_ in self.stack[i:]:
+            self.open[name] -= 1
+        del self.stack[i:]
+
+    def scan(self, page: str) -> None:
+        at = 0
+        while (i := page.find("<", at)) >= 0:
+            if i > at:
+                self.add(page[at:i])
+            m = TAG.match(page, i)
+            if m:
+                at = m.end()
+                name = m[2].lower()
+                if m[1]:
+                    self.close(name)
+                elif name in HIDDEN:
+                    if not m[3].endswith("/") and (end := ENDS[name].search(page, at)):
+                        at = end.end()
+                    elif not m[3].endswith("/"):
+                        return
+                else:
+                    self.start(name, m[3])
+            elif page.startswith("<!--", i):
+                at = page.find("-->", i + 4) + 3
+                if at < 3:
+                    return
+            elif page.startswith(("<!", "<?"), i) or NAME.match(page, i):  # a quote that never ends: the next > ends the tag
+                at = page.find(">", i) + 1
+                if not at:
+                    return
+                if m := re.match(r"<(/?)([a-zA-Z][^\s/>]*)", page[i : i + 64]):
+                    self.close(m[2].lower()) if m[1] else self.start(m[2].lower(), "")
+            else:
+                self.add("<")
+                at = i + 1
+        self.add(page[at:])
+
+    def close(self, name: str) -> None:
+        if name in BLOCKS:
+            self.end()
+        if not self.open.get(name):
+            return
+        i = len(self.stack) - 1
+        while self.stack[i][0] != name:
+            i -= 1
+        self.cut(i)
+
+    def start(self, name: str, attributes: str) -> None:
         block = name in BLOCKS
         if block:
-            end()
-        if m[2]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    after = stack[i - 1][1] if i else OTHER
-                    if not block and after != role:
-                        if mark is None:
-                            end()
-                        else:
-                            del text[mark:]
-                            mark = None
-                    del stack[i:]
-                    role = after
-                    break
-            continue
-        if block and stack and stack[-1][0] == "p":  # a paragraph ends where the next block begins
-            stack.pop()
-            role = stack[-1][1] if stack else OTHER
+            self.end()
+            kinds = self.at()[2]
+            last, own = kinds[4], kinds[KIND[name]] if name in KIND else -1
+            i = own if last < 0 else last if own < 0 else min(last, own)
+            if i >= 0:  # a paragraph ends where a block begins, a list item where the next does
+                self.cut(i)
+        elif name == "br":
+            self.add(" ")
+            return
+        elif "=" not in attributes and name not in DROPPED or attributes.endswith("/"):
+            return
         if name in VOID:
-            continue
-        inner = role
+            return
+        role, region, kinds = self.at()
+        inner, classes = role, ""
         if role != DROP:
-            attributes = m[4]
+            words, classes = named(attributes) if "=" in attributes else (frozenset(), "")
+            outermost = name in ("html", "body", "main") or (name == "article" and role < ARTICLE)
             if name in DROPPED or (name == "header" and role < MAIN):
                 inner = DROP
-            elif by_class and attributes and name not in ("html", "body", "main") and ("=" in attributes) and is_noise(attributes) and not (name == "article" and role < ARTICLE):
+            elif self.by_class and not outermost and not (NOISE.isdisjoint(words) and (role >= MAIN or OUTER.isdisjoint(words))):
                 inner = DROP
             elif name == "article":
                 inner = ARTICLE
             elif name == "main":
                 inner = max(role, MAIN)
-        if block or inner != role:
-            if not block and inner == DROP:
-                mark, outer = len(text), role
-            stack.append((name, inner))
-            role = inner
-    if at < len(page):
-        text.append(page[at:])
-    end()
-    return out
-
-
-def parts(page: str | None) -> tuple[list[str] | None, list[tuple[int, str]]]:
-    """The article's (else the main element's) blocks, None if the page marks neither; and all other blocks."""
-    found = blocks(page or "")
-    best = max((r for r, _ in found), default=DROP)
-    if best < MAIN and re.search(r"<(?:article|main)\b", page or "", re.IGNORECASE):
-        again = blocks(page, by_class=False)  # a container of the whole page had such a name
-        if max((r for r, _ in again), default=DROP) >= MAIN:
-            found, best = again, max(r for r, _ in again)
-    if best >= MAIN:
-        return [t for r, t in found if r == best], [(r, t) for r, t in found if r != best]
-    return None, found
-
-
-def page_blocks(page: str | None) -> tuple[str | None, list[tuple[int, str]]]:
-    """The text if the page marks an article or a main element, else None; and all other blocks."""
-    own, found = parts(page)
-    if own is not None:
-        return "\n".join(own), found
-    return (None if found else ""), found
-
-
-def token_hashes(texts: list[str]) -> np.ndarray:
-    return np.fromiter((xxh32_intdigest(w, 42) for t in texts for w in t.split()), np.uint32)
+        if not block and inner == role:
+            return
+        if name in REGIONS and inner != DROP:
+            region = self.region(f"{self.paths[region]}/{name}{classes}", inner, name in ("article", "main"))
+        elif inner == DROP and role != DROP:
+            region = self.region(f"{self.paths[region]}/{name}{classes}", DROP, False)
+        n = len(self.stack)
+        if block and name not in PASSED and name not in KIND:
+            kinds = (-1,) * 5
+        elif name in KIND:
+            k = KIND[name]
+            kinds = (*(kinds[:k] if k != 2 else (-1, -1)), n, *(-1,) * (4 - k))
+        elif block:
+            kinds = (*kinds[:4], -1)
+        self.stack.append((name, inner, region, kinds))
+        self.open[name] = self.open.get(name, 0) + 1
+
+
+def parse(page: str | None) -> Page:
+    found = Page(page or "")
+    if max(found.roles) < MAIN and re.search(r"<(?:article|main)\b", page or "", re.IGNORECASE):
+        again = Page(page, by_class=False)  # a container of the whole page had such a name
+        return again if max(again.roles) >= MAIN else found
+    return found
+
+
+def page_text(page: Page, boilerplate: set[int] = frozenset(), runs: dict[int, np.ndarray] | None = None, least: int = LEAST) -> str:
+    """The blocks of the article and main elements, else of all regions, without regions that are boilerplate; runs:
+    of a region, which of its tokens belong to substrings that are."""
+    declared = max(page.roles) >= MAIN
+    own = [(r, t) for r, t in page.blocks if page.roles[r] >= (MAIN if declared else OTHER)]
+    gone = {r for r in boilerplate if not page.own[r]}
+    if gone or runs:
+        at, out, size, left = Counter(), [], 0, 0
+        for r, t in own:
+            words = t.split()
+            marks = runs.get(r) if runs else None
+            kept = [] if r in gone else words if marks is None else [w for w, g in zip(words, marks[at[r] : at[r] + len(words)]) if not g]
+            at[r] += len(words)
+            size, left = size + len(words), left + len(kept)
+            if kept:
+                out.append(" ".join(kept))
+        if left >= ((1 - WHOLE) * size if declared else least):
+            return "\n".join(out)
+    return "\n".join(t for _, t in own)
+
+
+class Hashes(dict):
+    """Tokens' hashes from 1 up (0 fills short regions); few tokens are looked at twice."""
+
+    def __missing__(self, token: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        self[token] = h = max(1, xxh32_intdigest(token, 42))
+        return h
+
+
+class Streams:
+    """The token streams of a batch of pages' regions, one after another."""
+
+    def __init__(self, pages: list[Page], hosts: list[str], known: Hashes, least: int):
+        self.page, self.region, names, every, sizes = [], [], [], [], []
+        for i, page in enumerate(pages):
+            tokens: dict[int, list[str]] = {}
+            for r, t in page.blocks:
+                if r in tokens:
+                    tokens[r] += t.split()
+                else:
+                    tokens[r] = t.split()
+            for r, words in tokens.items():
+                self.page.append(i), self.region.append(r), names.append(f"{hosts[i]}\0{page.paths[r]}")
+                every += words
+                sizes.append(len(words))
+        self.paths = np.fromiter(map(xxh64_intdigest, names), np.uint64, len(names))  # of host and container
+        host = np.fromiter((xxh64_intdigest(h) for h in hosts), np.uint64, len(hosts))
+        self.host = host[self.page] if names else np.zeros(0, np.uint64)
+        own = np.array(sizes, np.int64)
+        self.sizes = np.maximum(own, least)
+        self.begins = np.cumsum(self.sizes) - self.sizes
+        self.tokens = np.zeros(int(self.sizes.sum()), np.uint32)
+        self.tokens[np.arange(len(every)) + np.repeat(self.begins - (np.cumsum(own) - own), own)] = np.fromiter(map(known.__getitem__, every), np.uint32, len(every))
+        self.n = self.sizes - least + 1  # windows
+        first = np.cumsum(self.n) - self.n
+        self.owner = np.repeat(np.arange(len(sizes)), self.n)
+        self.windows = np.arange(int(self.n.sum())) - first[self.owner] + self.begins[self.owner] if names else np.zeros(0, np.int64)
+
+    def grams(self, n: int) -> np.ndarray:
+        """A hash of the n tokens from each place."""
+        h = np.zeros(max(0, len(self.tokens) - n + 1), np.uint64)
+        for k in range(n):
+            h = mixed(h ^ self.tokens[k : k + len(h)].astype(np.uint64))
+        return h
+
+    def window_hashes(self, least: int) -> np.ndarray:
+        """Of each window, with its host."""
+        return mixed(self.grams(least)[self.windows] ^ self.host[self.owner])
+
+    def anchors(self, least: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of each window: its anchor's hash, with its host, and its anchor's place."""
+        h = self.grams(gram)
+        near = np.stack([h[self.windows + k] for k in range(least - gram + 1)])
+        k = near.argmin(axis=0)
+        return mixed(near[k, np.arange(len(k))] ^ self.host[self.owner]), self.windows + k
 
 
 def suffix_ranks(tokens: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -176,168 +318,206 @@ def suffix_ranks(tokens: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray
     return order, rank
 
 
-def repeated_places(order: np.ndarray, rank: np.ndarray, page: np.ndarray, ok: np.ndarray) -> np.ndarray:
-    """Which suffixes share their rank with one of another page. ok: suffixes that don't cross a page's end."""
-    order = order[ok[order]]
-    if not len(order):
-        return np.zeros(0, np.int64)
-    r, p = rank[order], page[order]
-    head = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
-    many = np.minimum.reduceat(p, head) != np.maximum.reduceat(p, head)
-    return order[np.repeat(many, np.diff(np.concatenate([head, [len(r)]])))]
+SEGMENTS = "host long, deal long, path long, tokens binary, flags binary, least_page long, most_page long, n long"
 
 
-def streams(pages: DataFrame) -> DataFrame:
-    """(host, key, tokens, n, outside, blocks): each page's tokens, those outside its article first, and how many these
-    are; blocks only where there is no article."""
+def segments(pages: DataFrame, files: HashFiles, least: int, gram: int) -> DataFrame:
+    """Runs of windows with one repeated anchor, equal ones as one row: (host, deal, path, tokens, flags, least_page,
+    most_page, n). flags: which windows are the first of their kind on their page. Rows without tokens tell how many
+    windows a container has, and (path 0) how many pages a host has."""
+    schema = [f.split() for f in SEGMENTS.split(", ")]
 
     def work(batches):
+        known, rows, total = Hashes(), {}, Counter()
+
+        def out():
+            for i in range(0, len(rows), 50_000):
+                part = list(rows.items())[i : i + 50_000]
+                yield batch_of([(*k, *v) for k, v in part])
+            yield batch_of([(h, p, p, b"", b"", 0, 0, n) for (h, p), n in total.items()])
+            rows.clear(), total.clear()
+
+        def batch_of(part):
+            columns = zip(*part) if part else ((),) * len(schema)
+            kinds = {"long": pa.int64(), "binary": pa.binary()}
+            return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, schema)], [n for n, _ in schema])
+
         for batch in slices(batches, 1):
-            rows = []
-            for h in batch.column(1).fill_null("").to_pylist():
-                own, rest = parts(h)
-                t, inside = token_hashes([t for _, t in rest]), token_hashes(own or [])
-                rows.append((t.tobytes() + inside.tobytes(), len(t) + len(inside), len(t), json.dumps(rest) if own is None and rest else None))
-            cols = [pa.array(c, k) for c, k in zip(zip(*rows), (pa.binary(), pa.int64(), pa.int64(), pa.string()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *cols], ["host", "key", "tokens", "n", "outside", "blocks"])
-
-    return pages.select("host", "html", "key").mapInArrow(work, "host string, key long, tokens binary, n long, outside long, blocks string")
-
-
-def segments(t: np.ndarray, least: int, shards: int):
-    """(shard, starts, numbers of suffixes, tokens) for each shard that gets suffixes of a stream."""
-    gram = min(3, least)
-    h = np.zeros(len(t) - gram + 1, np.uint64)
-    for k in range(gram):
-        h = mixed(h ^ t[k : k + len(h)].astype(np.uint64))
-    least_at = np.arange(len(t) - least + 1) + np.lib.stride_tricks.sliding_window_view(h, least - gram + 1).argmin(axis=1)
-    at = np.flatnonzero(np.concatenate([[True], least_at[1:] != least_at[:-1]]))
-    n = np.diff(np.concatenate([at, [len(least_at)]]))
-    own = (h[least_at[at]] % np.uint64(shards)).astype(np.int64)
-    by = np.argsort(own, kind="stable")
-    at, n, own = at[by], n[by], own[by]
-    size = n + least - 1
-    ends = np.cumsum(size)
-    tokens = t[np.repeat(at - (ends - size), size) + np.arange(ends[-1])]
-    who, i = np.unique(own, return_index=True)
-    for k, a, b in zip(who.tolist(), i.tolist(), [*i[1:].tolist(), len(own)]):
-        yield k, at[a:b].astype("<u4"), n[a:b].astype("<u4"), tokens[ends[a] - size[a] : ends[b - 1]]
-
-
-def small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(MOST + 1).count() <= MOST else df
-
-
-def covered(rows: DataFrame, least: int = LEAST, shard: int = SHARD) -> DataFrame:
-    """(key, places): starts of substrings of ``least`` tokens that stand on other pages of the host too."""
-    sizes = rows.groupBy("host").agg(F.sum("n").alias("total"))
-    shards = F.greatest(F.lit(1), F.ceil(F.col("total") / shard)).cast("int")
-    rows = rows.where(F.col("n") >= least).join(small(sizes), "host").select("host", "key", "tokens", shards.alias("shards"))
-
-    def deal(batches):
-        """One row for a page of a small host; for a large one a row for each shard with segments of its stream."""
+            keys = batch.column(2).to_numpy()
+            s = Streams([parse(h) for h in batch.column(1).to_pylist()], batch.column(0).to_pylist(), known, least)
+            signed = lambda x: x.view(np.int64).tolist()
+            for h in batch.column(0).to_pylist():
+                total[int(np.uint64(xxh64_intdigest(h)).view(np.int64)), 0] += 1
+            if not len(s.windows):
+                continue
+            for h, p, n in zip(signed(s.host), signed(s.paths), s.n.tolist()):
+                total[h, p] += n
+            anchor, place = s.anchors(least, gram)
+            kind = files.find(anchor)  # 0: never elsewhere, 1: repeated, 2: very often
+            whole = s.window_hashes(least)
+            page = np.array(s.page)[s.owner]
+            on = np.flatnonzero(kind > 0)
+            first = np.zeros(len(whole), bool)
+            order = on[np.lexsort((whole[on], page[on]))]
+            if not len(order):
+                continue
+            first[order[np.concatenate([[True], (whole[order[1:]] != whole[order[:-1]]) | (page[order[1:]] != page[order[:-1]])])]] = True
+            # a segment goes on while window, region and anchor do; windows of very frequent anchors stand alone
+            head = on[np.concatenate([[True], (np.diff(on) != 1) | (place[on[1:]] != place[on[:-1]]) | (s.owner[on[1:]] != s.owner[on[:-1]]) | (kind[on[1:]] == 2)])]
+            count = np.diff(np.concatenate([np.searchsorted(on, head), [len(on)]]))
+            deal = np.where(kind[head] == 2, whole[head], anchor[head])
+            data, marks = s.tokens.astype("<u4").tobytes(), first.tobytes()
+            owner = s.owner[head]
+            for h, d, p, w, i, n, k in zip(signed(s.host[owner]), signed(deal), signed(s.paths[owner]), s.windows[head].tolist(), head.tolist(), count.tolist(), keys[page[head]].tolist()):
+                key = (h, d, p, data[4 * w : 4 * (w + n + least - 1)], marks[i : i + n])
+                old = rows.get(key)
+                rows[key] = (k, k, 1) if old is None else (min(k, old[0]), max(k, old[1]), old[2] + 1)
+            if len(rows) > 200_000:
+                yield from out()
+        yield from out()
+
+    return pages.mapInArrow(work, SEGMENTS)
+
+
+FOUND = "host long, path long, total long, distinct long, repeated long, window long, pages long"
+
+
+def repeats_of_hosts(rows: DataFrame, least: int, n_tasks: int) -> DataFrame:
+    """Suffix arrays over dealt segments: for each container the windows in all, the distinct ones that stand on several
+    pages and their places; for substrings on LEAST_PAGES pages or more the number of pages."""
+
+    def build(batches):
+        held: dict[tuple, list[int]] = {}
+        size, now, sums = 0, None, {}
+
+        def found():
+            """(path, window, pages) of frequent substrings; adds to the containers' sums."""
+            names = list(held)
+            tokens = [np.frombuffer(t, "<u4") for _, _, t, _ in names]
+            sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+            n = sizes - least + 1
+            stream = np.concatenate([x for i, t in enumerate(tokens) for x in (t.astype(np.int64), [(1 << 32) + i])])
+            begins = np.cumsum(sizes + 1) - (sizes + 1)
+            who = np.repeat(np.arange(len(names)), n)
+            place = begins[who] + np.arange(len(who)) - (np.cumsum(n) - n)[who]
+            order, rank = suffix_ranks(stream, least)
+            inside = np.zeros(len(stream), bool)
+            inside[place] = True
+            owner = np.zeros(len(stream), np.int64)
+            owner[place] = who
+            order = order[inside[order]]  # the suffix array's places that begin a window
+            flag = np.zeros(len(stream), bool)
+            flag[place] = np.frombuffer(b"".join(f for *_, f in names), bool)
+            r, w = rank[order], owner[order]
+            host, path = (np.array([x[i] for x in names], np.int64) for i in (0, 1))
+            numbers = np.array([held[x] for x in names], np.int64).reshape(-1, 3)
+            # neighbours with a common prefix of ``least`` tokens and one host are one substring
+            by = np.lexsort((path[w], host[w], r))
+            r, w, order = r[by], w[by], order[by]
+            new = np.concatenate([[True], (r[1:] != r[:-1]) | (host[w[1:]] != host[w[:-1]])])
+            head = np.flatnonzero(new)
+            many = np.minimum.reduceat(numbers[w, 0], head) < np.maximum.reduceat(numbers[w, 1], head)
+            pages = np.add.reduceat(numbers[w, 2] * flag[order], head)
+            group = np.cumsum(new) - 1
+            on = np.flatnonzero(many[group])
+            if not len(on):
+                return []
+            here = np.concatenate([[True], (group[on[1:]] != group[on[:-1]]) | (path[w[on[1:]]] != path[w[on[:-1]]])])
+            for i, n_places, d in zip(w[on].tolist(), numbers[w[on], 2].tolist(), here.tolist()):
+                own = sums.setdefault((int(host[i]), int(path[i])), [0, 0, 0])
+                own[1] += d
+                own[2] += n_places
+            often = np.flatnonzero(many & (pages >= LEAST_PAGES))
+            at = order[head[often]]
+            h = np.zeros(len(at), np.uint64)
+            for k in range(least):
+                h = mixed(h ^ stream[at + k].astype(np.uint64))
+            hosts = host[w[head[often]]]
+            return list(zip(hosts.tolist(), mixed(h ^ hosts.view(np.uint64)).view(np.int64).tolist(), pages[often].tolist()))
+
+        def batch_of(some):
+            columns = [(h, None, None, None, None, x, p) for h, x, p in some]
+            columns += [(h, p, *x, None, None) for (h, p), x in sums.items()]
+            sums.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*columns) if columns else ((),) * 7)], [f.split()[0] for f in FOUND.split(", ")])
+
         for batch in batches:
-            for host, key, t, s in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                if s == 1:
-                    out = [(host, 0, key, None, None, t)]
+            for h, d, p, t, f, least_page, most_page, n in zip(*(batch.column(i).to_pylist() for i in range(8))):
+                if d != now and size > COLLECTION:
+                    yield batch_of(found())
+                    held.clear()
+                    size = 0
+                now = d
+                if not t:
+                    sums.setdefault((h, p), [0, 0, 0])[0] += n
+                    continue
+                key = (h, p, t, f)
+                if key in held:
+                    x = held[key]
+                    x[0], x[1], x[2] = min(x[0], least_page), max(x[1], most_page), x[2] + n
                 else:
-                    out = [(host, k, key, at.tobytes(), n.tobytes(), own.tobytes()) for k, at, n, own in segments(np.frombuffer(t, np.uint32), least, s)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["host", "shard", "key", "at", "suffixes", "tokens"])
-
-    def array(table: pa.Table) -> pa.Table:
-        keys = np.array(table.column("key").to_pylist(), np.int64)
-        parts = [np.frombuffer(t, np.uint32) for t in table.column("tokens").to_pylist()]
-        ats = table.column("at").to_pylist()
-        if ats[0] is None:  # pages' streams, each with an end of its own
-            sizes = np.array([len(p) + 1 for p in parts])
-            starts = np.cumsum(sizes) - sizes
-            stream = np.concatenate([x for i, p in enumerate(parts) for x in (p.astype(np.int64), [(1 << 32) + i])])
-            page = np.repeat(keys, sizes)
-            place = np.arange(len(stream)) - np.repeat(starts, sizes)
-            order, rank = suffix_ranks(stream, least)
-            ok = place + least < np.repeat(sizes, sizes)
-        else:  # suffixes cut to what is compared
-            n = [np.frombuffer(x, "<u4").astype(np.int64) for x in table.column("suffixes").to_pylist()]
-            page, n = np.repeat(keys, [int(x.sum()) for x in n]), np.concatenate(n)
-            inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            place = np.repeat(np.concatenate([np.frombuffer(a, "<u4") for a in ats]).astype(np.int64), n) + inner
-            first = np.cumsum(n + least - 1) - (n + least - 1)
-            windows = np.lib.stride_tricks.sliding_window_view(np.concatenate(parts), least)[np.repeat(first, n) + inner]
-            order = np.lexsort(windows.T[::-1])
-            w = windows[order]
-            rank = np.empty(len(order), np.int64)
-            rank[order] = np.concatenate([[0], np.cumsum((w[1:] != w[:-1]).any(axis=1))])
-            ok = np.ones(len(order), bool)
-        hit = repeated_places(order, rank, page, ok)
-        own = page[hit]
-        by = np.argsort(own, kind="stable")
-        hit, own = place[hit[by]], own[by]
-        who, first = np.unique(own, return_index=True)
-        return pa.table({"key": pa.array(who, pa.int64()), "places": pa.array([x.tolist() for x in np.split(hit, first[1:])] if len(who) else [], pa.list_(pa.int64()))})
-
-    dealt = rows.mapInArrow(deal, "host string, shard int, key long, at binary, suffixes binary, tokens binary")
-    return dealt.groupBy("host", "shard").applyInArrow(array, "key long, places array<long>")
-
-
-def unique_runs(found: list, places, least: int) -> str:
-    """A page's blocks without dropped ones and without tokens that repeated substrings cover."""
-    words = [t.split() for _, t in found]
-    n = sum(map(len, words))
-    gone = np.zeros(n + 1, np.int64)
-    for p in places or ():
-        gone[p] += 1
-        gone[min(n, p + least)] -= 1
-    gone, at, out = np.cumsum(gone) > 0, 0, []
-    for (role, _), w in zip(found, words):
-        left = [x for i, x in enumerate(w) if not gone[at + i]]
-        at += len(w)
-        if role != DROP and left:
-            out.append(" ".join(left))
-    return "\n".join(out)
-
-
-def own_text(text: str, places: list[int], least: int) -> str:
-    """An article without tokens that repeated substrings cover; whole if they cover nearly all of it."""
-    found = [(ARTICLE, t) for t in text.split("\n")]
-    left = unique_runs(found, places, least)
-    n = len(text.split())
-    return text if n - len(left.split()) >= WHOLE * n else left
-
-
-def extract(pages: DataFrame, least: int = LEAST, shard: int = SHARD, page_id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
+                    held[key] = [least_page, most_page, n]
+                    size += len(t) // 4
+        if held:
+            yield batch_of(found())
+        yield batch_of([])
+
+    return rows.repartition(n_tasks, "deal").sortWithinPartitions("deal").mapInArrow(build, FOUND)
+
+
+def boilerplate(pages: DataFrame, least: int = LEAST, gram: int = GRAM) -> tuple[HashFiles, HashFiles]:
+    """Containers that are boilerplate, and substrings that are, together with their hosts; as hashes in files."""
+    spark, n = pages.sparkSession, partitions(pages.sparkSession)
+
+    def anchors(batches):
+        known = Hashes()
+        for batch in slices(batches, 1):
+            s = Streams([parse(h) for h in batch.column(1).to_pylist()], batch.column(0).to_pylist(), known, least)
+            if len(s.windows):
+                anchor, place = s.anchors(least, gram)
+                yield anchor[np.concatenate([[True], place[1:] != place[:-1]])]
+
+    folder = scratch(spark, "hosts")
+    files = repeated(pages, anchors, folder, n, HOT)
+    out = materialise(repeats_of_hosts(segments(pages, files, least, gram), least, n), "host_repeats")
+    paths = out.where("total is not null").groupBy("host", "path").agg(*(F.sum(c).alias(c) for c in ("total", "distinct", "repeated")))
+    named_ = paths.where((F.col("path") != 0) & (F.col("distinct") > 0) & (F.col("distinct") >= SHARE * (F.col("distinct") + F.col("total") - F.col("repeated")))).select(F.col("path").alias("hash"))
+    sizes = paths.where("path = 0").select("host", F.col("total").alias("all_pages"))
+    often = out.where("window is not null").join(sizes, "host").where(F.col("pages") >= SHARE * F.col("all_pages"))
+    often = often.select(F.col("window").alias("hash")).union(often.select(F.col("host").alias("hash"))).distinct()
+    return write_hashes(named_, folder, "containers", n), write_hashes(often, folder, "substrings", n)
+
+
+def extract(pages: DataFrame, least: int = LEAST, page_id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """(page_id, url, text), a row for each page."""
     bounded_batches(pages.sparkSession, 1000)
     host = F.lower(F.coalesce(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit("")))
-    rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(page).alias("html"), host.alias("host"), F.xxhash64(page_id, url, page).alias("key"))
-    stream = materialise(streams(rows), "streams")
-    places = covered(stream, least, shard)
-    hits = places.groupBy("key").agg(F.flatten(F.collect_list("places")).alias("places"))
-    known = stream.select("key", "outside", "blocks").dropDuplicates(["key"]).join(hits, "key", "left").where("blocks is not null or places is not null")
-
-    def keep(batches):
-        """The text of a page without an article; for one with an article, which repeated substrings begin in it."""
-        for batch in batches:
-            rows = list(zip(*(batch.column(i).to_pylist() for i in range(1, 4))))
-            texts = [None if b is None else unique_runs(json.loads(b), p, least) for _, b, p in rows]
-            inside = [None if b is not None else [x - o for x in p if x >= o] or None for o, b, p in rows]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(inside, pa.list_(pa.int64()))], ["key", "found", "inside"])
-
-    found = known.select("key", "outside", "blocks", "places").mapInArrow(keep, "key long, found string, inside array<long>")
-    found = materialise(found.where("found is not null or inside is not null"), "found")
+    rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(page).alias("html"), host.alias("host"))
+    containers, substrings = boilerplate(rows.select("host", "html", F.xxhash64("page_id", "url", "html").alias("key")), least)
 
     def work(batches):
+        known = Hashes()
         for batch in slices(batches, 2):
-            texts = [page_blocks(h)[0] for h in batch.column(2).fill_null("").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(texts, pa.string())], ["page_id", "url", "key", "text"])
-
-    def cut(batches):
-        for batch in slices(batches, 2):
-            texts = [f if f is not None else own_text(t, p, least) if t and p else t or "" for t, f, p in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)))]
+            found, hosts = [parse(h) for h in batch.column(2).to_pylist()], batch.column(3).to_pylist()
+            texts = [page_text(p) for p in found]
+            gone: dict[int, set[int]] = {}
+            own = [(i, r) for i, p in enumerate(found) for r in range(len(p.paths))]
+            named_ = np.fromiter((xxh64_intdigest(f"{hosts[i]}\0{found[i].paths[r]}") for i, r in own), np.uint64, len(own))
+            for k in np.flatnonzero(containers.find(named_)).tolist():
+                gone.setdefault(own[k][0], set()).add(own[k][1])
+            runs: dict[int, dict[int, np.ndarray]] = {}
+            some = np.flatnonzero(substrings.find(np.fromiter(map(xxh64_intdigest, hosts), np.uint64, len(hosts)))).tolist()
+            if some:  # pages of hosts with such substrings
+                s = Streams([found[i] for i in some], [hosts[i] for i in some], known, least)
+                hit = substrings.find(s.window_hashes(least)) > 0
+                for o in np.unique(s.owner[hit]).tolist():
+                    marks = np.zeros(s.sizes[o] + 1, np.int64)
+                    at = s.windows[hit & (s.owner == o)] - s.begins[o]
+                    marks[at] += 1
+                    np.subtract.at(marks, at + least, 1)
+                    runs.setdefault(some[s.page[o]], {})[s.region[o]] = np.cumsum(marks) > 0
+            for i in gone.keys() | runs.keys():
+                texts[i] = page_text(found[i], gone.get(i, frozenset()), runs.get(i), least)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
-    schema = rows.select("page_id", "url", "key", F.lit(None).cast("string").alias("text")).schema
-    texts = rows.select("page_id", "url", "html", "key").mapInArrow(work, schema)
-    if not found.take(1):  # nothing repeats, and every page marks its article
-        return texts.select("page_id", "url", F.coalesce("text", F.lit("")).alias("text"))
-    whole = texts.join(small(found), "key", "left").select("page_id", "url", "text", "found", "inside")
-    return whole.mapInArrow(cut, whole.select("page_id", "url", "text").schema)
+    return rows.mapInArrow(work, rows.select("page_id", "url", F.lit("").alias("text")).schema)
