@@ -4,10 +4,12 @@ Fixed masks over token positions ignore some of them, so a hash of the others su
 benchmark items' masked hashes are a sorted array (a block of items at a time, of a bounded size), joined with
 every document's masked hashes where the documents are read; nothing is shuffled. Each hit names a diagonal
 between a document and an item, along which the complete overlap is verified: some window of ``window`` words, or
-the item if it is shorter, must agree in at least ``similarity`` of its words.
+the item if it is shorter, must agree in at least ``similarity`` of its words. Where a document begins or ends within
+a window, ``least`` words or more must all agree. The masks hit every window of 8 to 16 words that agrees in 0.8.
 
 Words are [^\\x20\\x09-\\x0D]+ with A-Z lowered and punctuation stripped from their ends. Null and empty texts have
-no words. Items of fewer than ``least`` words are no evidence and are not searched for. Repeated rows of documents
+no words. Items of fewer than ``least`` words are found where all their words stand one after another; those of fewer
+than ``shortest`` are no evidence and are not searched for. Repeated rows of documents
 or items are answered each time; null ids are kept. An empty table on either side gives an empty result. Other
 columns are not read.
 """
@@ -49,17 +51,19 @@ def masked_hashes(ids: np.ndarray, mask: str) -> np.ndarray:
 class Items:
     """A block of items: word numbers (from 1; 0 is any other word) and a sorted table of masked hashes."""
 
-    def __init__(self, rows: list[tuple[int, bytes]], least: int):
+    def __init__(self, rows: list[tuple[int, bytes]], least: int, shortest: int):
+        self.least = least
         self.words: dict[bytes, int] = {}
         self.ids, self.tokens = [], []
         for item, text in rows:
             words = [w for w in map(plain, text.split()) if w]
-            if len(words) >= least:
+            if len(words) >= shortest:
                 self.ids.append(item)
                 self.tokens.append(np.array([self.words.setdefault(w, len(self.words) + 1) for w in words], np.int64))
-        self.tables = []
-        for mask in MASKS:
-            hashes = [masked_hashes(t, mask) for t in self.tokens]
+        self.masks, self.tables = [*MASKS, *("1" * n for n in sorted({len(t) for t in self.tokens if len(t) < least}))], []
+        for mask in self.masks:
+            fits = (lambda t: len(t) == len(mask)) if mask not in MASKS else lambda t: len(t) >= least
+            hashes = [masked_hashes(t, mask) if fits(t) else np.zeros(0, np.uint64) for t in self.tokens]
             h = np.concatenate([np.zeros(0, np.uint64), *hashes])
             item = np.repeat(np.arange(len(hashes)), [len(x) for x in hashes])
             place = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(x)) for x in hashes)]).astype(np.int64)
@@ -72,7 +76,7 @@ class Items:
     def hits(self, ids: np.ndarray):
         """(place, item, place in the item) of all hits in a run of word numbers."""
         places, items, at = [], [], []
-        for mask, (h, item, place, some) in zip(MASKS, self.tables):
+        for mask, (h, item, place, some) in zip(self.masks, self.tables):
             own = masked_hashes(ids, mask)
             maybe = np.flatnonzero(some[(own >> np.uint64(44)).astype(np.int64)])
             lo, hi = np.searchsorted(h, own[maybe], "left"), np.searchsorted(h, own[maybe], "right")
@@ -82,12 +86,16 @@ class Items:
         return np.concatenate(places), np.concatenate(items), np.concatenate(at)
 
 
-def verify(doc: np.ndarray, item: np.ndarray, shift: int, window: int, similarity: float) -> tuple[int, int, int, float] | None:
+def verify(doc: np.ndarray, item: np.ndarray, shift: int, window: int, similarity: float, least: int) -> tuple[int, int, int, float] | None:
     """Along a diagonal: the stretch covered by windows that agree enough (from, to, words that agree, best share)."""
     lo, hi = max(0, -shift), min(len(item), len(doc) - shift)
     size = min(window, len(item))
-    if hi - lo < size:
-        return None
+    if hi - lo < size:  # the document begins or ends here
+        if hi - lo < least:
+            return None
+        size, similarity = hi - lo, 1.0
+    if size < least:
+        similarity = 1.0
     same = (doc[lo + shift : hi + shift] == item[lo:hi]) & (item[lo:hi] > 0)
     sums = np.concatenate([[0], np.cumsum(same)])
     share = (sums[size:] - sums[:-size]) / size
@@ -113,7 +121,7 @@ def item_blocks(benchmark: DataFrame, item_id: str, text: str):
         yield rows
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 16, similarity: float = 0.8, least: int = 8, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 16, similarity: float = 0.8, least: int = 8, shortest: int = 3, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, item_id, from_word, to_word, n_same, similarity, *keep): a row for each document and item that overlap,
     with the best diagonal's stretch of words."""
     spark = docs.sparkSession
@@ -141,7 +149,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 16, similarity
         pair = np.unique(np.stack([doc, item, place - begins[doc] - at], axis=1), axis=0) if len(place) else np.zeros((0, 3), np.int64)
         best: dict[tuple[int, int], tuple] = {}
         for d, i, shift in pair.tolist():
-            v = verify(ids[begins[d] : begins[d + 1]], items.tokens[i], shift, window, similarity)
+            v = verify(ids[begins[d] : begins[d + 1]], items.tokens[i], shift, window, similarity, items.least)
             if v and (v[2], v[3]) > best.get((d, i), (0, 0, -1, 0))[2:]:
                 best[d, i] = v
         if best:
@@ -152,7 +160,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 16, similarity
 
     out = None
     for block in item_blocks(benchmark, item_id, item_text):
-        shared = spark.sparkContext.broadcast(Items(block, least))
+        shared = spark.sparkContext.broadcast(Items(block, least, shortest))
 
         def work(batches, shared=shared):
             items = shared.value
