@@ -3,7 +3,7 @@
 Each language has a codeword of bits. For each bit a binary multinomial classifier over hashed byte n-grams
 (2 to 4 bytes of the lower-cased letters, runs of anything else being one blank) tells the languages with the bit
 set from the others. Its log-odds come from n-gram counts of each language over all training texts, summed in
-Spark: only languages x features numbers go to the driver. Decoding takes the codeword of least loss, bits weighted
+Spark, where the log-odds are made too: only features x bits numbers go to the driver. Decoding takes the codeword of least loss, bits weighted
 by how well each separates the language in training; near ties are flagged as ambiguous.
 
 Null texts and texts without a letter are ``und`` with score 0, as is everything if nothing could be learned.
@@ -20,9 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, slices
+from .common import bounded_batches, materialise, slices
 
 ORDERS, FEATURES = (2, 3, 4), 1 << 16
+SMOOTH = 0.1  # added to each count
 OTHER = re.compile(r"[\W\d_]+")
 
 
@@ -95,19 +96,23 @@ def codewords(n: int) -> np.ndarray:
     return best
 
 
+def log_odds(share: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """(features, bits): how much a feature speaks for each bit; share: (languages, features)."""
+    out = np.empty((share.shape[1], code.shape[1]))
+    for b in range(code.shape[1]):
+        on = code[:, b] > 0
+        out[:, b] = np.log(share[on].mean(axis=0)) - np.log(share[~on].mean(axis=0))
+    return out
+
+
 class Classifiers:
-    def __init__(self, languages: list[str], counts: np.ndarray):
-        self.languages = languages
-        n = len(languages)
-        share = (counts + 0.1) / (counts + 0.1).sum(axis=1, keepdims=True) if n else counts
-        self.code = codewords(n)
-        bits = self.code.shape[1]
-        self.weights = np.zeros((FEATURES + 1, bits), np.float32)  # log-odds; the last row is for no feature
-        for b in range(bits):
-            on = self.code[:, b] > 0
-            self.weights[:FEATURES, b] = np.log(share[on].mean(axis=0)) - np.log(share[~on].mean(axis=0))
-        # how far, on average, a language's own n-grams speak for its bits
-        sure = np.maximum(self.code * (share @ self.weights[:FEATURES]), 1e-3) if bits else np.zeros((n, 0))
+    """weights: a row of log-odds for each feature, the last for no feature. speaks: of each language and bit, what its
+    own n-grams say on average."""
+
+    def __init__(self, languages: list[str], code: np.ndarray, weights: np.ndarray, speaks: np.ndarray):
+        self.languages, self.code, self.weights = languages, code, weights.astype(np.float32)
+        bits = code.shape[1]
+        sure = np.maximum(code * speaks, 1e-3) if bits else np.zeros((len(languages), 0))
         self.sure = sure / sure.sum(axis=1, keepdims=True) * bits if bits else sure
 
     def margins(self, texts: list[bytes]) -> np.ndarray:
@@ -130,14 +135,43 @@ class Classifiers:
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", most: int = 1000) -> Classifiers:
-    counts = count(docs, text, lang)
-    if docs.select(F.col(lang).alias("l")).where("l is not null").distinct().limit(most + 1).count() > most:
+    """The driver gets a total for each language, and a row of weights for each feature: at most FEATURES x bits numbers."""
+    counts = materialise(count(docs, text, lang), "features")
+    totals = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy("lang").limit(most + 1).collect()}
+    if len(totals) > most:
         raise ValueError(f"more than {most} languages")
-    rows = counts.toPandas()  # languages x features numbers
-    languages = sorted(rows.lang.unique())
-    table = np.zeros((len(languages), FEATURES))
-    table[np.searchsorted(languages, rows.lang.to_numpy(dtype=object)) if len(rows) else [], rows.feature.to_numpy(int)] = rows.n
-    return Classifiers(languages, table)
+    languages, code = sorted(totals), codewords(len(totals))
+    total = np.array([totals[x] + SMOOTH * FEATURES for x in languages])
+    unseen = (SMOOTH / total)[:, None] if languages else np.zeros((0, 1))
+    weights = np.zeros((FEATURES + 1, code.shape[1]))
+    speaks = np.zeros(code.shape)
+    if code.shape[1]:
+        numbers = {x: i for i, x in enumerate(languages)}
+
+        def work(batches):
+            speaks = np.zeros(code.shape)
+            for batch in batches:
+                rows = batch.column(1).to_pylist()  # of one feature: a number for each language that has it
+                share = np.repeat(unseen, len(rows), axis=1)
+                for k, row in enumerate(rows):
+                    for x in row:
+                        share[numbers[x["lang"]], k] += x["n"] / total[numbers[x["lang"]]]
+                found = log_odds(share, code)
+                speaks += share @ found
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in found], pa.binary())], ["feature", "weights"])
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([speaks.tobytes()], pa.binary())], ["feature", "weights"])
+
+        by_feature = counts.groupBy("feature").agg(F.array_sort(F.collect_list(F.struct("lang", "n"))).alias("rows"))
+        weights[:FEATURES] = log_odds(unseen, code)
+        seen = 0
+        for r in by_feature.mapInArrow(work, "feature int, weights binary").toLocalIterator():
+            if r.feature < 0:
+                speaks += np.frombuffer(r.weights).reshape(code.shape)
+            else:
+                weights[r.feature] = np.frombuffer(r.weights)
+                seen += 1
+        speaks += (FEATURES - seen) * (unseen @ log_odds(unseen, code))
+    return Classifiers(languages, code, weights, speaks)
 
 
 def predict(docs: DataFrame, model: Classifiers, text: str = "text", keep: tuple[str, ...] = ("doc_id",), margin: float = 0.2) -> DataFrame:
