@@ -47,16 +47,19 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
     return int(np.packbits(set_, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp): fp as a signed long with the fingerprint's bits."""
+def fingerprints(docs: DataFrame, shingle: int = 3, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp, *keep): fp as a signed long with the fingerprint's bits."""
+    others = [f"keep_{i}" for i in range(len(keep))]
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *(F.col(c).alias(k) for c, k in zip(keep, others)))
+    schema = rows.select("doc_id", F.lit(0).cast("long").alias("fp"), *others).schema
 
     def work(batches):
         for batch in slices(batches, 1):
             found = np.array([fingerprint(t, shingle) for t in text_bytes(batch.column(1))], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64)), *batch.columns[2:]], schema.names)
 
     bounded_batches(docs.sparkSession)
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(work, "doc_id long, fp long")
+    return rows.mapInArrow(work, schema).select("doc_id", "fp", *(F.col(k).alias(c) for k, c in zip(others, keep)))
 
 
 def probes(fps: DataFrame) -> DataFrame:
@@ -185,13 +188,14 @@ def links(fps: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
     return rows.select("seg", "key", "fp", "is_table", "chunk").mapInArrow(match, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, most_bits: int = MOST_BITS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id), a row for each document."""
-    each = materialise(fingerprints(docs, shingle, doc_id, text), "simhash")
+def near_duplicates(docs: DataFrame, shingle: int = 3, most_bits: int = MOST_BITS, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp, component_id, root, *keep), a row for each document. root, one of the component's fingerprints, names
+    the component even where no row of it has an id."""
+    each = materialise(fingerprints(docs, shingle, doc_id, text, keep), "simhash")
     classes = materialise(each.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     found = components(links(classes, most_bits))
     of = classes.join(found.select(F.col("node").alias("fp"), F.col("component").alias("root")), "fp", "left")
     linked = of.where("root is not null").groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = of.where("root is not null").join(linked, "root").select("fp", "component_id")
-    whole = linked.union(of.where("root is null").select("fp", F.col("least").alias("component_id")))
-    return each.join(whole, "fp").select("doc_id", "fp", "component_id")
+    linked = of.where("root is not null").join(linked, "root").select("fp", "component_id", "root")
+    whole = linked.union(of.where("root is null").select("fp", F.col("least").alias("component_id"), F.col("fp").alias("root")))
+    return each.join(whole, "fp").select("doc_id", "fp", "component_id", "root", *keep)
