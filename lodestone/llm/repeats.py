@@ -10,8 +10,14 @@ A column's runs with common prefixes of ``width`` or more hold its repeated wind
 in the same column, a round costs the number of segments, not the bytes built so far.
 
 Columns are read and written one after another; a collection beyond ``IN_MEMORY`` bytes lies in a column-major
-file in the shared folder. Equal segments are one row with a weight. Repeated anchors are sorted hash files there,
-memory-mapped by the tasks that filter segments.
+file in the shared folder, where that is mounted. A segment that comes twice repeats whole, so its spans are given out
+at once and only one copy of it, with a weight, joins a collection. Anchors that occur more than ``HOT`` times have
+their windows dealt one by one, by their own bytes, so that no task gets all that surrounds a frequent passage: what
+a task holds is bounded by ``COLLECTION`` and ``HOT`` segments, whatever the corpus. Repeated anchors are sorted hash
+files in the shared folder, memory-mapped by the tasks that filter segments.
+
+This departs from building one transform over whole documents: its rounds would number as many as the longest
+document has bytes, each over all documents. Aligned segments make it about ``2 * width`` rounds over the repeated parts alone.
 
 Null and empty texts have no bytes and nothing removed. Rows repeated with the same id and text are documents of
 their own, repeat each other, and get the same answer. Null ids are kept. An empty table gives an empty result.
@@ -24,22 +30,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
-from .common import bounded_batches, mixed, partitions, read_array, release, scratch, slices, text_bytes, write_file
+from .common import bounded_batches, mixed, partitions, powers, release, scratch, slices, text_bytes
+from .hash_files import repeated
 
 WIDTH, GRAM = 200, 48
 PIECE = 2 << 20  # of at most 2**24 bytes, as anchors are found by place in a piece
 COLLECTION, IN_MEMORY = 12 << 20, 96 << 20
-P = np.uint64(0x9E3779B97F4A7C15)
-_POWERS: list[np.ndarray] = []
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS[0]) < n:
-        with np.errstate(over="ignore"):
-            inverse = np.uint64(pow(int(P), -1, 1 << 64))
-            _POWERS[:] = [np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, x)])) for x in (P, inverse)]
-    return _POWERS[0], _POWERS[1]
+HOT = 50_000  # occurrences of an anchor beyond which its windows are dealt one by one
 
 
 def segments(texts: list[bytes], width: int = WIDTH, gram: int = GRAM):
@@ -87,87 +86,6 @@ def segments(texts: list[bytes], width: int = WIDTH, gram: int = GRAM):
         yield flush()
 
 
-def bucket_of(hashes: np.ndarray, n: int) -> np.ndarray:
-    """By size of the hash, so that a bucket's file is a stretch of the sorted whole."""
-    return (((hashes >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
-
-
-def repeated_anchors(docs: DataFrame, folder: str, buckets: int, width: int, gram: int) -> None:
-    """Writes the sorted hashes of anchors that occur twice or more, a file for each bucket."""
-
-    def found(batches):
-        once, more, size = [], [], 0
-
-        def out():
-            h, n = np.unique(np.concatenate(once), return_counts=True)
-            twice = n > 1
-            if more:
-                twice |= np.isin(h, np.concatenate(more))
-            cuts = np.searchsorted(bucket_of(h, buckets), np.arange(buckets + 1))
-            rows = [(b, h[i:j].tobytes(), np.packbits(twice[i:j]).tobytes()) for b, (i, j) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if j > i]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], ["bucket", "hashes", "twice"])
-
-        for batch in slices(batches, 0, PIECE):
-            for *_, anchor in segments(text_bytes(batch.column(0)), width, gram):
-                h, n = np.unique(anchor, return_counts=True)
-                once.append(h), more.append(h[n > 1])
-                size += len(h)
-            if size > 4_000_000:
-                yield out()
-                once, more, size = [], [], 0
-        if size:
-            yield out()
-
-    def merge(batches):
-        now, parts = None, []
-
-        def done():
-            h = np.concatenate([x for x, _ in parts])
-            twice = np.unique(np.concatenate([x[t] for x, t in parts]))
-            h, n = np.unique(h, return_counts=True)
-            keep = np.union1d(h[n > 1], twice)
-            write_file(f"{folder}/anchors-{now}", [keep.tobytes()])
-            return pa.RecordBatch.from_pydict({"bucket": pa.array([now], pa.int32()), "n": pa.array([len(keep)], pa.int64())})
-
-        for batch in batches:
-            for b, h, t in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if b != now and parts:
-                    yield done()
-                    parts = []
-                now, h = b, np.frombuffer(h, np.uint64)
-                parts.append((h, np.unpackbits(np.frombuffer(t, np.uint8), count=len(h)).astype(bool)))
-        if parts:
-            yield done()
-
-    rows = docs.select("text").mapInArrow(found, "bucket int, hashes binary, twice binary")
-    rows.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(merge, "bucket int, n long").agg(F.sum("n")).collect()
-
-
-class Anchors:
-    """Looks hashes up in the bucket files; buckets without a file have no repeated anchor."""
-
-    def __init__(self, folder: str, buckets: int):
-        self.folder, self.buckets, self.files = folder, buckets, {}
-
-    def file(self, b: int) -> np.ndarray:
-        if b not in self.files:
-            try:
-                self.files[b] = read_array(f"{self.folder}/anchors-{b}", np.uint64)
-            except FileNotFoundError:
-                self.files[b] = np.zeros(0, np.uint64)
-        return self.files[b]
-
-    def has(self, hashes: np.ndarray) -> np.ndarray:
-        order = np.argsort(hashes)
-        h, out = hashes[order], np.zeros(len(hashes), bool)
-        cuts = np.searchsorted(bucket_of(h, self.buckets), np.arange(self.buckets + 1))
-        for b, (i, j) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
-            if j > i and len(known := self.file(b)):
-                k = np.minimum(np.searchsorted(known, h[i:j]), len(known) - 1)
-                out[order[i:j]] = known[k] == h[i:j]
-        return out
-
-
 class Columns:
     """A collection's aligned segments, column by column; a large one is a file in the shared folder."""
 
@@ -243,19 +161,30 @@ def spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     spark = docs.sparkSession
     bounded_batches(spark)
     folder, parts = scratch(spark, "repeats"), partitions(spark)
-    repeated_anchors(docs, folder, parts, width, gram)
+
+    def found(batches):
+        for batch in slices(batches, 0, PIECE):
+            for *_, anchor in segments(text_bytes(batch.column(0)), width, gram):
+                yield anchor
+
+    files = repeated(docs.select("text"), found, folder, parts, HOT)
     anchor_at, n_columns = width - gram, 2 * width - gram
 
     def candidates(batches):
-        anchors = Anchors(folder, parts)
         for batch in slices(batches, 1, PIECE):
             ids, keys = batch.column(0).fill_null(0).to_numpy(), batch.column(2).to_numpy()
             for data, doc, at, start, count, left, anchor in segments(text_bytes(batch.column(1)), width, gram):
                 rows: dict[tuple, list] = {}
-                on = np.flatnonzero(anchors.has(anchor))
+                kind = files.find(anchor)  # 0: never elsewhere, 1: repeated, 2: very often
+                on = np.flatnonzero(kind == 1)
                 raw = data.tobytes()
                 for d, a, s, n, b, h in zip(*(x[on].tolist() for x in (doc, at, start, count, left, anchor.view(np.int64)))):
                     rows.setdefault((h, b, raw[a : a + n + width - 1]), []).append((d, s))
+                if (often := np.flatnonzero(kind == 2)).size:  # windows of very frequent anchors stand alone, dealt by their own bytes
+                    for d, a, s, n, b in zip(*(x[often].tolist() for x in (doc, at, start, count, left))):
+                        for j in range(n):
+                            window = raw[a + j : a + j + width]
+                            rows.setdefault((xxh64_intdigest(window) - (1 << 63), b - j, window), []).append((d, s + j))
                 keep = list(rows.items())
                 for i in range(0, len(keep), 20_000):
                     part = keep[i : i + 20_000]
@@ -275,51 +204,60 @@ def spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     def build(batches):
         release()
         strings: dict[tuple, int] = {}
-        where: list[list[tuple[bytes, bytes, bytes]]] = []
-        size, now = 0, None
+        weight: list[int] = []
+        alone: list[tuple | None] = []  # (id, key, start) of a segment that has come once; the others' spans are out already
+        size, now, spans_ = 0, None, []
+
+        def add(where, begin, length):
+            """The span of each of a row's documents."""
+            ids, keys, starts = (np.frombuffer(x, np.int64) for x in where)
+            spans_.append((ids, keys, starts + begin, starts + begin + length))
+
+        def rows_of():
+            columns = [pa.array(np.concatenate(c)) for c in zip(*spans_)]
+            spans_.clear()
+            return pa.RecordBatch.from_arrays(columns, ["doc_id", "k", "s", "e"])
 
         def done():
             names = list(strings)
             lefts = np.array([b for _, b, _ in names], np.int64)
-            weight = np.array([sum(len(x) for x, _, _ in w) // 8 for w in where])
             first = anchor_at - lefts
             count = np.array([len(s) for *_, s in names]) - width + 1
             columns = Columns([s for *_, s in names], lefts, anchor_at, n_columns, folder)
-            hit = repeated_windows(columns, first, count, weight, width)
+            hit = repeated_windows(columns, first, count, np.array(weight), width)
             columns.close()
-            edge = np.diff(np.pad(hit.T.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+            on = np.array([i for i, x in enumerate(alone) if x], np.int64)
+            edge = np.diff(np.pad(hit[:, on].T.astype(np.int8), ((0, 0), (1, 1))), axis=1)
             seg, begin = np.nonzero(edge == 1)
             end = np.nonzero(edge == -1)[1]
-            ids, keys, lo, hi, n = [], [], [], [], 0
-            for i, b, e in zip(seg.tolist(), (begin - first[seg]).tolist(), (end - first[seg]).tolist()):
-                for x, k, s in where[i]:
-                    s = np.frombuffer(s, np.int64)
-                    ids.append(np.frombuffer(x, np.int64)), keys.append(np.frombuffer(k, np.int64))
-                    lo.append(s + b), hi.append(s + e + width - 1)
-                    n += len(s)
-                if n > 50_000:
-                    yield rows_of(ids, keys, lo, hi)
-                    ids, keys, lo, hi, n = [], [], [], [], 0
-            if n:
-                yield rows_of(ids, keys, lo, hi)
-
-        def rows_of(*columns):
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], ["doc_id", "k", "s", "e"])
+            for i, b, e in zip(on[seg].tolist(), begin.tolist(), end.tolist()):
+                add(alone[i], b - int(first[i]), e - b + width - 1)
 
         for batch in batches:
             for h, b, s, i, k, at in zip(*(batch.column(j).to_pylist() for j in range(6))):
                 if h != now and size > COLLECTION:
-                    yield from done()
-                    strings, where, size = {}, [], 0
+                    done()
+                    strings, weight, alone, size = {}, [], [], 0
                 now = h
-                n = strings.setdefault((h, b, s), len(where))
-                if n == len(where):
-                    where.append([])
+                n = strings.setdefault((h, b, s), len(weight))
+                if n == len(weight):
+                    weight.append(0), alone.append(None)
                     size += len(s)
-                where[n].append((i, k, at))
-                size += len(i) * 3
-        if where:
-            yield from done()
+                times = len(i) // 8
+                if weight[n] + times > 1:  # the whole segment repeats
+                    for x in (alone[n], (i, k, at)):
+                        if x:
+                            add(x, 0, len(s))
+                    alone[n] = None
+                else:
+                    alone[n] = (i, k, at)
+                weight[n] += times
+            if spans_:
+                yield rows_of()
+        if weight:
+            done()
+        if spans_:
+            yield rows_of()
 
     rows = docs.select("doc_id", "text", "k").mapInArrow(candidates, "anchor long, left int, segment binary, ids binary, keys binary, starts binary")
     return rows.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(build, "doc_id long, k long, s long, e long")
@@ -332,33 +270,36 @@ def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *others:
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, kept, n_bytes, removed, *keep): the bytes left of each document, and the removed runs [(from, to), ...]."""
+    """(doc_id, kept, kept_text, n_bytes, removed, *keep): the bytes left of each document, as text without the characters
+    of which a cut took a part (null texts stay null), and the removed runs [(from, to), ...]."""
     own = keyed(docs, doc_id, text, *(F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)))
-    found = spans(own, width, gram).groupBy("doc_id", "k").agg(F.collect_list(F.struct("s", "e")).alias("found"))
+    found = spans(own, width, gram).groupBy("doc_id", "k").agg(F.collect_set(F.struct("s", "e")).alias("found"))
     found = found.select(F.col("doc_id").alias("found_id"), F.col("k").alias("found_k"), "found")
     joined = own.join(found, (F.coalesce("doc_id", F.lit(0)) == F.col("found_id")) & (F.col("k") == F.col("found_k")), "left")
     others = [f"keep_{i}" for i in range(len(keep))]
     joined = joined.select("doc_id", "text", "found.s", "found.e", *others)
-    schema = joined.select("doc_id", F.lit(b"").alias("kept"), F.lit(0).cast("long").alias("n_bytes"), F.array(F.struct(F.lit(0).cast("long").alias("s"), F.lit(0).cast("long").alias("e"))).alias("removed"), *others).schema
+    schema = joined.select("doc_id", F.lit(b"").alias("kept"), F.col("text").alias("kept_text"), F.lit(0).cast("long").alias("n_bytes"), F.array(F.struct(F.lit(0).cast("long").alias("s"), F.lit(0).cast("long").alias("e"))).alias("removed"), *others).schema
 
     def cut(batches):
         pair = pa.struct([("s", pa.int64()), ("e", pa.int64())])
         for batch in batches:
-            kept, sizes, removed = [], [], []
+            kept, texts, sizes, removed = [], [], [], []
             for t, s, e in zip(text_bytes(batch.column(1)), batch.column(2), batch.column(3)):
                 runs = merged(s.values.to_numpy(), e.values.to_numpy()) if s.is_valid else []
                 at, parts = 0, []
                 for b, f in runs:
                     parts.append(t[at:b])
                     at = f
-                kept.append(b"".join([*parts, t[at:]]) if runs else t)
+                parts.append(t[at:])
+                kept.append(b"".join(parts) if runs else t)
+                texts.append("".join(p.decode("utf-8", "ignore") for p in parts))  # part by part: no two halves make a character
                 sizes.append(len(t))
                 removed.append([{"s": b, "e": f} for b, f in runs])
-            arrays = [batch.column(0), pa.array(kept, pa.binary()), pa.array(sizes, pa.int64()), pa.array(removed, pa.list_(pair)), *batch.columns[4:]]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "kept", "n_bytes", "removed", *others])
+            arrays = [batch.column(0), pa.array(kept, pa.binary()), pa.array(texts, pa.string(), mask=batch.column(1).is_null().to_numpy(zero_copy_only=False)), pa.array(sizes, pa.int64()), pa.array(removed, pa.list_(pair)), *batch.columns[4:]]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "kept", "kept_text", "n_bytes", "removed", *others])
 
     out = joined.mapInArrow(cut, schema)
-    return out.select("doc_id", "kept", "n_bytes", "removed", *(F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)))
+    return out.select("doc_id", "kept", "kept_text", "n_bytes", "removed", *(F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)))
 
 
 def merged(s: np.ndarray, e: np.ndarray) -> list[tuple[int, int]]:
