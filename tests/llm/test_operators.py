@@ -8,11 +8,12 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from lodestone.llm import decontaminate, html_text, kneser_ney, language, packing, quality, records, repeats, simhash, token_counts
+from lodestone.llm import decontaminate, kneser_ney, language, packing, quality, records, repeats, simhash, token_counts
 from lodestone.llm.components import components
 from lodestone.llm.encode import default_path, encoder
 
@@ -78,6 +79,29 @@ def test_token_histogram(spark, docs, rows):
     assert token_counts.suffix_sums(token_counts.histogram(empty(spark))).collect() == []
 
 
+def test_encoding_forgets(monkeypatch):
+    from lodestone.llm.encode import Encoder
+
+    rng, some = random.Random(7), Encoder(default_path(), 50)
+    for _ in range(30):
+        part = [" ".join("".join(rng.choice("abcÉß.,!") for _ in range(rng.randint(1, 6))) for _ in range(30)) for _ in range(5)] + [None, "the The THE, the."]
+        flat, counts = some.encode(pa.array(part))
+        want = [whole_ids(t) for t in part]
+        assert counts.tolist() == list(map(len, want)) and flat.tolist() == [i for x in want for i in x]
+        assert some.encode(pa.array(part).slice(2, 3), with_ids=False)[1].tolist() == list(map(len, want[2:5]))
+    assert len(some.known.number) < 400
+
+
+def test_runs_that_share_a_hash(monkeypatch):
+    from lodestone.llm import encode
+
+    data = np.frombuffer(b"ab cd ab\nef", np.uint8)
+    monkeypatch.setattr(encode, "mixed", lambda x: x % np.uint64(2))
+    begins, ends, run, firsts = encode.runs_of(data, np.array([0, 4, 11]))
+    assert [data[i:j].tobytes() for i, j in zip(begins, ends)] == [b"ab", b"c", b"d", b"ab", b"ef"]
+    assert run.tolist() == [0, 1, 2, 0, 3] and firsts.tolist() == [0, 1, 2, 4]
+
+
 def test_checksum_of_records():
     data = np.frombuffer(b"123456789" + bytes(32) + b"ab" + bytes(range(256)) * 5, np.uint8)
     found = records.crc32c(data, np.array([0, 9, 41, 43, 0]), np.array([9, 32, 0, 1280, 2]))
@@ -101,13 +125,12 @@ def test_checksum_of_records():
 def test_records_round_trip(spark, docs, rows):
     manifest = records.write_records(docs)
     got = sorted(records.read_records(manifest).collect(), key=lambda r: r.start)
-    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
-    assert [r.doc_id for r in got] == [i for i, _ in want]
+    assert [r.doc_id for r in got] == [i for i, _ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))]
+    assert Counter((r.doc_id, bytes(r.ids)) for r in got) == Counter((i, np.array([*whole_ids(t), 2], "<u4").tobytes()) for i, t in rows)
     at = 0
-    for r, (_, t) in zip(got, want):
-        ids = [*whole_ids(t), 2]
-        assert (r.start, r.n_tokens, bytes(r.ids)) == (at, len(ids), np.array(ids, "<u4").tobytes())
-        at += len(ids)
+    for r in got:
+        assert (r.start, r.n_tokens) == (at, len(r.ids) // 4)
+        at += r.n_tokens
     mixed = records.read_records(manifest, shuffle_seed=5)
     assert plain(mixed.select("doc_id", "start", "ids").collect()) == plain((r.doc_id, r.start, r.ids) for r in got)
     assert records.read_records(records.write_records(empty(spark))).collect() == []
@@ -368,7 +391,6 @@ def test_quality_rules():
     clean = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(120))
     verdict = lambda t: [n for n, fails in quality.RULES.items() if fails(quality.document(t.encode()))]
     assert verdict(clean) == []
-    assert "insults" in verdict(clean + " you idiot, Stupid!")
     assert "symbols" in verdict(clean.replace(" ", " | ", 30))
     assert "shouting" in verdict(clean.upper())
     assert "letters" in verdict(clean + " 12 34" * 60)
@@ -415,7 +437,7 @@ def test_decontamination(spark):
     d = spark.createDataFrame([(i, t, 1) for i, t in docs], "doc_id long, text string, item_id long")
     b = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)] + [(9, None), (None, "")], "item_id long, text string")
     got = decontaminate.overlaps(d, b).collect()
-    assert Counter((r.doc_id, r.item_id) for r in got) == Counter([(0, 0), (1, 0), (3, 1), (4, 2), (7, 0), (None, 1)])
+    assert Counter((r.doc_id, r.item_id) for r in got) == Counter([(0, 0), (1, 0), (3, 1), (4, 2), (5, 3), (6, 0), (7, 0), (None, 1)])
     first = next(r for r in got if r.doc_id == 0)
     assert (first.from_word, first.to_word, first.n_same, first.similarity) == (40, 70, 30, 1.0)
     assert decontaminate.overlaps(d, b.limit(0)).collect() == [] == decontaminate.overlaps(d.limit(0), b).collect()
@@ -427,50 +449,3 @@ def test_decontamination_in_blocks(spark, monkeypatch):
     table = spark.createDataFrame(items, "item_id long, text string")
     got = decontaminate.overlaps(table.withColumnRenamed("item_id", "doc_id"), table).collect()
     assert Counter((r.doc_id, r.item_id) for r in got) == Counter((i, i) for i in range(5))
-
-
-PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var a="</p><article>no";</script></head><body class="page">
-<header class=top>Site</header><nav><ul><li><a href="/">Home</a></ul></nav><div class="ad">Buy</div>
-<article class="post"><header><h1>A &amp; B</h1></header><p>One <b>two<br>three <!-- hidden --> &eacute;&nbsp;x<p>Four <span class="ads">buy</span> five &lt;i&gt; &am
-<aside>Side</aside><form><p>Mail<input></form><div class="comments"><article>Reader says</article></div><ul><li>L1<li>L2</ul></article>
-<footer>&copy; F</footer></body></html>"""
-
-
-def test_html_article():
-    assert html_text.page_blocks(PAGE)[0] == "A & B\nOne two three é x\nFour five <i> &am\nL1\nL2"
-    assert html_text.page_blocks("<div class='widget'><main><p>a</main></div>")[0] == "a"
-    assert html_text.page_blocks(None)[0] == "" == html_text.page_blocks("  ")[0]
-    assert html_text.page_blocks("just <b>text")[0] is None
-
-
-@pytest.mark.parametrize("shard", [10**6, 5])
-def test_html_boilerplate_of_a_host(spark, shard):
-    shared = "these eight words stand on all our pages"
-    page = lambda i, own: f"<body><div>{shared}</div><p>{own}</p><div class='sidebar'>links</div></body>"
-    rows = [(i, f"http://h.org/{i}", page(i, f"story {i} " + "abcdefgh"[i])) for i in range(6)]
-    rows += [(7, "http://other.org/", page(7, "alone")), (8, None, None), (9, "http://h.org/9", PAGE), (0, "http://h.org/0", rows[0][2]), (None, "x", "")]
-    d = spark.createDataFrame(rows, "page_id long, url string, html string")
-    got = Counter((r.page_id, r.text) for r in html_text.extract(d, shard=shard).collect())
-    want = Counter()
-    for i, u, h in rows:
-        if h and u.startswith("http://h.org") and i != 9:
-            own = f"story {i} " + "abcdefgh"[i]
-            # "story" follows the shared words on every page, so it is part of a repeated run
-            want[i, own.removeprefix("story ")] += 1
-        else:
-            want[i, {7: shared + "\nalone", 9: html_text.page_blocks(PAGE)[0]}.get(i, "")] += 1
-    assert got == want
-    assert html_text.extract(d.limit(0)).collect() == []
-
-
-@pytest.mark.parametrize("shard", [1_000_000, 40])
-def test_html_boilerplate_inside_articles(spark, shard):
-    notice = "all rights to this piece stay with the paper"
-    rng = random.Random(3)
-    own = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(30)) for _ in range(6)]
-    page = lambda *ps: "<nav>a b c d e f g</nav><article>" + "".join(f"<p>{p}</p>" for p in ps) + "</article><footer>b c d e f g h</footer>"
-    twice, changed = page("same", own[4]), page("same", own[4].rsplit(" ", 1)[0] + " other")
-    pages = [page("same", own[0], notice), page("same", own[1], notice, "end"), page("same", own[2]), f"<div class=ad>{notice}</div>" + page(own[3]), twice, changed]
-    rows = [(i, f"http://{'elsewhere' if i == 6 else 'h'}/{i}", h) for i, h in enumerate([*pages, page(own[5], notice)])]
-    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), shard=shard).collect()}
-    assert got == {0: f"same\n{own[0]}", 1: f"same\n{own[1]}\nend", 2: f"same\n{own[2]}", 3: own[3], 4: html_text.page_blocks(twice)[0], 5: html_text.page_blocks(changed)[0], 6: f"{own[5]}\n{notice}"}
