@@ -1,7 +1,7 @@
 """From documents to packed sequences, in five stages.
 
 Each stage works on all that its predecessor kept and is written as Parquet before the next one reads it. All but
-the last return the columns of documents. Rows without an id can't be named in a group of near-duplicates and stay.
+the last return the columns of documents.
 """
 
 from __future__ import annotations
@@ -18,32 +18,53 @@ MOST_IDS = 1_000_000
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; those without a letter, and near ties, go."""
+    """Documents whose language can be told; null texts, those without a letter, and near ties, go. Repeated rows go or
+    stay together; null ids stay. If no row has a language nothing can be told, and all go. An empty table gives an empty one."""
     found = language.predict(docs, language.fit(docs), keep=COLUMNS).where("lang_pred <> 'und' and not ambiguous")
     return found.select(*COLUMNS)
 
 
+def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows whose id and text_key are not in ``gone``."""
+    few = gone.limit(MOST_IDS + 1).count() <= MOST_IDS
+    gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key"))
+    alike = F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("text_key") == F.col("gone_key"))
+    return rows.join(F.broadcast(gone) if few else gone, alike, "left_anti")
+
+
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of SimHash near-duplicates the document with the least id."""
-    keep = simhash.near_duplicates(docs.where("doc_id is not null"), shingle=3).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.select(*COLUMNS).where("doc_id is not null").join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.select(*COLUMNS).where("doc_id is null")).select(*COLUMNS)
+    """Of each group of SimHash near-duplicates one document: the one with the least id (rows without an id come last),
+    of these the one with the least fingerprint and hash of the text. Rows alike in id and text are one document.
+    An empty table gives an empty one."""
+    keyed = docs.select(*COLUMNS, F.xxhash64("text").alias("text_key"))
+    found = simhash.near_duplicates(keyed, shingle=3, keep=("text_key",))
+    each = materialise(found.groupBy("root", "doc_id", "fp", "text_key").agg(F.count(F.lit(1)).alias("n")), "documents_of_groups")
+    name = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "fp", "text_key")
+    first = each.groupBy("root").agg(F.min(name).alias("first"))
+    gone = materialise(each.join(first, "root").where(~name.eqNullSafe(F.col("first"))).select("doc_id", "text_key"), "gone")
+    left = without(keyed, gone)
+    again = materialise(each.where("n > 1").select("doc_id", "text_key"), "again")
+    if again.take(1):
+        same = F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("text_key") == F.col("gone_key"))
+        copies = left.join(again.select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")), same, "left_semi").dropDuplicates(["doc_id", "text_key"])
+        left = without(left, again).unionByName(copies)
+    return left.select(*COLUMNS)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the strings of 200 bytes that repeat. What a cut leaves of a character goes with the cut."""
+    """Texts without the strings of 200 bytes that repeat; every document stays, if empty. What a cut leaves of a
+    character goes with the cut. Null texts stay null with no length; rows alike in id and text repeat each other.
+    An empty table gives an empty one."""
     found = repeats.remove_repeats(docs, keep=("lang", "source"))
-    text = F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "\uFFFD", "")
-    text = F.when(F.is_valid_utf8(F.col("kept").cast("string")), F.col("kept").cast("string")).otherwise(text)
-    return found.select("doc_id", text.alias("text"), "lang", "source").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    return found.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
 
 
 def not_in_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share no passage with a benchmark item."""
-    keyed = docs.select(*COLUMNS, F.xxhash64("doc_id", "text").alias("key"))
-    hits = materialise(decontaminate.overlaps(keyed, table(spark, sf_dir, "benchmark"), keep=("key",)).select("key").distinct(), "hits")
-    small = hits.limit(MOST_IDS + 1).count() <= MOST_IDS
-    return keyed.join(F.broadcast(hits) if small else hits, "key", "left_anti").select(*COLUMNS)
+    """Documents that share no passage with a benchmark item. Null and empty texts share none; repeated rows go or
+    stay together; rows with one id and different texts are told apart. An empty table on either side drops nothing."""
+    keyed = docs.select(*COLUMNS, F.xxhash64("text").alias("text_key"))
+    hits = materialise(decontaminate.overlaps(keyed, table(spark, sf_dir, "benchmark"), keep=("text_key",)).select("doc_id", "text_key").distinct(), "hits")
+    return without(keyed, hits).select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
