@@ -94,6 +94,16 @@ def view_file(files: DataFrame, most: int = 1000, shown: int = 100) -> DataFrame
     return files.select("path", F.when(F.size(all_) > most, F.slice(all_, 1, shown)).otherwise(all_).alias("lines"), (F.size(all_) > most).alias("truncated"))
 
 
+def replace_in_files(files: DataFrame, old: str, new: str, occurrence: int = 0) -> DataFrame:
+    """(path, content, replaced, total, error): the text with one occurrence replaced, from 1, or all with 0. A text without
+    it, or with fewer, stays as it is and has an error."""
+    content = F.col("content")
+    total = text.occurrences(content, old)
+    error = F.when(total == 0, "the text is not there").when(total < occurrence, F.concat(F.lit(f"occurrence {occurrence} of "), total.cast("string")))
+    made = F.coalesce(text.replace_nth(content, old, new, occurrence), content)
+    return files.select("path", made.alias("content"), F.when(error.isNotNull(), 0).when(F.lit(occurrence) == 0, total).otherwise(1).cast("long").alias("replaced"), total.alias("total"), error.alias("error"))
+
+
 def word_regex(keyword: str) -> str:
     """A whole word, whatever its case."""
     return rf"(?iuU)\b\Q{keyword}\E\b"

@@ -77,6 +77,23 @@ def pattern_symbols(source: str):
                 break
 
 
+def language_of(path: str, content: str | None) -> str | None:
+    """As paths.language, of one file; None if it is unknown."""
+    name = path.rsplit("/", 1)[-1]
+    suffix = "." + name.rsplit(".", 1)[1].lower() if "." in name.lstrip(".") else ""
+    first = (content or "").split("\n", 1)[0].lower()
+    by_line = next((l for word, l in paths.SHEBANGS if first.startswith("#!") and word in first), None)
+    return next((l for l, suffixes in paths.LANGUAGES.items() if suffix and suffix in suffixes.split()), by_line)
+
+
+def found_in(content: str | None, language: str) -> list:
+    """The definitions of one file; of Python that can't be parsed, what its lines show."""
+    try:
+        return list((python_symbols if language == "python" else pattern_symbols)(content or ""))
+    except (SyntaxError, ValueError, RecursionError):
+        return list(spans.python_by_lines(content))
+
+
 def symbols(files: DataFrame, fallback: bool = False, source: bool = False) -> DataFrame:
     """A row for each definition; a file that can't be parsed gives one row with the error. With ``fallback``, Python that
     can't be parsed gives what its lines show, each with the error; with ``source``, a column of the definition's lines."""

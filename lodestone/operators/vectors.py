@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -74,13 +75,29 @@ def hashed_embedding(texts: list[str], dimensions: int = DIMENSIONS) -> np.ndarr
     return np.divide(out, norm, out=out, where=norm > 0)
 
 
-def embed(chunks: DataFrame, provider: Callable[[list[str]], np.ndarray] = hashed_embedding, text: str = "content", batch: int = BATCH) -> DataFrame:
-    """(id, embedding): batches of texts go to the provider; retries are Spark's task retries."""
+def embed(chunks: DataFrame, provider: Callable[[list[str]], np.ndarray] = hashed_embedding, text: str = "content", batch: int = BATCH, retries: int = 3, pause: float = 0.1, usage: bool = False) -> DataFrame:
+    """(id, embedding): batches of texts go to the provider, a call that fails up to ``retries`` times more with growing
+    pauses, then the task's retries. With ``usage`` a column tokens, which sums to what the provider was given."""
+
+    def asked(texts: list[str]) -> list:
+        for n in range(retries + 1):
+            try:
+                found = list(provider(texts))
+                break
+            except Exception:
+                if n == retries:
+                    raise
+                time.sleep(pause * 2**n)
+        if len(found) != len(texts):
+            raise ValueError(f"{len(texts)} texts, {len(found)} vectors")
+        return found
 
     def work(batches: Iterator[pd.DataFrame]):
         for b in batches:
             for i in range(0, len(b), batch):
                 part = b.iloc[i : i + batch]
-                yield pd.DataFrame({"id": part.id, "embedding": list(provider(part[text].fillna("").tolist()))})
+                texts = part[text].fillna("").tolist()
+                out = pd.DataFrame({"id": part.id, "embedding": asked(texts)})
+                yield out.assign(tokens=[len(t) // 4 for t in texts]) if usage else out
 
-    return chunks.select("id", text).mapInPandas(work, "id string, embedding array<float>")
+    return chunks.select("id", text).mapInPandas(work, "id string, embedding array<float>" + (", tokens long" if usage else ""))

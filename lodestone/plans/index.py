@@ -14,7 +14,7 @@ from ..sources import store
 def build(files: DataFrame, path: str, pattern: str | list[str] | None = None, force: bool = False, provider: Callable = vectors.hashed_embedding) -> dict:
     """Chunks, embeds and saves a corpus; an index that is there and not empty stays unless forced.
 
-    Returns built (False if it stayed) and the index's statistics. No chunks, and vectors that don't answer to the chunks
+    Returns built (False if it stayed), the tokens that the provider was given, and the index's statistics. No chunks, and vectors that don't answer to the chunks
     one by one, are errors."""
     spark = files.sparkSession
     if not force and store.exists(spark, path) and spark.read.parquet(path).take(1):
@@ -26,14 +26,16 @@ def build(files: DataFrame, path: str, pattern: str | list[str] | None = None, f
         n = rows.count()
         if not n:
             raise ValueError("no chunks: check the pattern and the corpus")
-        made = vectors.embed(rows.dropDuplicates(["id"]), provider, "embedded")
+        made = store.staged(vectors.embed(rows.dropDuplicates(["id"]), provider, "embedded", usage=True), f"{path.rstrip('/')}.vectors")
+        tokens = made.agg(F.sum("tokens")).first()[0]
         made = made.select("id", vectors.normalise(F.col("embedding")).cast("array<float>").alias("embedding"))
         store.save_index(rows.drop("embedded").join(made, "id"), path)
     finally:
         store.unstage(spark, path)
+        store.unstage(spark, f"{path.rstrip('/')}.vectors")
     if spark.read.parquet(path).count() != n:
         raise RuntimeError("chunks and vectors differ in number")
-    return {"built": True} | stats(spark, path)
+    return {"built": True, "tokens": tokens} | stats(spark, path)
 
 
 def stats(spark: SparkSession, path: str) -> dict:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .operators import chunks, graph, rank, search, symbols, vectors
 
@@ -25,6 +26,28 @@ def register(name: str, run: Callable[..., DataFrame], about: str, *required: st
     OPERATORS[name] = Operator(run, about, required)
 
 
+def register_sql(spark: SparkSession) -> None:
+    """The table functions symbols_of(path, content) and chunks_of(path, content), for SQL with LATERAL."""
+
+    class SymbolsOf:
+        def eval(self, path: str, content: str):
+            language = symbols.language_of(path, content)
+            for name, kind, start, end, parent, *_ in symbols.found_in(content, language) if language else ():
+                yield name, kind, start, end, parent
+
+    class ChunksOf:
+        def eval(self, path: str, content: str):
+            if content and content.strip():
+                for r in chunks._code_rows(path, content, symbols.language_of(path, content) or "unknown", chunks.MOST_TOKENS):
+                    yield r[1], r[2], r[3], r[4], r[-1]
+
+    for function, name, schema in (
+        (SymbolsOf, "symbols_of", "name string, type string, start_line int, end_line int, parent_name string"),
+        (ChunksOf, "chunks_of", "start_line int, end_line int, chunk_type string, name string, content string"),
+    ):
+        spark.udtf.register(name, F.udtf(function, returnType=schema))
+
+
 def call(name: str, table: DataFrame, **arguments) -> DataFrame:
     if name not in OPERATORS:
         raise KeyError(f"no operator {name!r}; there are {', '.join(sorted(OPERATORS))}")
@@ -46,6 +69,7 @@ register("view_range", search.view_range, "a range of lines, cut to the file", "
 register("too_large", search.too_large, "files that searches leave out for their size")
 register("workspace_info", search.workspace_info, "what a corpus holds")
 register("test_frameworks", search.test_frameworks, "test frameworks that a corpus shows")
+register("replace_in_files", search.replace_in_files, "a text replaced in files", "old", "new")
 register("keyword_occurrences", search.keyword_occurrences, "whole words by line", "keywords")
 register("symbols", symbols.symbols, "definitions")
 register("previews", rank.previews, "lines around the best matches", "text")

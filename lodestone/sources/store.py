@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import paths
+
 INDEX = "id string, path string, start_line int, end_line int, chunk_type string, name string, language string, content string, embedding array<float>"
 
 
@@ -57,9 +59,11 @@ def load_graph(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 
 def save_versions(files: DataFrame, path: str) -> DataFrame:
-    """Writes files (path, content) as a new version each; returns what was written: (path, n_lines, n_bytes)."""
-    files.select("path", "content", F.current_timestamp().alias("written")).write.mode("append").parquet(path)
-    return files.select("path", F.size(F.split("content", "\n", -1)).alias("n_lines"), F.octet_length("content").alias("n_bytes"))
+    """Writes files (path, content) that the policy shows as a new version each; returns (path, n_lines, n_bytes, error),
+    with an error for those that were not written."""
+    files.where(paths.allowed(F.col("path"))).select("path", "content", F.current_timestamp().alias("written")).write.mode("append").parquet(path)
+    error = F.when(~paths.allowed(F.col("path")), "the policy doesn't show this file")
+    return files.select("path", F.size(F.split("content", "\n", -1)).alias("n_lines"), F.octet_length("content").alias("n_bytes"), error.alias("error"))
 
 
 def write_report(report: DataFrame, diagram: DataFrame, path: str) -> None:
