@@ -40,8 +40,10 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     found = simhash.near_duplicates(keyed, shingle=3, keep=("text_key",))
     each = materialise(found.groupBy("root", "doc_id", "fp", "text_key").agg(F.count(F.lit(1)).alias("n")), "documents_of_groups")
     name = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "fp", "text_key")
-    first = each.groupBy("root").agg(F.min(name).alias("first"))
-    gone = materialise(each.join(first, "root").where(~name.eqNullSafe(F.col("first"))).select("doc_id", "text_key"), "gone")
+    kept = each.groupBy("root").agg(F.min(name).alias("f")).select(F.col("root").alias("of"), *(F.col(f"f.{c}").alias(f"kept_{c}") for c in ("doc_id", "fp", "text_key")))
+    # joined by all that names a document, so that a large group is dealt like any other rows
+    same = (F.col("root") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("kept_doc_id")) & (F.col("fp") == F.col("kept_fp")) & (F.col("text_key") == F.col("kept_text_key"))
+    gone = materialise(each.join(kept, same, "left_anti").select("doc_id", "text_key"), "gone")
     left = without(keyed, gone)
     again = materialise(each.where("n > 1").select("doc_id", "text_key"), "again")
     if again.take(1):
