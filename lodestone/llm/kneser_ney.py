@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import Words, bounded_batches, materialise, mixed, numbered, partitions, read_array, scratch, slices, text_bytes, write_file
+from .common import Words, bounded_batches, materialise, mixed, numbered, partitions, planes, read_array, scratch, settle, slices, text_bytes, unplanes, write_file
 
 START, UNKNOWN = 0xFFFFFFFF, 0xFFFFFFFE
 END = b" "  # no word has a blank
@@ -50,16 +50,6 @@ def by_range(values: np.ndarray, n: int) -> np.ndarray:
     return (((values >> HALF) * np.uint64(n)) >> HALF).astype(np.int64)
 
 
-def planes(x: np.ndarray) -> bytes:
-    """Bytes of one significance together: sorted or small numbers then compress well."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
-
-
-def unplanes(b: bytes, dtype) -> np.ndarray:
-    k = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(k, -1).T).reshape(-1).view(dtype)
-
-
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(keys):
         return keys, counts.astype(np.int64)
@@ -69,6 +59,15 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[head], np.add.reduceat(counts.astype(np.int64), head)
 
 
+def by_bucket(bucket: np.ndarray):
+    """(bucket, which elements are in it) for each bucket that has any."""
+    order = np.argsort(bucket, kind="stable")
+    own = bucket[order]
+    heads = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else own
+    for i, j in zip(heads.tolist(), [*heads[1:].tolist(), len(own)]):
+        yield int(own[i]), order[i:j]
+
+
 def blocks(buckets: np.ndarray, n: int, keys: np.ndarray, counts: np.ndarray):
     """A row (bucket, keys, counts) for each bucket; keys rise within it."""
     order = np.argsort(buckets, kind="stable")
@@ -76,15 +75,23 @@ def blocks(buckets: np.ndarray, n: int, keys: np.ndarray, counts: np.ndarray):
     rows = []
     for b, (i, j) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
         if j > i:
-            rows.append((b, planes(np.diff(keys[order[i:j]], prepend=np.uint64(0))), planes(counts[order[i:j]].astype("<u4"))))
+            own = counts[order[i:j]]
+            rows.append((b, planes(np.diff(keys[order[i:j]], prepend=np.uint64(0))), planes(own.astype(np.min_scalar_type(int(own.max()))))))
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ((),) * 3, (pa.int32(), pa.binary(), pa.binary()))], ["bucket", "keys", "counts"])
 
 
 BLOCK = "bucket int, keys binary, counts binary"
 
 
+def dealt(rows: DataFrame, n: int) -> DataFrame:
+    """Blocks by bucket, with an empty one for each bucket: every bucket then writes its files, and a missing file is an error."""
+    every = rows.sparkSession.range(n).selectExpr("cast(id as int) bucket", "X'' keys", "X'' counts")
+    return rows.unionByName(every, allowMissingColumns=True).repartition(n, "bucket").sortWithinPartitions("bucket")
+
+
 def grouped(batches, done):
-    """Calls done(bucket, keys, counts) with each bucket's sums; rows come sorted by bucket."""
+    """Calls done(bucket, keys, counts) with each bucket's sums; rows come sorted by bucket. Counts are as wide as their
+    block needs."""
     now, keys, counts = None, [], []
     for batch in batches:
         for b, k, c in zip(*(batch.column(i).to_pylist() for i in range(3))):
@@ -92,7 +99,7 @@ def grouped(batches, done):
                 yield from done(now, *summed(np.concatenate(keys), np.concatenate(counts)))
                 keys, counts = [], []
             now = b
-            keys.append(np.cumsum(unplanes(k, np.uint64), dtype=np.uint64)), counts.append(unplanes(c, "<u4"))
+            keys.append(np.cumsum(unplanes(k, np.uint64), dtype=np.uint64)), counts.append(unplanes(c, f"<u{len(c) * 8 // max(1, len(k)) or 1}").astype(np.int64))
     if keys:
         yield from done(now, *summed(np.concatenate(keys), np.concatenate(counts)))
 
@@ -108,12 +115,9 @@ def discounts(n: np.ndarray) -> np.ndarray:
 
 
 @lru_cache(maxsize=512)
-def mapped(path: str, dtype: str) -> np.ndarray | None:
-    """A model's file; None if its bucket got nothing."""
-    try:
-        return read_array(path, CONTEXT if dtype == "context" else np.dtype(dtype))
-    except FileNotFoundError:
-        return None
+def mapped(path: str, dtype: str) -> np.ndarray:
+    """A model's file. Every bucket has one, if empty."""
+    return read_array(path, CONTEXT if dtype == "context" else np.dtype(dtype))
 
 
 class Model:
@@ -133,7 +137,7 @@ class Model:
         self.hot_pair_stats = np.zeros(0, CONTEXT)
         self.top_discounts = self.discounts
 
-    def file(self, name: str, b: int, dtype: str) -> np.ndarray | None:
+    def file(self, name: str, b: int, dtype: str) -> np.ndarray:
         return mapped(f"{self.folder}/{name}-{b}", dtype)
 
     def low(self, b: int) -> int:
@@ -145,16 +149,14 @@ class Model:
 
     def ranks(self, hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Words' ranks (UNKNOWN if never seen) and counts."""
-        order = np.argsort(hashed)
-        h, rank, count = hashed[order], np.full(len(hashed), UNKNOWN, np.int64), np.zeros(len(hashed), np.int64)
-        cuts = np.searchsorted(by_range(h, self.buckets), np.arange(self.buckets + 1))
-        for b, (i, j) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
-            if j > i and self.sizes[b]:
+        rank, count = np.full(len(hashed), UNKNOWN, np.int64), np.zeros(len(hashed), np.int64)
+        for b, on in by_bucket(by_range(hashed, self.buckets)):
+            if self.sizes[b]:
                 known = self.file("words", b, "<u8")
-                k = np.minimum(np.searchsorted(known, h[i:j]), len(known) - 1)
-                ok = known[k] == h[i:j]
-                rank[order[i:j][ok]] = self.offsets[b] + k[ok]
-                count[order[i:j][ok]] = self.file("counts", b, "<u8")[k[ok]]
+                k = np.minimum(np.searchsorted(known, hashed[on]), len(known) - 1)
+                ok = known[k] == hashed[on]
+                rank[on[ok]] = self.offsets[b] + k[ok]
+                count[on[ok]] = self.file("counts", b, "<u8")[k[ok]]
         return rank, count
 
     def pair_bucket(self, keys: np.ndarray) -> np.ndarray:
@@ -168,23 +170,18 @@ class Model:
     def by_rank(self, name: str, ranks: np.ndarray, dtype: str) -> np.ndarray:
         """Rows of dense files for known ranks."""
         out = np.zeros(len(ranks), CONTEXT if dtype == "context" else np.dtype(dtype))
-        bucket = self.rank_bucket(ranks)
-        for b in np.unique(bucket).tolist():
-            on = np.flatnonzero(bucket == b)
-            if (rows := self.file(name, b, dtype)) is not None:
-                out[on] = rows[ranks[on] - self.low(b)]
+        for b, on in by_bucket(self.rank_bucket(ranks)):
+            out[on] = self.file(name, b, dtype)[ranks[on] - self.low(b)]
         return out
 
     def found(self, name: str, keys: np.ndarray, bucket: np.ndarray) -> np.ndarray:
         """Places of keys in their buckets' sorted files; -1 if never seen."""
         out = np.full(len(keys), -1, np.int64)
-        order = np.argsort(bucket, kind="stable")
-        cuts = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
-        for b, (i, j) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
-            if j > i and (known := self.file(name, b, "<u8")) is not None:
-                k = np.minimum(np.searchsorted(known, keys[order[i:j]]), len(known) - 1)
-                ok = known[k] == keys[order[i:j]]
-                out[order[i:j][ok]] = k[ok]
+        for b, on in by_bucket(bucket):
+            if len(known := self.file(name, b, "<u8")):
+                k = np.minimum(np.searchsorted(known, keys[on]), len(known) - 1)
+                ok = known[k] == keys[on]
+                out[on[ok]] = k[ok]
         return out
 
     def pairs(self, keys: np.ndarray) -> np.ndarray:
@@ -196,9 +193,7 @@ class Model:
     def of_pairs(self, name: str, places: np.ndarray, dtype: str) -> np.ndarray:
         """What a file beside the bigrams' has for known ones; small counts if it has no type."""
         out = np.zeros(len(places), dtype or np.int64)
-        bucket = np.searchsorted(self.pair_offsets, places, side="right") - 1
-        for b in np.unique(bucket).tolist():
-            on = np.flatnonzero(bucket == b)
+        for b, on in by_bucket(np.searchsorted(self.pair_offsets, places, side="right") - 1):
             at = places[on] - self.pair_offsets[b]
             out[on] = self.file(name, b, dtype)[at] if dtype else self.small(name, b, at)
         return out
@@ -216,10 +211,20 @@ class Model:
         write_file(f"{self.folder}/{name}_large_at-{b}", [large.astype("<u8").tobytes()])
         write_file(f"{self.folder}/{name}_large-{b}", [counts[large].astype("<u8").tobytes()])
 
+    def context_weights(self, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What discounts leave to the lower order behind each context, and how much follows it; 0 behind unknown ones."""
+        stats = np.zeros(len(contexts), CONTEXT)
+        k = np.minimum(np.searchsorted(self.hot, contexts), len(self.hot) - 1)
+        hot = self.hot[k] == contexts
+        stats[hot] = self.hot_stats[k[hot]]
+        plain = ~hot & (contexts != START) & (contexts != UNKNOWN)
+        stats[plain] = self.by_rank(self.contexts, contexts[plain], "context")
+        return stats["n"].astype(float) @ self.discounts, stats["total"].astype(float)
+
     def pair_counts(self, places: np.ndarray) -> np.ndarray:
         """Bigrams' counts, at order 3 of the words before them; 0 at -1."""
         out, on = np.zeros(len(places), np.int64), np.flatnonzero(places >= 0)
-        out[on] = self.of_pairs("pair_counts", places[on], "<u4") if self.order == 2 else self.of_pairs("pair_befores", places[on], "")
+        out[on] = self.of_pairs("pair_counts" if self.order == 2 else "pair_befores", places[on], "")
         return out
 
     def triple_bucket(self, keys: np.ndarray) -> np.ndarray:
@@ -234,22 +239,21 @@ class Model:
         """Counts of distinct trigram keys."""
         bucket, out = self.triple_bucket(keys), np.zeros(len(keys), np.int64)
         at = self.found("triples", keys, bucket)
-        for b in np.unique(bucket[at >= 0]).tolist():
-            on = np.flatnonzero((bucket == b) & (at >= 0))
-            out[on] = self.small("triple_counts", b, at[on])
+        known = np.flatnonzero(at >= 0)
+        for b, on in by_bucket(bucket[known]):
+            out[known[on]] = self.small("triple_counts", b, at[known[on]])
         return out
 
     def pair_stats(self, places: np.ndarray) -> np.ndarray:
         """What follows distinct known bigrams. After one that occurs once a single word does, so it is in no file."""
         out = np.zeros(len(places), CONTEXT)
-        out["total"] = self.of_pairs("pair_counts", places, "<u4")
+        out["total"] = self.of_pairs("pair_counts", places, "")
         out["n"][:, 0] = 1
         hot = np.isin(places, self.hot_pairs)
         out[hot] = self.hot_pair_stats[np.searchsorted(self.hot_pairs, places[hot])]
-        bucket = np.searchsorted(self.pair_offsets, places, side="right") - 1
-        many = (out["total"] > 1) & ~hot
-        for b in np.unique(bucket[many]).tolist():
-            on = np.flatnonzero(many & (bucket == b))
+        many = np.flatnonzero((out["total"] > 1) & ~hot)
+        for b, on in by_bucket(np.searchsorted(self.pair_offsets, places[many], side="right") - 1):
+            on = many[on]
             k = np.searchsorted(self.file("followed", b, "<u4"), places[on] - self.pair_offsets[b])
             out["n"][on] = self.file("followers", b, "<u4").reshape(-1, 3)[k]
         return out
@@ -301,8 +305,10 @@ def train(docs: DataFrame, text: str = "text", order: int = 2) -> Model:
 
         yield from grouped(batches, done)
 
-    rows = docs.mapInArrow(words_of, BLOCK).repartition(nb, "bucket").sortWithinPartitions("bucket")
+    rows = dealt(docs.mapInArrow(words_of, BLOCK), nb)
     found = {r.bucket: r for r in rows.mapInArrow(write_words, "bucket int, n long, total long, often array<long>, times array<long>").collect()}
+    del rows
+    settle(spark)
     model = Model(folder, nb, [found[b].n if b in found else 0 for b in range(nb)], sum(r.total for r in found.values()))
     if model.words > UNKNOWN - 1:
         raise ValueError("too many distinct words for 32-bit ranks")
@@ -333,13 +339,14 @@ def train(docs: DataFrame, text: str = "text", order: int = 2) -> Model:
     def write_pairs(batches):
         def done(b, keys, counts):
             write_file(f"{folder}/pairs-{b}", [keys.astype("<u8").tobytes()])
-            write_file(f"{folder}/pair_counts-{b}", [np.minimum(counts, 0xFFFFFFFF).astype("<u4").tobytes()])
+            model.write_small("pair_counts", b, counts)
             of_counts = [int((counts == i).sum()) for i in (1, 2, 3, 4)]
             who, stats = stats_of((keys >> HALF).astype(np.int64), counts)
             hot = (who == START) | np.isin(who, model.hot)
-            dense = np.zeros(model.low(b + 1) - model.low(b), CONTEXT)
-            dense[who[~hot] - model.low(b)] = stats[~hot]
-            write_file(f"{folder}/contexts-{b}", [dense.tobytes()])
+            if order == 2:
+                dense = np.zeros(model.low(b + 1) - model.low(b), CONTEXT)
+                dense[who[~hot] - model.low(b)] = stats[~hot]
+                write_file(f"{folder}/contexts-{b}", [dense.tobytes()])
             word, times = np.unique(keys & np.uint64(0xFFFFFFFF), return_counts=True)
             cont = blocks(model.rank_bucket(word), nb, word, times)
             nothing = [None] * cont.num_rows
@@ -351,7 +358,7 @@ def train(docs: DataFrame, text: str = "text", order: int = 2) -> Model:
         names = ["bucket", "keys", "counts", "of_counts", "context", "stats"]
         yield from grouped(batches, done)
 
-    rows = docs.mapInArrow(pairs_of, BLOCK).repartition(nb, "bucket").sortWithinPartitions("bucket")
+    rows = dealt(docs.mapInArrow(pairs_of, BLOCK), nb)
     out = materialise(rows.mapInArrow(write_pairs, f"{BLOCK}, of_counts array<long>, context long, stats array<long>"), "pairs")
     n = out.where("of_counts is not null").agg(*(F.sum(F.col("of_counts")[i]) for i in range(4))).first()
     model.discounts = discounts(np.array([x or 0 for x in n]))
@@ -369,17 +376,19 @@ def train(docs: DataFrame, text: str = "text", order: int = 2) -> Model:
     def write_continuations(batches):
         def done(b, keys, counts):
             dense = np.zeros(model.low(b + 1) - model.low(b), "<u4")
-            dense[keys.astype(np.int64) - model.low(b)] = np.minimum(counts, 0xFFFFFFFF)
+            dense[keys.astype(np.int64) - model.low(b)] = counts  # contexts are words, of which there are fewer than 2**32
             write_file(f"{folder}/continuations-{b}", [dense.tobytes()])
             n = [b, int(counts.sum()), *(int((counts == i).sum()) for i in (1, 2, 3, 4)), int((counts > 2).sum())]
             yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in n], ["b", "total", "n1", "n2", "n3", "n4", "more"])
 
         yield from grouped(batches, done)
 
-    rows = out.where("keys is not null").select("bucket", "keys", "counts").repartition(nb, "bucket").sortWithinPartitions("bucket")
+    rows = dealt(out.where("keys is not null").select("bucket", "keys", "counts"), nb)
     low = rows.mapInArrow(write_continuations, "b long, total long, n1 long, n2 long, n3 long, n4 long, more long").collect()  # a row for each bucket
     n = [sum(r[i] for r in low) for i in range(1, 7)]
     model.low_discounts, model.low_total = discounts(np.array(n[1:5])), n[0]
+    del rows, out
+    settle(spark)
     model.low_gamma = float(model.low_discounts @ np.array([n[1], n[2], n[5]]))
     if order == 3:
         train_triples(docs, model, often)
@@ -454,10 +463,8 @@ def train_triples(docs: DataFrame, model: Model, often: np.ndarray) -> None:
     def write_befores(batches):
         def done(b, keys, counts):
             pairs = model.file("pairs", b, "<u8")
-            if pairs is None:
-                return
             context = (pairs >> HALF).astype(np.int64)
-            n = np.where(context == START, model.file("pair_counts", b, "<u4"), 0).astype(np.int64)
+            n = np.where(context == START, model.small("pair_counts", b, np.arange(len(pairs))), 0)
             n[np.searchsorted(pairs, keys)] = counts
             model.write_small("pair_befores", b, n)
             who, stats = stats_of(context, n)
@@ -478,10 +485,9 @@ def train_triples(docs: DataFrame, model: Model, often: np.ndarray) -> None:
         yield from grouped(rest(), done)
         yield from sums
 
-    rows = docs.mapInArrow(triples_of, BLOCK).repartition(nb, "bucket").sortWithinPartitions("bucket")
+    rows = dealt(docs.mapInArrow(triples_of, BLOCK), nb)
     found = rows.mapInArrow(write_triples, f"{BLOCK}, {LEVELS}")
-    every = docs.sparkSession.range(nb).selectExpr("cast(id as int) bucket", "X'' keys", "X'' counts", "cast(null as int) level", "cast(null as array<long>) of_counts", "cast(null as long) context", "cast(null as array<long>) stats")  # a bucket may hold starts alone
-    rows = found.union(every).repartition(nb, "bucket").sortWithinPartitions("bucket")
+    rows = dealt(found, nb)
     out = materialise(rows.mapInArrow(write_befores, LEVELS), "levels")
     n = {r.level: [r[i] for i in range(1, 5)] for r in out.where("of_counts is not null").groupBy("level").agg(*(F.sum(F.col("of_counts")[i]) for i in range(4))).collect()}
     hot = out.where("context is not null").groupBy("level", "context").agg(*(F.sum(F.col("stats")[i]).alias(f"s{i}") for i in range(4))).orderBy("level", "context").collect()
@@ -519,41 +525,35 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
             low = (np.maximum(cc - low_d[np.minimum(cc, 3)], 0) + model.low_gamma / (V + 1)) / total if model.low_total else np.full(len(cc), 1 / (V + 1))
             base = np.log10((count + 0.5) / (N + 0.5 * (V + 1)))
             starts = np.cumsum(sizes) - sizes
-            w = rank[ids]
-            before = np.concatenate([[START], w[:-1]])
-            before[starts] = START
+            none = len(rank)  # the local number of what stands before a text
+            before = np.concatenate([[none], ids[:-1]])
+            before[starts] = none
+            contexts = np.concatenate([rank, [START]])
             p = low[ids]
-            seen = before != UNKNOWN
-            if model.tokens and seen.any():
-                contexts, of = np.unique(before[seen], return_inverse=True)
-                stats = np.zeros(len(contexts), CONTEXT)
-                k = np.minimum(np.searchsorted(model.hot, contexts), len(model.hot) - 1)
-                hot = model.hot[k] == contexts
-                stats[hot] = model.hot_stats[k[hot]]
-                plain = ~hot & (contexts != START)
-                stats[plain] = model.by_rank(model.contexts, contexts[plain], "context")
-                gamma = stats["n"].astype(float) @ model.discounts
-                tot = stats["total"].astype(float)
-                key, where = np.unique((before[seen].astype(np.uint64) << HALF) | w[seen].astype(np.uint64), return_inverse=True)
-                ok = (key & np.uint64(0xFFFFFFFF)) != UNKNOWN
-                place = np.full(len(key), -1, np.int64)
-                place[ok] = model.pairs(key[ok])
+            if model.tokens:
+                gamma, total = (x[before] for x in model.context_weights(contexts))
+                # each distinct pair of neighbours is looked up once, by local numbers
+                key, where = np.unique(before * (none + 1) + ids, return_inverse=True)
+                first, then = contexts[key // (none + 1)], rank[key % (none + 1)]
+                place, ok = np.full(len(key), -1, np.int64), np.flatnonzero((first != UNKNOWN) & (then != UNKNOWN))
+                place[ok] = model.pairs((first[ok].astype(np.uint64) << HALF) | then[ok].astype(np.uint64))
                 c = model.pair_counts(place)[where]
-                t, g = tot[of], gamma[of]
-                has = t > 0
-                t = np.where(has, t, 1)
-                p[seen] = np.where(has, (np.maximum(c - D[np.minimum(c, 3)], 0) + g * p[seen]) / t, p[seen])
+                has = total > 0
+                p = np.where(has, (np.maximum(c - D[np.minimum(c, 3)], 0) + gamma * p) / np.where(has, total, 1), p)
                 if model.order == 3:
-                    two = np.full(len(w) + 1, -1, np.int64)  # the place of the two words before each
-                    two[1:][seen] = place[where]
-                    two[starts] = -1
-                    seen = np.flatnonzero(two[:-1] >= 0)
-                    contexts, of = np.unique(two[seen], return_inverse=True)
-                    stats = model.pair_stats(contexts)
-                    key, where = np.unique((two[seen].astype(np.uint64) << HALF) | w[seen].astype(np.uint64), return_inverse=True)
-                    c = model.triples(key)[where]
-                    g = (stats["n"].astype(float) @ model.top_discounts)[of]
-                    p[seen] = (np.maximum(c - top[np.minimum(c, 3)], 0) + g * p[seen]) / stats["total"].astype(float)[of]
+                    two = np.concatenate([[0], where[:-1]])  # the pair of the two words before each
+                    seen = place[two] >= 0
+                    seen[starts] = False
+                    seen = np.flatnonzero(seen)
+                    two = two[seen]
+                    some = np.zeros(len(key), bool)
+                    some[two] = True
+                    stats, some = np.zeros(len(key), CONTEXT), np.flatnonzero(some)
+                    stats[some] = model.pair_stats(place[some])
+                    triple, of = np.unique((place[two].astype(np.uint64) << HALF) | rank[ids[seen]].astype(np.uint64), return_inverse=True)
+                    c = model.triples(triple)[of]
+                    g = (stats["n"].astype(float) @ model.top_discounts)[two]
+                    p[seen] = (np.maximum(c - top[np.minimum(c, 3)], 0) + g * p[seen]) / stats["total"].astype(float)[two]
             arrays = [pa.array(sizes), pa.array(np.add.reduceat((count[ids] > 0).astype(np.int64), starts)), pa.array(np.full(len(sizes), N, np.int64)), pa.array(np.add.reduceat(base[ids], starts)), pa.array(np.add.reduceat(np.log10(p), starts))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays, *batch.columns[2:]], schema.names)
 
