@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from .common import KEPT, Words, mixed, numbered, powers
+from .common import KEPT, Words, mixed, numbered, powers, release
 
 #: Closing marks that are one piece together, and the pieces of a pattern that takes letters and marks apart.
 MARKS, LETTERS, REST = b".,!?;:|%$#&*", r"[\p{L}]+|", r"[^\s\p{L}\p{N}]+"
@@ -232,10 +232,11 @@ def drops_blanks(tokenizer) -> bool:
 
 
 def encoder(path: str, limit: int = 600_000) -> Encoder:
-    """One for each worker process; later tasks of the process go on with what it remembers."""
+    """One for each worker process; later tasks of the process go on with what it remembers, the first gives back what
+    tasks of other kinds left."""
     key = (path, limit)
     if key not in _BY_PATH:
-        _BY_PATH.clear()
+        release()
         _BY_PATH[key] = Encoder(path, limit)
     return _BY_PATH[key]
 
