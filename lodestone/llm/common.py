@@ -30,6 +30,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete a materialised table that no later step reads."""
+    for folder in {os.path.dirname(f) for f in df.inputFiles()}:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def settle(spark: SparkSession) -> None:
     """Let the driver drop what no step needs any more: the shuffle files of steps whose results are written."""
     gc.collect()

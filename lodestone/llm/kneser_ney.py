@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import Words, bounded_batches, materialise, mixed, numbered, partitions, planes, read_array, scratch, settle, slices, text_bytes, unplanes, write_file
+from .common import Words, bounded_batches, discard, materialise, mixed, numbered, partitions, planes, read_array, scratch, settle, slices, text_bytes, unplanes, write_file
 
 START, UNKNOWN = 0xFFFFFFFF, 0xFFFFFFFE
 END = b" "  # no word has a blank
@@ -387,6 +387,7 @@ def train(docs: DataFrame, text: str = "text", order: int = 2) -> Model:
     low = rows.mapInArrow(write_continuations, "b long, total long, n1 long, n2 long, n3 long, n4 long, more long").collect()  # a row for each bucket
     n = [sum(r[i] for r in low) for i in range(1, 7)]
     model.low_discounts, model.low_total = discounts(np.array(n[1:5])), n[0]
+    discard(out)
     del rows, out
     settle(spark)
     model.low_gamma = float(model.low_discounts @ np.array([n[1], n[2], n[5]]))
@@ -434,7 +435,7 @@ def train_triples(docs: DataFrame, model: Model, often: np.ndarray) -> None:
             inner = np.flatnonzero(inner)
             held.append((model.pairs(keys).astype(np.uint64)[where[inner - 1]] << HALF) | w[inner])
             n += len(inner)
-            if n > 3_000_000:
+            if n > 5_000_000:
                 yield triple_blocks(held)
                 held, n = [], 0
         if n:
@@ -491,6 +492,7 @@ def train_triples(docs: DataFrame, model: Model, often: np.ndarray) -> None:
     out = materialise(rows.mapInArrow(write_befores, LEVELS), "levels")
     n = {r.level: [r[i] for i in range(1, 5)] for r in out.where("of_counts is not null").groupBy("level").agg(*(F.sum(F.col("of_counts")[i]) for i in range(4))).collect()}
     hot = out.where("context is not null").groupBy("level", "context").agg(*(F.sum(F.col("stats")[i]).alias(f"s{i}") for i in range(4))).orderBy("level", "context").collect()
+    discard(out)
     ids, stats = {}, {}
     for level in (2, 3):
         own = [r for r in hot if r.level == level]
