@@ -381,3 +381,12 @@ def mixed_ids(batch):
     return mixed(batch.column(0).to_numpy())
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_sql(spark, folder, name):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{folder.removeprefix('file://')}/documents.parquet/*.parquet')")
+    want, got = con.sql(queries.ORACLE_SQL[name]), queries.QUERIES[name](spark, folder)
+    assert sorted(want.columns) == sorted(got.columns)
+    near = lambda x: round(x, 3) if isinstance(x, float) else x
+    assert Counter(tuple(map(near, r)) for r in want.select(", ".join(got.columns)).fetchall()) == Counter(tuple(map(near, r)) for r in got.collect())
