@@ -82,7 +82,7 @@ def test_graph_and_report_are_kept(spark, tmp_path):
     assert json.loads(spark.read.text(str(tmp_path / "r/result.json")).first()[0]) == {"module": "m", "nodes": [1, 2]}
     assert spark.read.text(str(tmp_path / "r/graph.puml")).first()[0] == "@startuml"
     written = store.save_versions(spark.createDataFrame([("p", "é\n")], ROWS), str(tmp_path / "v")).first()
-    assert tuple(written) == ("p", 2, 3) and spark.read.parquet(str(tmp_path / "v")).count() == 1
+    assert tuple(written) == ("p", 2, 3, None) and spark.read.parquet(str(tmp_path / "v")).count() == 1
 
 
 def test_registry(spark):
