@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lodestone import registry
 from lodestone.functions import text
 from lodestone.operators import chunks, graph, vectors
+from lodestone.plans.catalog import QUERIES
 from lodestone.sources import store
 
 LONG = "    x = 'a line that is long enough to count by itself, really'\n"
@@ -217,3 +218,20 @@ def test_pairs_of_similar_paths_grow_with_the_paths(spark):
     out = graph.mean_similarity(alone, members)
     assert {(r.community, r.similarity) for r in out.collect()} == {(0, 0.5), (1, 0.5)}
     assert 1200 <= most_rows(out) < 10_000  # 360,000 pairs share a host
+
+
+def test_isolated_at_once_over_paths_of_one_host(spark, tmp_path):
+    paths = [f"h.example/{'de' if i % 3 else 'en'}/{'x' * (i % 5)}{i}" for i in range(500)]
+    spark.createDataFrame([("https://" + p, "") for p in paths], "url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    out = QUERIES["assign_isolated_oneshot"](spark, str(tmp_path))
+    got = {r.path: r.community for r in out.collect()}
+    sets, want = {p: set(p.split("/")) for p in paths}, {}
+    for p in (p for p in paths if len(p) % 2):
+        near = {}
+        for m in (m for m in paths if not len(m) % 2):
+            near.setdefault(len(m) % 4, []).append(len(sets[p] & sets[m]) / len(sets[p] | sets[m]))
+        mean = {c: round(sum(s) / len(s), 9) for c, s in near.items()}
+        best = min(mean, key=lambda c: (-mean[c], c))
+        if mean[best] >= 0.1:
+            want[p] = best
+    assert got == want and len(want) > 200 and most_rows(out) < 10_000
