@@ -209,9 +209,15 @@ def spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
         size, now, spans_ = 0, None, []
 
         def add(where, begin, length):
-            """The span of each of a row's documents."""
+            """The spans of a row's documents; those of one document that overlap or touch, as in a text that goes on
+            repeating itself, are one."""
             ids, keys, starts = (np.frombuffer(x, np.int64) for x in where)
-            spans_.append((ids, keys, starts + begin, starts + begin + length))
+            ends = starts + length
+            if len(starts) > 1:  # a document's starts come together and rise
+                on = (ids[1:] == ids[:-1]) & (keys[1:] == keys[:-1]) & (starts[1:] >= starts[:-1]) & (starts[1:] <= ends[:-1])
+                head, last = np.flatnonzero(np.concatenate([[True], ~on])), np.flatnonzero(np.concatenate([~on, [True]]))
+                ids, keys, starts, ends = ids[head], keys[head], starts[head], ends[last]
+            spans_.append((ids, keys, starts + begin, ends + begin))
 
         def rows_of():
             columns = [pa.array(np.concatenate(c)) for c in zip(*spans_)]

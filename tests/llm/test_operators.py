@@ -274,6 +274,17 @@ def test_repeated_strings_of_few_symbols(spark, monkeypatch):
     assert plain(digest.collect()) == slow_repeats(rows, 12)
 
 
+@pytest.mark.parametrize("hot", [20, 50_000])
+def test_texts_that_go_on_repeating_themselves(spark, monkeypatch, hot):
+    monkeypatch.setattr(repeats, "HOT", hot)  # their anchors come at each repetition
+    rows = [(i, f"this one is number {i * 7919}. " + "Is onhe. " * (60 + i % 7) + "and so on " * (i % 3)) for i in range(40)] + [(50, "x" * 900), (50, "x" * 900), (51, "x" * 899 + "y"), (None, "Is onhe. " * 50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = repeats.remove_repeats(docs)
+    digest = found.select("doc_id", "n_bytes", F.aggregate("removed", F.lit(0).cast("long"), lambda n, x: n + x.e - x.s), F.size("removed"), F.sha2("kept", 256))
+    assert plain(digest.collect()) == slow_repeats(rows, 200)
+    assert repeats.spans(repeats.keyed(docs)).count() < 40 * len(rows)  # each text has about 400 windows that repeat
+
+
 def test_kneser_ney(spark, docs, rows):
     model = kneser_ney.train(docs.where("doc_id % 3 <> 1"))
     got = Counter((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in kneser_ney.score(docs, model).collect())
