@@ -5,8 +5,10 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import mmap
 import os
 import re
+import sys
 import uuid
 from collections.abc import Iterator
 
@@ -76,10 +78,16 @@ def write_file(uri: str, parts) -> None:
     files.move(own, path)
 
 
+UNTRACKED = {"trackfd": False} if sys.version_info >= (3, 13) else {}
+
+
 def read_array(uri: str, dtype) -> np.ndarray:
-    """Memory-mapped where the shared folder is mounted, else read whole."""
+    """Memory-mapped where the shared folder is mounted, with no file left open from Python 3.13 on, else read whole."""
     if path := _local(uri):
-        return np.memmap(path, dtype=dtype, mode="r") if os.path.getsize(path) else np.zeros(0, dtype)
+        if not os.path.getsize(path):
+            return np.zeros(0, dtype)
+        with open(path, "rb") as f:
+            return np.frombuffer(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, **UNTRACKED), dtype=dtype)
     from pyarrow import fs
 
     files, path = fs.FileSystem.from_uri(uri)

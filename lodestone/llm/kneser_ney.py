@@ -18,6 +18,7 @@ held out. Other columns are not read. Up to 2**32 - 3 distinct words.
 
 from __future__ import annotations
 
+import sys
 from functools import lru_cache
 
 import numpy as np
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import Words, bounded_batches, discard, materialise, mixed, numbered, partitions, planes, read_array, scratch, settle, slices, text_bytes, unplanes, write_file
+from .common import bounded_batches, discard, materialise, mixed, partitions, planes, read_array, scratch, settle, slices, unplanes, write_file
 
 START, UNKNOWN = 0xFFFFFFFF, 0xFFFFFFFE
 END = b" "  # no word has a blank
@@ -34,16 +35,25 @@ CONTEXT = np.dtype([("total", "<u8"), ("n", "<u4", (3,))])
 HALF = np.uint64(32)
 
 
-def batch_tokens(texts: list[bytes], words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Local numbers of all tokens, texts one after another, and how many each text has."""
-    lists = [t.lower().split() for t in texts]
-    for x in lists:
-        x.append(END)
-    return np.concatenate([numbered(words, x) for x in lists] or [np.zeros(0, np.int64)]), np.fromiter(map(len, lists), np.int64, len(lists))
-
-
-def hashes(words: Words) -> np.ndarray:
-    return np.fromiter((xxh64_intdigest(w, 42) for w in words), np.uint64, len(words))
+def batch_tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Local numbers of all tokens, texts one after another, how many each text has, and the hashes
+    of what is numbered, which rise: known words' ranks then do too, and files are searched from front to back."""
+    if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):
+        column = column.view(pa.large_string() if pa.types.is_large_binary(column.type) else pa.string())
+    if column.null_count:
+        column = column.fill_null("")
+    # a blank behind the last word makes an empty string of each end; of bytes, so any are passed through
+    text = pa.compute.ascii_trim_whitespace(pa.compute.ascii_lower(column))
+    blank, nothing = (pa.scalar(x, text.type) for x in (" ", ""))
+    text = pa.compute.binary_join_element_wise(text, pa.compute.if_else(pa.compute.greater(pa.compute.binary_length(text), 0), blank, nothing), nothing)
+    lists = pa.compute.ascii_split_whitespace(text)
+    tokens = lists.flatten().dictionary_encode()
+    words = tokens.dictionary.view(pa.large_binary() if pa.types.is_large_string(text.type) else pa.binary()).to_numpy(zero_copy_only=False)
+    hashed = np.fromiter((xxh64_intdigest(w or END, 42) for w in words), np.uint64, len(words))
+    order = np.argsort(hashed)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return place[tokens.indices.to_numpy()], np.diff(lists.offsets.to_numpy()).astype(np.int64), hashed[order]
 
 
 def by_range(values: np.ndarray, n: int) -> np.ndarray:
@@ -59,9 +69,14 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[head], np.add.reduceat(counts.astype(np.int64), head)
 
 
+def in_order(bucket: np.ndarray) -> np.ndarray:
+    """A stable order; numbers of 16 bits are sorted by their digits, which is much quicker."""
+    return np.argsort(bucket.astype(np.uint16) if len(bucket) and bucket.max() < 1 << 16 else bucket, kind="stable")
+
+
 def by_bucket(bucket: np.ndarray):
     """(bucket, which elements are in it) for each bucket that has any."""
-    order = np.argsort(bucket, kind="stable")
+    order = in_order(bucket)
     own = bucket[order]
     heads = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else own
     for i, j in zip(heads.tolist(), [*heads[1:].tolist(), len(own)]):
@@ -70,7 +85,7 @@ def by_bucket(bucket: np.ndarray):
 
 def blocks(buckets: np.ndarray, n: int, keys: np.ndarray, counts: np.ndarray):
     """A row (bucket, keys, counts) for each bucket; keys rise within it."""
-    order = np.argsort(buckets, kind="stable")
+    order = in_order(buckets)
     cuts = np.searchsorted(buckets[order], np.arange(n + 1))
     rows = []
     for b, (i, j) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
@@ -114,12 +129,15 @@ def discounts(n: np.ndarray) -> np.ndarray:
     return np.clip(d, 0.01, [0.99, 1.99, 2.99])
 
 
-@lru_cache(maxsize=512)
-def mapped(path: str, dtype: str) -> np.ndarray:
+def read(path: str, dtype: str) -> np.ndarray:
     """A model's file. Every bucket has one, if empty."""
     return read_array(path, CONTEXT if dtype == "context" else np.dtype(dtype))
 
 
+#: Files that a worker keeps, mapped (a process may have 65,530 maps) or in memory.
+mapped, loaded = lru_cache(maxsize=32768 if sys.version_info >= (3, 13) else 512)(read), lru_cache(maxsize=512)(read)
+
+
 class Model:
     """What a worker needs to know of the files; a few kilobytes."""
 
@@ -138,7 +156,7 @@ class Model:
         self.top_discounts = self.discounts
 
     def file(self, name: str, b: int, dtype: str) -> np.ndarray:
-        return mapped(f"{self.folder}/{name}-{b}", dtype)
+        return (mapped if self.folder.startswith(("file:", "/")) else loaded)(f"{self.folder}/{name}-{b}", dtype)
 
     def low(self, b: int) -> int:
         """The first rank dealt to a bucket."""
@@ -279,22 +297,23 @@ def train(docs: DataFrame, text: str = "text", order: int = 2) -> Model:
 
     # words
     def words_of(batches):
-        words, counts, n = Words(), np.zeros(0, np.int64), 0
+        held, n = [], 0
         for batch in slices(batches, 0):
-            ids, _ = batch_tokens(text_bytes(batch.column(0)), words)
-            own = np.bincount(ids, minlength=len(words))
-            own[: len(counts)] += counts
-            counts, n = own, n + len(ids)
-            if len(words) > 600_000:
-                yield blocks_of(words, counts)
-                words, counts = Words(), np.zeros(0, np.int64)
-        if words:
-            yield blocks_of(words, counts)
-
-    def blocks_of(words, counts):
-        h = hashes(words)
-        order = np.argsort(h)
-        return blocks(by_range(h[order], nb), nb, h[order], counts[order])
+            ids, _, hashed = batch_tokens(batch.column(0))
+            held.append((hashed, np.bincount(ids, minlength=len(hashed))))
+            n += len(hashed)
+            if n > 1_200_000:
+                held = [summed(*map(np.concatenate, zip(*held)))]
+                n = len(held[0][0])
+                if n > 600_000:
+                    yield blocks_of(held)
+                    held, n = [], 0
+        if n:
+            yield blocks_of(held)
+
+    def blocks_of(held):
+        keys, counts = summed(*map(np.concatenate, zip(*held)))
+        return blocks(by_range(keys, nb), nb, keys, counts)
 
     def write_words(batches):
         def done(b, keys, counts):
@@ -318,9 +337,8 @@ def train(docs: DataFrame, text: str = "text", order: int = 2) -> Model:
     def pairs_of(batches):
         held, n = [], 0
         for batch in slices(batches, 0):
-            words = Words()
-            ids, sizes = batch_tokens(text_bytes(batch.column(0)), words)
-            rank = model.ranks(hashes(words))[0].astype(np.uint64)
+            ids, sizes, hashed = batch_tokens(batch.column(0))
+            rank = model.ranks(hashed)[0].astype(np.uint64)
             w = rank[ids]
             before = np.concatenate([[np.uint64(START)], w[:-1]])
             before[np.cumsum(sizes) - sizes] = START
@@ -423,9 +441,8 @@ def train_triples(docs: DataFrame, model: Model, often: np.ndarray) -> None:
     def triples_of(batches):
         held, n = [], 0
         for batch in slices(batches, 0):
-            words = Words()
-            ids, sizes = batch_tokens(text_bytes(batch.column(0)), words)
-            w = model.ranks(hashes(words))[0].astype(np.uint64)[ids]
+            ids, sizes, hashed = batch_tokens(batch.column(0))
+            w = model.ranks(hashed)[0].astype(np.uint64)[ids]
             starts = np.cumsum(sizes) - sizes
             before = np.concatenate([[np.uint64(START)], w[:-1]])
             before[starts] = START
@@ -516,9 +533,8 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
         V, N, D = model.words, model.tokens, np.concatenate([[0.0], model.discounts])
         low_d, top = np.concatenate([[0.0], model.low_discounts]), np.concatenate([[0.0], model.top_discounts])
         for batch in slices(batches, 1):
-            words = Words()
-            ids, sizes = batch_tokens(text_bytes(batch.column(1)), words)
-            rank, count = model.ranks(hashes(words))
+            ids, sizes, hashed = batch_tokens(batch.column(1))
+            rank, count = model.ranks(hashed)
             cc = np.zeros(len(rank), np.int64)
             known = rank != UNKNOWN
             if known.any():

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -460,3 +461,26 @@ def test_decontamination_in_blocks(spark, monkeypatch):
     table = spark.createDataFrame(items, "item_id long, text string")
     got = decontaminate.overlaps(table.withColumnRenamed("item_id", "doc_id"), table).collect()
     assert Counter((r.doc_id, r.item_id) for r in got) == Counter((i, i) for i in range(5))
+
+
+def test_kneser_ney_tokens_are_those_of_bytes():
+    rng = random.Random(9)
+    some = [bytes([i]) for i in [*range(9, 14), 32, 32, 32, 0, 28, 31, 0x85, 0xA0, 0xC2, 0xE2, 0xFF, 65, 90, 97, 122]]
+    for _ in range(300):
+        raw = [None if rng.random() < 0.1 else b"".join(rng.choice(some) for _ in range(rng.randrange(12))) for _ in range(rng.randrange(6))]
+        want = [[xxh64_intdigest(w, 42) for w in [*(r or b"").lower().split(), kneser_ney.END]] for r in raw]
+        for kind, shown in ((pa.binary(), pa.string()), (pa.large_binary(), pa.large_string()), (pa.binary(), pa.binary())):
+            ids, sizes, hashed = kneser_ney.batch_tokens(pa.array([b"x", *raw], kind).view(shown).slice(1))
+            assert sizes.tolist() == [len(w) for w in want] and hashed[ids].tolist() == [h for w in want for h in w]
+            assert (np.diff(hashed.astype(object)) > 0).all() and set(ids.tolist()) == set(range(len(hashed)))
+
+
+def test_kneser_ney_worker_maps_each_file_once(tmp_path):
+    model = kneser_ney.Model(str(tmp_path), 100, [1] * 100, 100)
+    every = [(f"file{i}", b) for i in range(14) for b in range(100)]
+    for name, b in every:
+        (tmp_path / f"{name}-{b}").write_bytes(np.array([b], "<u8").tobytes())
+    before = len(os.listdir("/proc/self/fd"))
+    first = [model.file(name, b, "<u8") for name, b in every]
+    assert all(model.file(name, b, "<u8") is x and x.tolist() == [b] for (name, b), x in zip(every, first))  # 1,400 files
+    assert len(os.listdir("/proc/self/fd")) < before + 10
